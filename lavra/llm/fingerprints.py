@@ -108,8 +108,10 @@ def compare_edits(docs: DataFrame, scale_bits: int = SCALE_BITS) -> DataFrame:
     have the same follower; as a follower they count as one, by the smallest text.
     Other columns of docs are not carried.
     """
-    own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("fp", sketch(F.col("text"), scale_bits))
-    own = own.repartition("doc_id")
+    none = F.array().cast("array<bigint>")
+    sketched = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("fp", sketch(F.col("text"), scale_bits))
+    # Dealt by id once: both joins below read this one exchange.
+    own = sketched.where(F.col("doc_id").isNotNull()).repartition("doc_id")
     wanted = next_ids(docs).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n") / 4).cast("int").alias("most"))
     # Only what the edit takes travels to the document before: its head, and its fingerprint.
     sent = (
@@ -117,12 +119,9 @@ def compare_edits(docs: DataFrame, scale_bits: int = SCALE_BITS) -> DataFrame:
         .select("to_id", F.struct(F.expr("substring(text, 1, most)").alias("head"), F.col("fp").alias("fp")).alias("next"))
         .groupBy("to_id").agg(F.min("next").alias("next"))
     )
-    joined = own.join(sent, own.doc_id == sent.to_id, "left").select(
-        "doc_id", "text", "fp",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.coalesce(F.col("next.head"), F.lit("")).alias("head"),
-        F.coalesce(F.col("next.fp"), F.array().cast("array<bigint>")).alias("next_fp"),
-    )
+    followed = own.join(sent, own.doc_id == sent.to_id).select("doc_id", "text", "fp", F.col("next.head").alias("head"), F.col("next.fp").alias("next_fp"))
+    alone = sketched.where(F.col("doc_id").isNull()).select("doc_id", "text", "fp", F.lit("").alias("head"), none.alias("next_fp"))
+    joined = followed.unionByName(alone).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.expr("cast(n_chars div 4 as int)")
     edited = joined.withColumn("q", cut).select(
         "doc_id", "n_chars", "fp", "next_fp",
