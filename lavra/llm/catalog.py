@@ -2,15 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.llm import fingerprints
+from lavra.llm import audio, bpe, fingerprints, packing, warc
+from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf, "documents"))
 
 
-QUERIES: dict = {"op1_fingerprints": op1_fingerprints}
-ORACLE_SQL: dict[str, str] = {}
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    with open(WORD_TOKENIZER, encoding="utf-8") as f:
+        return packing.pack_documents(table(spark, sf, "documents"), f.read())
+
+
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archive(warc.decide(table(spark, sf, "pages")), path)
+    return warc.page_digests(warc.read_archive(spark, path))
+
+
+def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = bpe.read_ranks(BYTE_RANKS)
+    encoded = bpe.encode(table(spark, sf, "documents"), tokens, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode(encoded, tokens))
+
+
+def op9_audio(spark: SparkSession, sf: str) -> DataFrame:
+    return audio.digest(written(audio.store(table(spark, sf, "documents")), "audio"))
+
+
+QUERIES: dict = {
+    "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op9_audio": op9_audio,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+f as (select b, min(page_id) first_page from p group by b),
+x as (select page_id, octet_length(b) payload_bytes, unhex(sha1(b)) d, first_page from p join f using (b)),
+-- base32: 160 bits, five at a time
+y as (select *, list_reduce(list_transform(range(0, 40), lambda i: format('{:04b}', ('0x' || hex(d)[i + 1])::int)), lambda a, c: a || c) bits from x)
+select page_id, payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    1 + list_sum(list_transform(range(0, 5), lambda k: bits[5 * i + k + 1]::int * (16 >> k)))::int]), lambda a, c: a || c) payload_digest,
+  case when first_page = page_id then 'response' else 'revisit' end record_type,
+  case when first_page <> page_id then first_page end refers_to
+from y
+""",
+}

@@ -10,6 +10,7 @@ import bisect
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.merge = self.tokenizer.model.tokenize  # looked up once: each look costs more than a word
         spec = json.loads(tokenizer_json)
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.added = [t["content"] for t in spec["added_tokens"]]
@@ -74,12 +76,12 @@ class WordEncoder:
         lower = word.lower()
         if "\u0307" in lower:  # of a dotted capital I
             return None
-        ids: list[int] = []
+        ids = array("I")  # four bytes on every platform that Spark runs on
         for part in (lower,) if lower.isalpha() else self.split(lower):
             if not part.isascii():
                 part = part.encode().decode("latin-1").translate(self.stand_in)
-            ids += [t.id for t in self.tokenizer.model.tokenize(part)]
-        return np.array(ids, dtype="<u4").tobytes()
+            ids.extend([t.id for t in self.merge(part)])
+        return ids.tobytes()
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Makes sure that all words are known; the least lately used are forgotten."""
@@ -251,10 +253,14 @@ def sequences(packed: DataFrame, pieces_with_ids: DataFrame, id_col: str = "doc_
 
     A group holds at most one sequence's ids. Repeated (id, piece) pairs are told apart by their ids.
     """
-    where = packed.dropDuplicates([id_col, "piece", "ids_crc32", "sequence_id", "offset"])
-    ids = pieces_with_ids.select(id_col, "piece", "ids_crc32", "ids").dropDuplicates([id_col, "piece", "ids_crc32"])
-    same = where[id_col].eqNullSafe(ids[id_col]) & (where.piece == ids.piece) & (where.ids_crc32 == ids.ids_crc32)
-    parts = where.join(ids, same).select(where.sequence_id, F.struct(where.offset.alias("offset"), where[id_col].alias("id"), ids.ids.alias("ids")).alias("part"))
+    where = packed.dropDuplicates([id_col, "piece", "ids_crc32", "sequence_id", "offset"]).select(
+        F.col(id_col).alias("id"), "piece", "ids_crc32", "sequence_id", "offset"
+    )
+    ids = pieces_with_ids.dropDuplicates([id_col, "piece", "ids_crc32"]).select(
+        F.col(id_col).alias("i_id"), F.col("piece").alias("i_piece"), F.col("ids_crc32").alias("i_crc32"), "ids"
+    )
+    same = F.col("id").eqNullSafe(F.col("i_id")) & (F.col("piece") == F.col("i_piece")) & (F.col("ids_crc32") == F.col("i_crc32"))
+    parts = where.join(ids, same).select("sequence_id", F.struct("offset", "id", "ids").alias("part"))
     ordered = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     return ordered.select(
         "sequence_id",

@@ -1,0 +1,53 @@
+import hashlib
+import zlib
+
+from pyspark.sql import functions as F
+
+from lavra.llm import audio
+
+
+def test_header_lengths():
+    assert audio.header(b"\xff\xfb\x90\x00")[3:7] == (44100, 2, 1152, 417)
+    assert audio.header(b"\xff\xfb\x92\x00")[6] == 418
+    assert audio.header(audio.STORED_HEADER)[:7] == (2, 3, True, 16000, 1, 576, audio.STORED_LENGTH)
+    assert audio.header(b"\xff\xff\xff\xff") is None and audio.header(b"abcd") is None
+
+
+def test_crc_of_known_frame():
+    # CRC-16/CMS has these parameters; its check value is public.
+    assert audio.crc16(b"123456789") == 0xAEE7
+
+
+def test_damage_is_found_and_skipped():
+    payload = bytes(range(256)) * 9
+    data = audio.stream_of(payload, 2304)
+    clean = audio.parse(data)
+    assert (clean["frames"], clean["crc_ok"], clean["crc_bad"], clean["resyncs"], clean["vbr"]["frames"]) == (4, 5, 0, 0, 4)
+    assert clean["duration_us"] == 4 * 36_000 and clean["tags"] == {"TXXX:payload_bytes": "2304"}
+    assert audio.payload_of(data, clean) == payload
+    o = clean["offsets"]
+    torn = data[: o[1]] + b"junk\xff\xfbnoise" + data[o[1] : o[3]] + data[o[3] :][:100]
+    info = audio.parse(torn)
+    assert info["frames"] == 3 and info["resyncs"] == 2
+    flipped = bytearray(data)
+    flipped[o[2] + 8] ^= 1
+    assert audio.parse(bytes(flipped))["crc_bad"] == 1
+    tagged = data + b"TAG" + b"Song".ljust(30, b"\0") + bytes(95)
+    assert audio.parse(tagged)["tags"]["title"] == "Song" and audio.parse(tagged)["frames"] == 4
+    assert audio.parse(b"")["frames"] == 0 and audio.parse(b"no audio at all")["frames"] == 0
+
+
+def test_round_trip(spark):
+    rows = [(1, "hello"), (2, None), (3, ""), (4, "ç\xff" * 4000), (5, "x" * 576), (6, "x" * 577), (None, "hello"), (1, "hello")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1))
+    got = audio.digest(audio.store(docs)).collect()
+    want = []
+    for k, t in rows:
+        raw = (t or "").encode()
+        full = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        want.append((k or -1, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])))
+    assert sorted((r.doc_id or -1, *r[1:5]) for r in got) == sorted(want)
+    assert len({r.media_sha256 for r in got if r.n_bytes == 5}) == 1
+    assert audio.digest(audio.store(docs.limit(0))).collect() == []
+    info = audio.describe(audio.store(docs)).where("doc_id = 4").first().info
+    assert info.frames == len(info.offsets) == -(-len(rows[3][1].encode()) // 576) and info.crc_bad == 0
