@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.llm import audio, bpe, fingerprints, packing, warc
+from lavra.llm import audio, bpe, fingerprints, linededup, packing, quality, urlfilter, warc
 from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
 
 def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf, "documents"))
@@ -34,14 +38,61 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, tokens))
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = linededup.drop_repeated_chunks(table(spark, sf, "documents"))
+    return kept.select("doc_id", "text", "removed_chunks", "removed_lines")
+
+
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", "source", "lang", "evidence", "site_prior", "probability", "keep")
+
+
 def op9_audio(spark: SparkSession, sf: str) -> DataFrame:
     return audio.digest(written(audio.store(table(spark, sf, "documents")), "audio"))
 
 
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
 QUERIES: dict = {
-    "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op9_audio": op9_audio,
+    "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe,
+    "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_audio": op9_audio, "op10_url_filter": op10_url_filter,
 }
+
+
+def _url_filter_sql(rounds: int = urlfilter.ROUNDS, damping: float = urlfilter.DAMPING) -> str:
+    """The same rounds, written out one after another."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    lower = "translate(coalesce(regexp_extract({}, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    after = "case when contains({0}, '://') then substring({0}, strpos({0}, '://') + 3) end"
+    steps = [f"r{k} as (select kind, host, round(sum(x), 15) x from (select kind, host, x * {1 - damping!r} x from seeds union all "
+             f"select e.kind, e.target, r.x * e.share * {damping!r} from r{k - 1} r join edges e on e.kind = r.kind and e.source = r.host) group by all)" for k in range(1, rounds + 1)]
+    return f"""
+with rules(h, p, v) as (values {rules}),
+u as (select page_id, html, {lower.format("rest")} host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') path
+      from (select page_id, html, {after.format("url")} rest from pages)),
+best as (select host, path, v, h || p rule from (select *, row_number() over (partition by host, path order by length(h || p) desc, length(h) desc, v desc) k
+  from (select distinct host, path from u) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) where k = 1),
+decided as (select host, min(v) v from best group by host having min(v) = max(v)),
+links as (select host source, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) href from u),
+raw as (select source, {lower.format(after.format("href"))} target from (select source, case when starts_with(href, '//') then 'http:' || href else href end href from links)),
+counted as (select source, target, count(*) w from raw where source <> target and source <> '' and target <> '' group by all),
+edges as (select 'trust' kind, source, target, w / sum(w) over (partition by source) share from counted
+  union all select 'distrust', target, source, w / sum(w) over (partition by target) from counted),
+seeds as (select if(v = 'allow', 'trust', 'distrust') kind, host, 1 / count(*) over (partition by v) x from decided),
+r0 as (select * from seeds), {", ".join(steps)},
+ranks as (select host, coalesce(sum(x) filter (where kind = 'trust'), 0) t, coalesce(sum(x) filter (where kind = 'distrust'), 0) d from r{rounds} group by host),
+n as (select count(distinct host) n from u)
+select page_id, host, path, rule, coalesce(v, if(round(coalesce(d, 0) * n, 9) >= {urlfilter.THRESHOLD} and round(coalesce(d, 0) * n, 9) > round(coalesce(t, 0) * n, 9), 'block', 'allow')) verdict
+from u left join best using (host, path) left join ranks using (host) cross join n
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": _url_filter_sql(),
     "op3_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
 f as (select b, min(page_id) first_page from p group by b),
