@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lavra.llm import audio, bpe, fingerprints, linededup, packing, pii, quality, urlfilter, warc
+from lavra.llm import audio, bpe, fingerprints, jaccard, linededup, packing, pii, quality, urlfilter, warc
 from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
@@ -43,6 +43,10 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("doc_id", "text", "n_entities", "entity_kinds")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf, "documents")).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = linededup.drop_repeated_chunks(table(spark, sf, "documents"))
     return kept.select("doc_id", "text", "removed_chunks", "removed_lines")
@@ -64,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe,
-    "op5_pii": op5_pii, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_audio": op9_audio, "op10_url_filter": op10_url_filter,
+    "op5_pii": op5_pii, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_audio": op9_audio, "op10_url_filter": op10_url_filter,
 }
 
 
