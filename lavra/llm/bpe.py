@@ -7,8 +7,9 @@ others are merged by a heap over linked bytes. Results are remembered per word,
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -89,27 +90,40 @@ class PerfectHash:
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merges neighbours, lowest rank first and leftmost on ties, until none has a rank.
 
-    Parts are linked by their ends and the starts before them; the heap holds candidate merges, and
-    those that an earlier merge has overtaken are skipped. O(n log n) in the bytes of the piece.
+    Parts are linked by their ends and by the starts before them. The heap holds candidate merges as
+    rank and start in one integer; a candidate whose rank is no longer that of the pair which starts
+    there is skipped. O(n log n) in the bytes of the piece.
     """
     n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged into the one before
-    before = list(range(-1, n))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
+    rank_of = ranks.get
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    end = list(range(1, n + 2))  # of the part that starts here
+    before = list(range(-1, n))  # start of the part before the one that starts here
+    due = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here
+    due += (-1, -1)
+    heap = [r << shift | i for i, r in enumerate(due) if r >= 0]
+    heapify(heap)
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = end[i]
-        if not j or j >= n or end[j] != stop:
+        entry = heappop(heap)
+        i = entry & mask
+        if due[i] != entry >> shift:
             continue
-        end[i], end[j] = stop, 0
+        j = end[i]
+        stop = end[i] = end[j]
+        due[j] = -1
         if stop < n:
             before[stop] = i
-            if (r := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
+            r = due[i] = rank_of(piece[i : end[stop]], -1)
+            if r >= 0:
+                heappush(heap, r << shift | i)
+        else:
+            due[i] = -1
         p = before[i]
-        if p >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
+        if p >= 0:
+            r = due[p] = rank_of(piece[p:stop], -1)
+            if r >= 0:
+                heappush(heap, r << shift | p)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -147,7 +161,7 @@ class Encoder:
             return whole.to_bytes(4, "little")
         found = self.pieces.get(text) or self.pieces.old.get(text)
         if found is None:
-            found = np.array(merge_bytes(raw, self.ranks), dtype="<u4").tobytes()
+            found = array("I", merge_bytes(raw, self.ranks)).tobytes()
         if len(raw) < 200:
             self.pieces[text] = found
         return found
@@ -216,6 +230,10 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, id_col: str = "do
     return docs.select(id_col, text_col).mapInArrow(run, fields)
 
 
+def decode_ids(ids: np.ndarray, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
+
+
 def decode(encoded: DataFrame, tokens: list[bytes], id_col: str = "doc_id") -> DataFrame:
     """Rows (id, ids, bytes): the bytes that the ids stand for; null ids give no bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast(tokens)
@@ -223,29 +241,33 @@ def decode(encoded: DataFrame, tokens: list[bytes], id_col: str = "doc_id") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            look_up = shared.value.__getitem__
-            texts = [b"".join(map(look_up, ids.values.to_pylist() if ids.is_valid else ())) for ids in batch.column(1)]
+            texts = [decode_ids(ids.values.to_numpy(), shared.value) if ids.is_valid else b"" for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=fields.names)
 
     return encoded.select(id_col, "ids").mapInArrow(run, fields)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, n_tokens, ids_sha256, decoded_sha256); ids are hashed as little-endian unsigned 32-bit integers."""
+def digests(encoded: DataFrame, tokens: list[bytes], id_col: str = "doc_id") -> DataFrame:
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256): of the ids as little-endian unsigned 32-bit integers, and of what they decode to.
+
+    It decodes as `decode` does, in the same pass, so that the bytes of the texts need not leave the task.
+    """
     import hashlib
 
+    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
     fields = T.StructType([
-        decoded.schema[id_col], T.StructField("n_tokens", T.LongType()),
+        encoded.schema[id_col], T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [(x.values.to_numpy() if x.is_valid else np.zeros(0)).astype("<u4") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in batch.column(2)]),
-            ], names=fields.names)
-
-    return decoded.select(id_col, "ids", "bytes").mapInArrow(run, fields)
+            counts, ids_sha, texts_sha = [], [], []
+            for ids in batch.column(1):
+                values = (ids.values.to_numpy() if ids.is_valid else np.zeros(0)).astype("<u4")
+                counts.append(len(values))
+                ids_sha.append(hashlib.sha256(values.tobytes()).hexdigest())
+                texts_sha.append(hashlib.sha256(decode_ids(values, shared.value)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(texts_sha, pa.string())], names=fields.names)
+
+    return encoded.select(id_col, "ids").mapInArrow(run, fields)

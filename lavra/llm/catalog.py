@@ -35,7 +35,7 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     tokens = bpe.read_ranks(BYTE_RANKS)
     encoded = bpe.encode(table(spark, sf, "documents"), tokens, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, tokens))
+    return bpe.digests(encoded, tokens)
 
 
 def op5_pii(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,10 +46,11 @@ def test_round_trip(spark, tokens, reference):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (None, "null id"), (1, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "'q' as bytes")
     encoded = bpe.encode(docs, tokens, public_tokenizers.PATTERN)
-    got = sorted(map(tuple, bpe.digests(bpe.decode(encoded, tokens)).collect()), key=str)
+    got = sorted(map(tuple, bpe.digests(encoded, tokens).collect()), key=str)
     want = []
     for k, t in rows:
         ids = reference.encode_ordinary(t or "")
         want.append((k, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
+    assert sorted((bytes(r.bytes) for r in bpe.decode(encoded, tokens).collect())) == sorted((t or "").encode() for _, t in rows)
     assert bpe.encode(docs.limit(0), tokens, public_tokenizers.PATTERN).collect() == []
