@@ -77,23 +77,36 @@ def signatures(docs: DataFrame, bands: int, rows: int = BAND_ROWS, id_col: str =
     return hashed.mapInArrow(run, kind)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, levels: int = 40) -> DataFrame:
     """Rows (node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Each round gives every node the smallest label among itself and its neighbours, then that label's own
-    label. Minima are taken before the shuffle. It ends with the first round that changes nothing.
+    By contraction: every node points at the smallest of itself and its neighbours, pointers are followed
+    twice, and the edges between what is then pointed at are the next, smaller graph. It ends when no
+    edge is left, after a number of levels that grows with the logarithm of the longest path. Minima are
+    taken before the shuffle, so a node with many neighbours is no larger than any other.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("low"))
-        near = labels.join(seen, labels.node == seen.a).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        jump = labels.select(F.col("node").alias("j"), F.col("root").alias("further"))
-        moved = written(near.join(jump, near.root == jump.j).select("node", "old", F.least("root", "further").alias("root")), "labels")
-        labels = moved.select("node", "root")
-        if moved.where("root < old").isEmpty():
-            return labels
-    raise ValueError(f"components not settled after {rounds} rounds")
+    one = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    nodes = one.select("a").unionByName(one.select(F.col("b").alias("a"))).distinct()
+    left = one.where("a <> b")
+    maps = []
+    while not left.isEmpty():
+        if len(maps) == levels:
+            raise ValueError(f"components not settled after {levels} levels")
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = written(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low")).select("n", F.least("n", "low").alias("p")), "hooks")
+        for _ in range(2):
+            up = hooks.select(F.col("n").alias("u"), F.col("p").alias("pp"))
+            hooks = hooks.join(up, hooks.p == up.u).select("n", F.col("pp").alias("p"))
+        hooks = written(hooks, "labels")
+        maps.append(hooks)
+        x, y = hooks.select(F.col("n").alias("a"), F.col("p").alias("pa")), hooks.select(F.col("n").alias("b"), F.col("p").alias("pb"))
+        moved = left.join(x, "a").join(y, "b").where("pa <> pb")
+        left = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+    done = nodes.select(F.col("a").alias("node"), F.col("a").alias("root"))
+    for hooks in maps:
+        done = done.join(hooks, done.root == hooks.n, "left").select("node", F.coalesce("p", "root").alias("root"))
+    # Labels fall with every level but need not end at the smallest node.
+    return done.join(done.groupBy("root").agg(F.min("node").alias("least")), "root").select("node", F.col("least").alias("root"))
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:

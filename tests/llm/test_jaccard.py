@@ -95,6 +95,7 @@ def test_bands_reach_the_recall():
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert len(got) == 41 + 30
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
     with pytest.raises(ValueError):
-        jaccard.components(spark.createDataFrame(edges, "a long, b long"), rounds=1)
+        jaccard.components(spark.createDataFrame(edges, "a long, b long"), levels=1)
