@@ -29,7 +29,8 @@ def read_table_csv(spark: SparkSession, path: str, columns: list[str], sep: str
 def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """(good, rejected) of what read_table_csv gave: rows with too many fields are rejected, short ones padded with nulls.
 
-    Spark flags both; only flagged rows are counted anew, by their quoted fields.
+    Spark flags both; only flagged rows are counted anew, by their quoted fields. A rejected row has its
+    first column and its whole line; Spark reads no line without some column.
     """
     columns = [c for c in df.columns if c != REJECT]
     most = len(columns)
@@ -39,7 +40,7 @@ def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]
 
     count = F.coalesce(F.pandas_udf(fields_in, T.LongType())(F.col(REJECT)), F.lit(0))
     counted = df.withColumn("_fields", count)
-    return counted.where(F.col("_fields") <= most).select(*columns), counted.where(F.col("_fields") > most).select(F.col(REJECT).alias("line"))
+    return counted.where(F.col("_fields") <= most).select(*columns), counted.where(F.col("_fields") > most).select(columns[0], F.col(REJECT).alias("line"))
 
 
 def read_items_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +64,12 @@ def item_fields(items: DataFrame, names: tuple[str, ...] = ("titulo", "data", "u
 
 
 def read_corpus(spark: SparkSession, path: str, text_col: str = "texto_limpido") -> DataFrame:
-    """The corpus file; `True` in any case means in the window. A file without the text column is refused."""
+    """The corpus file; flags are true where they read `true` in any case. A file without the text column is refused."""
     found = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     if text_col not in found.columns:
         raise ValueError(f"{path} has no column {text_col}")
     columns = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in found.columns else F.lit("").alias(c) for c in CORPUS]
-    return found.select(*columns).withColumn("na_janela", F.lower(F.trim("na_janela")) == "true")
+    return found.select(*columns).withColumns({c: F.lower(F.trim(c)) == "true" for c in ("na_janela", "data_ausente", "texto_fallback_titulo")})
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +106,7 @@ def write_corpus(df: DataFrame, path: str) -> None:
     """
     df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CORPUS)).orderBy("tipo", "fonte").write.option("header", True).option(
         "quote", '"'
-    ).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+    ).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
