@@ -7,7 +7,7 @@ the share of a short text contained in a very long one can be estimated from the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.llm.text import SHINGLE_WORDS, let, shingle_hashes
@@ -86,16 +86,12 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("doc_id", "n", F.shiftright("m", 33).alias("part"), (F.col("m").bitwiseAND((1 << 33) - 1)).alias("place")),
         "sorted-ids",
     )
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     # One row per partition: bounded by the number of partitions, whatever the number of documents.
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(
-        F.coalesce(F.sum("b.size"), F.lit(0)).alias("before")
-    )
-    total = sizes.agg(F.sum("size").alias("total"))
-    ranked = placed.join(F.broadcast(before), "part").select("doc_id", "n", (F.col("before") + F.col("place")).alias("rank"))
-    follower = ranked.join(F.broadcast(total)).select(
-        F.col("doc_id").alias("next_id"), F.pmod(F.col("rank") - 1, F.col("total")).alias("rank")
-    )
+    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    in_order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("size").over(in_order), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    ranked = placed.join(F.broadcast(parts), "part").select("doc_id", "n", "total", (F.col("before") + F.col("place")).alias("rank"))
+    follower = ranked.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("rank") - 1, F.col("total")).alias("rank"))
     return ranked.join(follower, "rank").select("doc_id", "next_id", "n")
 
 

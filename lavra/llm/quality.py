@@ -28,17 +28,18 @@ THRESHOLD = 0.5
 STRENGTH = (2.0, 1000.0)
 _EDGE = 1e-6
 
-FEATURES = (
-    "log_words", "mean_word", "distinct_share", "log_distinct_gap", "repeat_share", "upper_share", "letter_share", "digit_share",
-    "pipe_share", "bang_share", "symbol_share", "marked_words", "bang_words", "pipe_words", "upper_words", "long_words", "empty",
-)
+FEATURES = ("log_words", "mean_word", "distinct_share", "log_distinct_gap", "upper_share", "symbol_share", "pipe_share", "bang_share", "empty")
 
 
 def features(text: Column) -> Column:
-    """array<double> of FEATURES, of the whole text; null and blank texts have only `empty`."""
+    """array<double> of FEATURES, of the whole text; null and blank texts have only `empty`.
 
-    def share(chars: str) -> Column:
-        return (n_chars - F.char_length(F.translate(t, chars, ""))) / n_chars
+    Characters are counted by what is left without them, so a text is read a few times at most and never
+    word by word.
+    """
+
+    def share(rest: Column) -> Column:
+        return (n_chars - F.char_length(rest)) / n_chars
 
     t = F.coalesce(text, F.lit(""))
     n_chars = F.greatest(F.char_length(t), F.lit(1)).cast("double")
@@ -46,17 +47,11 @@ def features(text: Column) -> Column:
 
     def of(w: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1)).cast("double")
-        count = lambda test: F.size(F.filter(w, test)) / n
-        distinct = F.size(F.array_distinct(w)).cast("double")
-        repeats = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: a == b), lambda x: x)) / n
-        letters = F.char_length(F.regexp_replace(t, r"\P{L}+", "")) / n_chars
-        uppers = F.char_length(F.regexp_replace(t, r"\P{Lu}+", "")) / n_chars
-        marked = lambda x: x.rlike(r"[^\p{L}\p{N}.,]$") & (F.char_length(x) > 1)
+        distinct = F.greatest(F.size(F.array_distinct(w)), F.lit(1)).cast("double")
         return F.array(
-            F.log(n), F.char_length(F.array_join(w, "")) / n, distinct / n, F.log(n) - F.log(F.greatest(distinct, F.lit(1.0))), repeats,
-            uppers, letters, share("0123456789"), share("|"), share("!"), share("%&*$#@~^<>{}=_+\\"),
-            count(marked), count(lambda x: x.endswith("!!")), count(lambda x: x == "|"), count(lambda x: (F.upper(x) == x) & (F.lower(x) != x)),
-            count(lambda x: F.char_length(x) > 25), (F.size(w) == 0).cast("double"),
+            F.log(n), F.char_length(t) / n, F.when(F.size(w) > 0, distinct / n).otherwise(0.0), F.log(n) - F.log(distinct),
+            share(F.regexp_replace(t, r"\p{Lu}+", "")), share(F.translate(t, "|!%&*$#@~^<>{}=_+\\", "")),
+            share(F.replace(t, F.lit("|"))), share(F.replace(t, F.lit("!!"))), (F.size(w) == 0).cast("double"),
         )
 
     return let(ws, of)

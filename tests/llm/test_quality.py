@@ -32,7 +32,7 @@ def test_posteriors_match_a_plain_computation(spark):
     weights = tuple(0.0 if f != "bang_share" else -9.0 for f in quality.FEATURES)
     model = quality.Model(weights, 1.0)
     got = {r.doc_id: r for r in quality.score(df, model).collect()}
-    p = {i: 1 / (1 + math.exp(-(1.0 - 9 * t.count("!") / len(t)))) for i, t, *_ in rows}
+    p = {i: 1 / (1 + math.exp(-(1.0 - 9 * 2 * t.count("!!") / len(t)))) for i, t, *_ in rows}
     mean = sum(p.values()) / len(p)
     _, mean2, hs, ps = quality.posteriors(quality.site_sums(df, model, "source", "lang"))
     assert abs(mean - mean2) < 1e-9
