@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lavra.functions.binding import let
+
 TARGET_TOKENS = 400
 CHARS_PER_TOKEN = 4
 NO_SOURCE = "(sem fonte)"
@@ -28,7 +30,6 @@ def pack_chunks(paragraphs: Column, tokens: int | None = None) -> Column:
     Sizes are of the paragraphs, without the blanks between them; a longer paragraph stands alone. The
     fold only decides where chunks end, so long texts are not copied again and again.
     """
-    sizes = F.transform(paragraphs, lambda p: F.char_length(p))
     start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
 
     def step(s: Column, size: Column) -> Column:
@@ -38,9 +39,17 @@ def pack_chunks(paragraphs: Column, tokens: int | None = None) -> Column:
             F.when(full, F.array_append(s["ends"], s["at"])).otherwise(s["ends"]).alias("ends"),
         )
 
-    folded = F.aggregate(sizes, start, step, lambda s: F.when(s["at"] > 0, F.array_append(s["ends"], s["at"])).otherwise(s["ends"]))
-    starts = F.concat(F.array(F.lit(0)), folded)
-    return F.transform(folded, lambda end, i: F.array_join(F.slice(paragraphs, F.get(starts, i) + 1, end - F.get(starts, i)), " "))
+    def cut(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.char_length(p))
+        ends = F.aggregate(sizes, start, step, lambda s: F.when(s["at"] > 0, F.array_append(s["ends"], s["at"])).otherwise(s["ends"]))
+
+        def between(bounds: Column) -> Column:
+            join = lambda end, i: F.array_join(F.slice(parts, F.get(bounds, i) + 1, end - F.get(bounds, i)), " ")
+            return F.transform(F.slice(bounds, F.lit(2), F.size(bounds) - 1), join)
+
+        return let(F.concat(F.array(F.lit(0)), ends), between)
+
+    return let(paragraphs, cut)
 
 
 def chunk_key(source: Column, index: Column) -> Column:
