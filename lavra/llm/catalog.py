@@ -101,6 +101,20 @@ from u left join best using (host, path) left join ranks using (host) cross join
 
 
 ORACLE_SQL: dict[str, str] = {
+    # All pairs that share an n-gram, compared exactly, and the closure of the links.
+    "op6_ngram_jaccard": r"""
+with recursive w as materialized (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\p{Z}]+'), lambda x: x <> '') w from documents),
+g as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end g from w),
+e as materialized (select doc_id, unnest(g) x from g),
+s as materialized (select a.doc_id a, b.doc_id b, count(*) k from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b, k = len(ga.g) and k = len(gb.g) same from s join g ga on ga.doc_id = a join g gb on gb.doc_id = b where k >= 0.8 * (len(ga.g) + len(gb.g) - k) - 1e-6
+  union all select a.doc_id, b.doc_id, true from g a, g b where len(a.g) = 0 and len(b.g) = 0 and a.doc_id <> b.doc_id),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, (select min(b) from r where r.a = doc_id) class_id, least(doc_id, (select min(b) from l where l.a = doc_id and same)) copy_id,
+  (select count(*) from l where l.a = doc_id) n_links
+from documents
+""",
     "op10_url_filter": _url_filter_sql(),
     "op3_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
