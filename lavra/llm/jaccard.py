@@ -193,8 +193,8 @@ def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         union = sizes[:, None] + sizes[None, :] - shared
         alike = shared >= similarity * union - 1e-6
         np.fill_diagonal(alike, False)
-        first = [cell.column(c)[0].as_py() for c in "xyij"]
-        if first[:2] != first[2:] and (first[0], first[2]) != (first[1], first[3]):
+        x, y, i, j = (cell.column(c)[0].as_py() for c in "xyij")
+        if (x, i) != (y, j):
             alike &= side[:, None] != side[None, :]  # two blocks: each has a cell of its own for pairs within it
         links = alike @ copies
         root = np.arange(len(names))
@@ -206,7 +206,7 @@ def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                 break
             root = low
         out = np.flatnonzero(links > 0)
-        return pa.table([pa.array([names[i] for i in out], pa.binary()), pa.array(links[out], pa.int64()), pa.array([names[root[i]] for i in out], pa.binary())], names=kind.names)
+        return pa.table([pa.array([names[k] for k in out], pa.binary()), pa.array(links[out], pa.int64()), pa.array([names[root[k]] for k in out], pa.binary())], names=kind.names)
 
     return members.groupBy("group", "x", "y", "i", "j").applyInArrow(run, kind)
 

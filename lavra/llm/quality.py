@@ -22,6 +22,7 @@ from lavra.sources.scratch import written
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 SAMPLE = 20_000
 REGULARISATION = 1e-3
+ITERATIONS = 25
 #: Documents of at least this probability are kept.
 THRESHOLD = 0.5
 #: A level's strength, in documents, stays within these bounds.
@@ -79,12 +80,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         F.min(label_col).alias("low"), F.max(label_col).alias("label")
     ).where("low = label")
     chosen = known.orderBy(F.xxhash64("l_id"), "l_id").limit(sample).select("l_id", F.col("label").cast("double").alias("label"))
-    # Of bounded size by `sample`; the texts are joined where they lie.
+    # Of bounded size by `sample`; the texts are joined where they lie. The numbers that remain fit one
+    # task, which spares the fit's many small steps a shuffle each.
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), F.col("d_id") == F.col("l_id"))
-    train = written(rows.select("label", features(F.col("t")).alias("x")), "training").withColumn("features", array_to_vector("x"))
+    train = written(rows.select("label", features(F.col("t")).alias("x")), "training").coalesce(1).withColumn("features", array_to_vector("x"))
     if train.agg(F.count_distinct("label")).first()[0] < 2:
         return Model((0.0,) * len(FEATURES), 10.0)
-    fitted = LogisticRegression(regParam=REGULARISATION, maxIter=60).fit(train)
+    fitted = LogisticRegression(regParam=REGULARISATION, maxIter=ITERATIONS).fit(train)
     return Model(tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
 
 
