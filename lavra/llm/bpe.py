@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words, and pre-tokens, whose ids a worker remembers.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 #: Code points handled at once.
 SEGMENT = 1_000_000
 
