@@ -92,7 +92,7 @@ def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
 
 
 def _id3v1(data: bytes) -> tuple[dict[str, str], int]:
-    """Fields of a trailing ID3v1 tag, and where the audio before it ends."""
+    """Fields of what looks like a trailing ID3v1 tag, and where the audio before it would end."""
     if len(data) < 128 or data[-128:-125] != b"TAG":
         return {}, len(data)
     cut = lambda lo, hi: data[len(data) - 128 + lo : len(data) - 128 + hi].split(b"\0")[0].decode("latin-1").strip()
@@ -100,6 +100,13 @@ def _id3v1(data: bytes) -> tuple[dict[str, str], int]:
     return {k: v for k, v in fields.items() if v}, len(data) - 128
 
 
+def _fill(data: bytes, at: int) -> bool:
+    """Whether frames follow one another from here to exactly the end of the data."""
+    while at < len(data) and (h := header(data[at : at + 4])):
+        at += h[6]
+    return at == len(data)
+
+
 def _vbr(frame: bytes, side: int) -> tuple[str, int, int] | None:
     """(kind, frames, bytes) of a Xing, Info or VBRI table; its frame holds no sound."""
     for at in {4 + side, 6 + side}:
@@ -120,17 +127,21 @@ def parse(data: bytes) -> dict:
 
     A frame counts where its header is valid and, unless the data end there, another header follows it
     at once; everything else is skipped byte by byte to the next such place. A last frame that is cut
-    short doesn't count.
+    short doesn't count. The letters TAG 128 bytes before the end begin a tag unless they lie within an
+    ID3v2 tag, or within a frame from which frames fill the data to the end.
     """
     tags, at = _id3v2(data)
     v1, stop = _id3v1(data)
-    stop = max(stop, at)
+    if stop < at:
+        v1, stop = {}, len(data)
     offsets, samples, rate, vbr = [], 0, 0, None
     ok = bad = unchecked = resyncs = skipped = 0
     channels, seconds_at, lost = 0, {}, False
     while at < stop:
         h = header(data[at : at + 4])
         end = at + h[6] if h else 0
+        if end > stop and stop < len(data) and _fill(data, end):
+            v1, stop = {}, len(data)
         if h and end <= stop and (end == stop or not lost or header(data[end : end + 4])):
             lost = False
             version, layer, protected, hertz, channels, count, _, side = h

@@ -51,3 +51,26 @@ def test_round_trip(spark):
     assert audio.digest(audio.store(docs.limit(0))).collect() == []
     info = audio.describe(audio.store(docs)).where("doc_id = 4").first().info
     assert info.frames == len(info.offsets) == -(-len(rows[3][1].encode()) // 576) and info.crc_bad == 0
+
+
+def test_letters_tag_inside_the_last_frame_are_payload(spark):
+    texts = ["x" * at + "TAG" + "y" * more for at in (505, 576 + 505) for more in (0, 68)]
+    for raw in (t.encode() for t in texts):
+        payload = raw.ljust(-(-len(raw) // 576) * 576, b"\xff")
+        data = audio.stream_of(payload, len(raw))
+        info = audio.parse(data)
+        assert data[-128:-125] == b"TAG" and audio.payload_of(data, info) == payload
+        assert info["tags"] == {"TXXX:payload_bytes": str(len(raw))} and (info["resyncs"], info["skipped_bytes"]) == (0, 0)
+        # A tag after that frame is one, also where the frame before it is cut short.
+        tag = b"TAG" + b"Song".ljust(125, b"\0")
+        assert audio.parse(data + tag)["tags"]["title"] == "Song" and audio.payload_of(data, audio.parse(data + tag)) == payload
+        cut = audio.parse(data[:-50] + tag)
+        assert cut["tags"]["title"] == "Song" and cut["frames"] == info["frames"] - 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in audio.digest(audio.store(docs)).collect()}
+    for k, t in enumerate(texts):
+        payload = t.encode().ljust(-(-len(t) // 576) * 576, b"\xff")
+        assert (got[k].payload_bytes, got[k].payload_sha256, got[k].tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    # Frames of 72 bytes: the letters stand in the last but one.
+    small = (b"\xff\xf3\x28\xc0" + bytes(12) + b"TAG").ljust(72, b"\0") + (b"\xff\xf3\x28\xc0").ljust(72, b"\0")
+    assert small[-128:-125] == b"TAG" and audio.parse(small)["frames"] == 2 and audio.parse(small)["tags"] == {}
