@@ -48,7 +48,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    kept = linededup.drop_repeated_chunks(table(spark, sf, "documents"))
+    kept = linededup.drop_repeated_passages(table(spark, sf, "documents"))
     return kept.select("doc_id", "text", "removed_chunks", "removed_lines")
 
 

@@ -3,6 +3,9 @@
 Lines are hashed, and a rolling hash over the last line hashes decides where a chunk ends. So a passage
 of lines gets the same chunk borders wherever it stands, whatever was inserted or removed before it.
 Chunks of several lines that occur elsewhere, byte for byte, are removed but for the first occurrence.
+
+Borders are sparse, so passages of a few lines fall between them. `drop_repeated_passages` compares every
+two neighbours instead: lines, and in long lines sentences, so that a repeated passage goes as a whole.
 """
 
 from __future__ import annotations
@@ -11,11 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.llm.text import let
+from lavra.sources.scratch import written
 
 #: Line hashes in the rolling hash.
 WINDOW_LINES = 2
 #: One line in 2**BORDER_BITS ends a chunk.
 BORDER_BITS = 2
+#: A line of so many words is cut into sentences, and a sentence of so many after one word in 2**WORD_BITS.
+LONG_WORDS = 50
+WORD_BITS = 3
 
 
 def line_chunks(text: Column, window: int = WINDOW_LINES, border_bits: int = BORDER_BITS) -> Column:
@@ -89,3 +96,119 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "removed_chunks": F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")),
         "removed_lines": F.coalesce(F.col("__new.lines"), F.lit(0)),
     }).select(*names, "removed_chunks", "removed_lines")
+
+
+def _n_words(text: Column) -> Column:
+    return F.size(F.split(text, r"\s+"))
+
+
+def passage_units(text: Column) -> Column:
+    """array<struct<piece, line, same>>: lines in order, those of LONG_WORDS words or more in pieces.
+
+    The pieces of a line put together are the line; where they are cut depends only on what stands there.
+    `same` is what is compared: the whole line, or the piece without the white space around it.
+    """
+
+    def word_runs(sentence: Column) -> Column:
+        def cut(tokens: Column) -> Column:
+            n = F.size(tokens)
+            ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.shiftrightunsigned(F.xxhash64(F.trim(F.get(tokens, i - 1))), 64 - WORD_BITS) == 0))
+            return let(ends, lambda e: F.zip_with(
+                F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)), e, lambda start, end: F.array_join(F.slice(tokens, start + 1, end - start), ""),
+            ))
+
+        return let(F.split(sentence, r"(?<=\s)", -1), cut)
+
+    def pieces(line: Column) -> Column:
+        sentences = F.split(line, r"(?<=[.!?]\s|[。！？])", -1)
+        return F.filter(F.flatten(F.transform(sentences, lambda s: F.when(_n_words(s) < LONG_WORDS, F.array(s)).otherwise(word_runs(s)))), lambda p: p != "")
+
+    def of(line: Column, i: Column) -> Column:
+        whole = F.array(F.struct(line.alias("piece"), i.alias("line"), line.alias("same")))
+        parts = F.transform(pieces(line), lambda p: F.struct(p.alias("piece"), i.alias("line"), F.regexp_replace(p, r"^\s+|\s+$", "").alias("same")))
+        return F.when(_n_words(line) < LONG_WORDS, whole).otherwise(parts)
+
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), of))
+
+
+def _without(units: Column, places: Column) -> Column:
+    """struct<text, chunks, lines>: the units without the passages that the pairs at these places make up."""
+
+    def passages(gone: Column) -> Column:
+        # Runs of consecutive places: where one begins, and where it ends.
+        runs = F.zip_with(
+            F.array_except(gone, F.transform(gone, lambda p: p + 1)), F.array_except(gone, F.transform(gone, lambda p: p - 1)),
+            lambda start, end: F.struct(start.alias("start"), end.alias("end")),
+        )
+        line = lambda i: F.get(units, i)["line"]
+
+        def counts(r: Column) -> Column:
+            cut_before = F.coalesce(F.when(r["start"] > 0, line(r["start"] - 1)) == line(r["start"]), F.lit(False)).cast("int")
+            cut_after = F.coalesce(line(r["end"] + 1) == line(r["end"]), F.lit(False)).cast("int")
+            lines = line(r["end"]) - line(r["start"]) + 1 - cut_before - cut_after
+            size = F.aggregate(F.slice(units, r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda n, u: n + _n_words(u["same"]))
+            return (lines > 1) | (size >= LONG_WORDS)
+
+        return F.filter(runs, counts)
+
+    def rebuilt(runs: Column) -> Column:
+        dropped = F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["end"])))
+        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(units) - 1), dropped), lambda p: F.get(units, p))
+
+        def joined(k: Column) -> Column:
+            new_line = lambda i: (i > 0) & (F.get(k, F.greatest(i - 1, F.lit(0)))["line"] != F.get(k, i)["line"])
+            text = F.array_join(F.transform(k, lambda u, i: F.concat(F.when(new_line(i), "\n").otherwise(""), u["piece"])), "")
+            lines = F.get(units, F.size(units) - 1)["line"] + 1 - F.size(F.array_distinct(F.transform(k, lambda u: u["line"])))
+            return F.struct(text.alias("text"), F.size(runs).alias("chunks"), lines.alias("lines"))
+
+        return let(kept, joined)
+
+    both = F.array_sort(F.array_distinct(F.concat(places, F.transform(places, lambda p: p + 1))))
+    return let(let(both, passages), rebuilt)
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with text shortened by every repeated passage, and the ints removed_chunks and removed_lines.
+
+    A passage is a run of two lines or more, not all blank, or of LONG_WORDS words or more inside lines,
+    whose every two neighbouring units (see passage_units) stand as neighbours at an earlier place too:
+    in a text of a smaller id, or further to the front. So each unit stays where it first stands. Two
+    places that overlap, as in three equal lines, are one. A line alone is left unless it is that long.
+    removed_chunks counts passages, removed_lines the lines that went whole. No row is dropped; rows
+    without an id, equal rows, null texts and columns of the result's names are as in drop_repeated_chunks.
+
+    Pairs are found by 64-bit hashes; those that repeat are told apart by SHA-256. Both groupings count
+    before they shuffle, and texts are shuffled once, to meet the places of their own pairs.
+    """
+    lean = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t")).where("t is not null")
+
+    def pairs(units: Column) -> Column:
+        def pair(i: Column) -> Column:
+            a, b = F.get(units, i), F.get(units, i + 1)
+            both = F.concat(a["same"], F.when(a["line"] == b["line"], " ").otherwise("\n"), b["same"])
+            return F.struct(i.alias("pos"), both.alias("both"))
+
+        n = F.size(units)
+        return F.filter(F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)), pair), lambda p: F.trim(F.translate(p["both"], "\n\t\r", "   ")) != "")
+
+    found = lean.select("k", "v", F.explode(F.transform(let(passage_units(F.col("t")), pairs), lambda p: F.struct(
+        p["pos"].alias("pos"), F.xxhash64(p["both"]).alias("hash"), F.unhex(F.sha2(p["both"], 256)).alias("pair"),
+    ))).alias("c")).select("k", "v", "c.*")
+    place = F.xxhash64("k", F.col("k").isNull(), "v", "pos")
+    again = found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash")
+    suspects = written(found.join(again, "hash", "left_semi").select("k", "v", "pos", "pair"), "pairs")
+
+    firsts = suspects.groupBy("pair").agg(F.min(F.struct("k", "pos", "v")).alias("first"))
+    at = F.struct("k", "pos", "v")
+    overlapping = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("v") == F.col("first.v")) & (F.col("pos") == F.col("first.pos") + 1)
+    drops = suspects.join(firsts, "pair").where(~at.eqNullSafe(F.col("first")) & ~overlapping)
+    drops = drops.groupBy("k", "v").agg(F.collect_set("pos").alias("__drops")).withColumnsRenamed({"k": "__k", "v": "__v"})
+
+    names = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
+    joined = docs.select(*names).join(drops, F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(text_col) == F.col("__v")), "left")
+    done = joined.withColumn("__new", F.when(F.col("__drops").isNotNull(), let(passage_units(F.col(text_col)), lambda u: _without(u, F.col("__drops")))))
+    return done.withColumns({
+        text_col: F.coalesce(F.col("__new.text"), F.col(text_col)),
+        "removed_chunks": F.coalesce(F.col("__new.chunks"), F.lit(0)),
+        "removed_lines": F.coalesce(F.col("__new.lines"), F.lit(0)),
+    }).select(*names, "removed_chunks", "removed_lines")
