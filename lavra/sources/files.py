@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lavra.sources.scratch import written
+
 REJECT = "_rejected"
 CORPUS = ("fonte", "tipo", "data", "instituicao", "texto_limpido", "na_janela", "data_ausente", "texto_fallback_titulo", "instituicoes_aux")
 
@@ -81,21 +83,20 @@ def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     return values.select(F.regexp_replace("raw", r"\D", "").alias("tax_id")).where("char_length(tax_id) = 14").distinct()
 
 
-def flatten_targets(spark: SparkSession, config_json: DataFrame, depth: int = 5) -> DataFrame:
+def flatten_targets(spark: SparkSession, config_json: DataFrame) -> DataFrame:
     """Rows (instituicao, url_base): the text leaves of nested objects, by their own key.
 
     config_json has one text column. The subtrees `meta` and `INPI` and top-level texts are left out;
-    trailing slashes go. Objects are followed down to `depth` levels.
+    trailing slashes go. Objects are followed as deep as they go; each level is written before the next.
     """
     level = config_json.select(F.try_parse_json(F.col(config_json.columns[0])).alias("v"))
-    leaves = None
-    for k in range(depth):
-        nested = level.where(F.schema_of_variant("v").startswith("OBJECT"))
+    leaves = level.select(F.lit("").alias("instituicao"), F.lit("").alias("url_base")).limit(0)
+    top = True
+    while not (nested := level.where(F.schema_of_variant("v").startswith("OBJECT"))).isEmpty():
         inside = nested.select(F.col("v").alias("node")).lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
-        level = inside.select("key", F.col("value").alias("v")).where("key not in ('meta', 'INPI')")
+        level = written(inside.select("key", F.col("value").alias("v")).where("key not in ('meta', 'INPI')"), "targets")
         texts = level.where(F.schema_of_variant("v") == "STRING").select(F.col("key").alias("instituicao"), F.regexp_replace(F.try_variant_get("v", "$", "string"), "/+$", "").alias("url_base"))
-        if k:
-            leaves = texts if leaves is None else leaves.unionByName(texts)
+        leaves, top = leaves if top else leaves.unionByName(texts), False
     return leaves
 
 

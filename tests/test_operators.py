@@ -185,6 +185,15 @@ def test_targets(spark):
     assert {tuple(r) for r in files.flatten_targets(spark, config).collect()} == {("MEC", "http://mec"), ("IFSP", "http://ifsp"), ("CEFET-MG", "http://mg")}
 
 
+def test_targets_at_any_depth(spark):
+    deep = '{"X": "http://x/"}'
+    for k in range(9):
+        deep = f'{{"L{k}": {deep}, "T{k}": "http://t{k}"}}'
+    config = spark.createDataFrame([(deep,), (None,), ("no json",)], "v string")
+    assert {tuple(r) for r in files.flatten_targets(spark, config).collect()} == {("X", "http://x")} | {(f"T{k}", f"http://t{k}") for k in range(8)}
+    assert files.flatten_targets(spark, config.limit(0)).collect() == []
+
+
 def test_small_ones(spark):
     df = spark.createDataFrame([("a",)], "x string")
     assert rows.project_tolerant(df, ["y", "x"]).first() == ("", "a")
