@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 import json
-import unicodedata
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,6 +30,7 @@ BLOCK_PIECES = 65_536
 MEMO_WORDS = 250_000
 #: Code points handled at once.
 SEGMENT = 1_000_000
+_LOW = re.compile("[\0-\u024f]*").fullmatch
 
 PIECE_FIELDS = [
     T.StructField("piece", T.IntegerType()),
@@ -42,9 +43,10 @@ PIECE_FIELDS = [
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never joins what a blank or a line feed separates.
 
-    Each distinct word is encoded once and remembered, so the tokenizer sees a small part of a corpus.
-    Words of letters and marks below U+0250 go to the tokenizer's merges directly, as its normaliser
-    and splitter would only lower-case and split them; any other word takes its whole way.
+    Each distinct word is encoded once and remembered, and so is each distinct run of letters, which many
+    words share once they are lower-cased and rid of marks; so the tokenizer sees a small part of a
+    corpus. Words of letters and marks below U+0250 go to the tokenizer's merges directly, as its
+    normaliser and splitter would only lower-case and split them; any other word takes its whole way.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -67,38 +69,53 @@ class WordEncoder:
             self.stand_in[c.encode()[1]] = by_byte.pre_tokenize_str(c)[0][0][1]
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what the tokenizer's splitter leaves whole, lower-cased and below U+0250."""
+        found = self.parts.get(part)
+        if found is None:
+            found = self.old_parts.get(part)
+            if found is None:
+                shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.stand_in)
+                # Four bytes an id on every platform that Spark runs on.
+                found = array("I", [t.id for t in self.merge(shown)]).tobytes()
+            self.parts[part] = found
+        return found
 
     def _direct(self, word: str) -> bytes | None:
-        if not word.isascii() and (max(word) >= "\u0250" or not unicodedata.is_normalized("NFC", word)):
-            return None
-        if any(a in word for a in self.added) or not word.isprintable():
-            return None
+        # Below U+0250 every text is in composed form already. A dotted capital I leaves a mark above it.
         lower = word.lower()
-        if "\u0307" in lower:  # of a dotted capital I
+        if not _LOW(lower):
+            return None
+        if lower.isalpha():
+            return self._part(lower)
+        head, mark = lower[:-1], lower[-1]
+        if head.isalpha() and "!" <= mark <= "~":
+            return self._part(head) + self._part(mark)
+        if not word.isprintable() or any(a in word for a in self.added):
             return None
-        ids = array("I")  # four bytes on every platform that Spark runs on
-        for part in (lower,) if lower.isalpha() else self.split(lower):
-            if not part.isascii():
-                part = part.encode().decode("latin-1").translate(self.stand_in)
-            ids.extend([t.id for t in self.merge(part)])
-        return ids.tobytes()
+        return b"".join(map(self._part, self.split(lower)))
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Makes sure that all words are known; the least lately used are forgotten."""
         if len(self.young) > MEMO_WORDS:
             self.young, self.old = {"": b""}, self.young
-        rest = []
-        for word in words.difference(self.young):
-            found = self.old.get(word)
+        if len(self.parts) > MEMO_WORDS:
+            self.parts, self.old_parts = {}, self.parts
+        young, old, direct, rest = self.young, self.old, self._direct, []
+        for word in words.difference(young):
+            found = old.get(word)
             if found is None:
-                found = self._direct(word)
+                found = direct(word)
             if found is None:
                 rest.append(word)
             else:
-                self.young[word] = found
+                young[word] = found
         for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
-            self.young[word] = np.array(e.ids, dtype="<u4").tobytes()
-        return self.young
+            young[word] = np.array(e.ids, dtype="<u4").tobytes()
+        return young
 
     def segments(self, text: str) -> Iterator[list[str]]:
         at = 0
@@ -112,9 +129,9 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         for few in _by_size(texts):
             split = [list(self.segments(t)) for t in few]
-            known = self.learn({w for segs in split for seg in segs for w in seg})
+            known = self.learn(set().union(*(seg for segs in split for seg in segs))).__getitem__
             for segs in split:
-                yield b"".join(b"".join(map(known.__getitem__, seg)) for seg in segs)
+                yield b"".join(b"".join(map(known, seg)) for seg in segs)
 
 
 def _by_size(texts: list[str]) -> Iterator[list[str]]:

@@ -99,3 +99,37 @@ def test_sequences_hold_the_ids(spark, tokenizer):
     flat = sorted(x for r in got for x in r.input_ids)
     want = sorted(x for i in range(1, 30) for x in [*tokenizer.encode(f"some text {i} " * i, add_special_tokens=False).ids, 1])
     assert flat == want and all(r.length == len(r.input_ids) <= 128 for r in got)
+
+
+def plain_best_two_fit(lengths, capacity):
+    """The lengths in each bin, by trying every piece and every pair."""
+    left, bins = list(lengths), []
+    while left:
+        chosen, gap = [], capacity
+        while fitting := [v for v in left if v <= gap]:
+            v = max(fitting)
+            left.remove(v)
+            chosen.append(v)
+            gap -= v
+        small = chosen[-1]
+        sums = [a + b for i, a in enumerate(left) for b in left[:i] if small < a + b <= small + gap]
+        if sums:
+            chosen.pop()
+            left.append(small)
+            # Of the pairs with the largest sum, that of the most equal pieces.
+            pairs = [(abs(a - b), max(a, b), min(a, b)) for i, a in enumerate(left[:-1]) for b in left[:i] if a + b == max(sums)]
+            _, a, b = min(pairs)
+            left.remove(a)
+            left.remove(b)
+            chosen += [a, b]
+        bins.append(sorted(chosen))
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=30))
+def test_best_two_fit_equals_trying_everything(lengths):
+    sizes = np.array(lengths)
+    bins, _ = packing.best_two_fit(sizes, 24)
+    got = [sorted(int(sizes[i]) for i in np.flatnonzero(bins == b)) for b in range(bins.max() + 1)]
+    assert got == plain_best_two_fit(lengths, 24)
