@@ -4,8 +4,9 @@ Lines are hashed, and a rolling hash over the last line hashes decides where a c
 of lines gets the same chunk borders wherever it stands, whatever was inserted or removed before it.
 Chunks of several lines that occur elsewhere, byte for byte, are removed but for the first occurrence.
 
-Borders are sparse, so passages of a few lines fall between them. `drop_repeated_passages` compares every
-two neighbours instead: lines, and in long lines sentences, so that a repeated passage goes as a whole.
+Borders are sparse, so passages of a few lines fall between them. `drop_repeated_passages` therefore takes
+the rolling hash over two neighbouring lines (in long lines: sentences) at every place, and puts the borders
+where it stops repeating elsewhere, so that a repeated passage goes as a whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.text import let
+from lavra.llm.text import let, unused
 from lavra.sources.scratch import written
 
 #: Line hashes in the rolling hash.
@@ -23,6 +24,7 @@ BORDER_BITS = 2
 #: A line of so many words is cut into sentences, and a sentence of so many after one word in 2**WORD_BITS.
 LONG_WORDS = 50
 WORD_BITS = 3
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def line_chunks(text: Column, window: int = WINDOW_LINES, border_bits: int = BORDER_BITS) -> Column:
@@ -69,32 +71,56 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lean = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t")).where("t is not null")
 
     hashed = F.transform(chunks(F.col("t")), lambda c, i: F.struct(i.alias("pos"), F.when(_several(c), F.xxhash64(c)).alias("hash"), F.octet_length(F.array_join(c, "\n")).alias("bytes")))
-    places = lean.select("k", "v", F.explode(F.filter(hashed, lambda c: c["hash"].isNotNull())).alias("c")).select("k", "v", "c.*").distinct()
-    again = places.groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    suspects = places.join(again, ["hash", "bytes"]).groupBy("k", "v").agg(F.collect_list("pos").alias("places"))
-    suspects = suspects.select(F.col("k").alias("s_k"), F.col("v").alias("s_v"), "places")
-
-    compared = lean.join(suspects, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("v") == F.col("s_v"))).select(
-        "k", "v", F.explode(let(chunks(F.col("t")), lambda cs: F.transform("places", lambda p: F.struct(p.alias("pos"), F.array_join(F.get(cs, p), "\n").alias("chunk"))))).alias("c")
-    ).select("k", "v", "c.pos", "c.chunk")
-    firsts = compared.groupBy("chunk").agg(F.min(F.struct("k", "pos", "v")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    drops = compared.join(firsts.drop("n"), "chunk").where(~F.struct("k", "pos", "v").eqNullSafe(F.col("first")))
-    drops = drops.groupBy("k", "v").agg(F.collect_set("pos").alias("__drops")).withColumnsRenamed({"k": "__k", "v": "__v"})
+    places = written(lean.select("k", "v", F.explode(F.filter(hashed, lambda c: c["hash"].isNotNull())).alias("c")).select("k", "v", "c.*").distinct(), "chunks")
+    again = written(places.groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeats")
+    suspects = places.join(again, ["hash", "bytes"], "left_semi").groupBy("k", "v").agg(F.collect_list("pos").alias("places"))
+
+    def suspected(text: Column) -> Column:
+        return let(chunks(text), lambda cs: F.transform("places", lambda p: F.struct(p.alias("pos"), F.unhex(F.sha2(F.array_join(F.get(cs, p), "\n"), 256)).alias("same"))))
+
+    drops = _later(_at_places(lean, suspects, suspected)).groupBy("k", "v").agg(F.collect_set("pos").alias("drops"))
+
+    def rebuilt(text: Column, places: Column) -> Column:
+        return let(
+            chunks(text),
+            lambda cs: let(
+                F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), places), lambda p: F.get(cs, p)),
+                lambda kept: F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), F.size(places).alias("chunks"), (F.size(F.flatten(cs)) - F.size(F.flatten(kept))).alias("lines")),
+            ),
+        )
+
+    return _shortened(docs, drops, id_col, text_col, rebuilt)
+
+
+def _at_places(lean: DataFrame, suspects: DataFrame, of) -> DataFrame:
+    """Rows (k, v, pos, same): what the text of lean (k, v, t) has at the places of suspects (k, v, places)."""
+    s = written(suspects.withColumnsRenamed({"k": "s_k", "v": "s_v"}), "suspects")
+    there = lean.join(s, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("v") == F.col("s_v")))
+    return written(there.select("k", "v", F.explode(of(F.col("t"))).alias("c")).select("k", "v", "c.*").distinct(), "compared")
+
+
+def _later(compared: DataFrame) -> DataFrame:
+    """The rows (k, v, pos, same) that are not the first of their `same`, with `first`, the place of that one.
 
+    The firsts are a table of their own: the join then has an exchange on both sides, so that what a
+    third of all rows share is split by the planner like any skewed key.
+    """
+    at = F.struct("k", "pos", "v")
+    firsts = written(compared.groupBy("same").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "firsts")
+    return compared.join(firsts, "same").where(~at.eqNullSafe(F.col("first")))
+
+
+def _shortened(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str, rebuilt) -> DataFrame:
+    """docs with rebuilt(text, drops), a struct<text, chunks, lines>, where drops (k, v, drops) has a row."""
     names = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
-    joined = docs.select(*names).join(drops, F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(text_col) == F.col("__v")), "left")
-    rebuilt = let(
-        chunks(F.col(text_col)),
-        lambda cs: let(
-            F.transform(F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), F.col("__drops")), lambda p: F.get(cs, p)),
-            lambda kept: F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), (F.size(F.flatten(cs)) - F.size(F.flatten(kept))).alias("lines")),
-        ),
-    )
-    done = joined.withColumn("__new", F.when(F.col("__drops").isNotNull(), rebuilt))
+    k, v, places, new = unused(docs, "k", "v", "drops", "new")
+    gone = drops.withColumnsRenamed({"k": k, "v": v, "drops": places})
+    joined = docs.select(*names).join(gone, F.col(id_col).eqNullSafe(F.col(k)) & (F.xxhash64(text_col) == F.col(v)), "left")
+    done = joined.withColumn(new, F.when(F.col(places).isNotNull(), rebuilt(F.col(text_col), F.col(places))))
     return done.withColumns({
-        text_col: F.coalesce(F.col("__new.text"), F.col(text_col)),
-        "removed_chunks": F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")),
-        "removed_lines": F.coalesce(F.col("__new.lines"), F.lit(0)),
+        text_col: F.coalesce(F.col(new)["text"], F.col(text_col)),
+        "removed_chunks": F.coalesce(F.col(new)["chunks"], F.lit(0)),
+        "removed_lines": F.coalesce(F.col(new)["lines"], F.lit(0)),
     }).select(*names, "removed_chunks", "removed_lines")
 
 
@@ -102,6 +128,11 @@ def _n_words(text: Column) -> Column:
     return F.size(F.split(text, r"\s+"))
 
 
+def _long(text: Column) -> Column:
+    """Whether the text has LONG_WORDS words; most are told by their length, without a regular expression."""
+    return (F.char_length(text) >= 2 * LONG_WORDS - 3) & (_n_words(text) >= LONG_WORDS)
+
+
 def passage_units(text: Column) -> Column:
     """array<struct<piece, line, same>>: lines in order, those of LONG_WORDS words or more in pieces.
 
@@ -121,12 +152,12 @@ def passage_units(text: Column) -> Column:
 
     def pieces(line: Column) -> Column:
         sentences = F.split(line, r"(?<=[.!?]\s|[。！？])", -1)
-        return F.filter(F.flatten(F.transform(sentences, lambda s: F.when(_n_words(s) < LONG_WORDS, F.array(s)).otherwise(word_runs(s)))), lambda p: p != "")
+        return F.filter(F.flatten(F.transform(sentences, lambda s: F.when(_long(s), word_runs(s)).otherwise(F.array(s)))), lambda p: p != "")
 
     def of(line: Column, i: Column) -> Column:
         whole = F.array(F.struct(line.alias("piece"), i.alias("line"), line.alias("same")))
-        parts = F.transform(pieces(line), lambda p: F.struct(p.alias("piece"), i.alias("line"), F.regexp_replace(p, r"^\s+|\s+$", "").alias("same")))
-        return F.when(_n_words(line) < LONG_WORDS, whole).otherwise(parts)
+        parts = F.transform(pieces(line), lambda p: F.struct(p.alias("piece"), i.alias("line"), F.btrim(p, F.lit(_BLANKS)).alias("same")))
+        return F.when(_long(line), parts).otherwise(whole)
 
     return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), of))
 
@@ -177,38 +208,31 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     removed_chunks counts passages, removed_lines the lines that went whole. No row is dropped; rows
     without an id, equal rows, null texts and columns of the result's names are as in drop_repeated_chunks.
 
-    Pairs are found by 64-bit hashes; those that repeat are told apart by SHA-256. Both groupings count
-    before they shuffle, and texts are shuffled once, to meet the places of their own pairs.
+    Units are hashed once, and a rolling hash of two neighbours is taken at every place. Places whose
+    rolling hash repeats are compared as bytes, by SHA-256. Both groupings count before they shuffle, and
+    texts are shuffled twice, by document: to be compared, and to be rewritten.
     """
     lean = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t")).where("t is not null")
 
-    def pairs(units: Column) -> Column:
-        def pair(i: Column) -> Column:
-            a, b = F.get(units, i), F.get(units, i + 1)
-            both = F.concat(a["same"], F.when(a["line"] == b["line"], " ").otherwise("\n"), b["same"])
-            return F.struct(i.alias("pos"), both.alias("both"))
-
-        n = F.size(units)
-        return F.filter(F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)), pair), lambda p: F.trim(F.translate(p["both"], "\n\t\r", "   ")) != "")
+    def rolled(units: Column) -> Column:
+        hashes = F.transform(units, lambda u: F.struct(F.xxhash64(u["same"]).alias("h"), u["line"].alias("line"), (F.btrim(u["same"], F.lit(_BLANKS)) == "").alias("blank")))
+        after = lambda h: F.slice(h, F.lit(2), F.size(h))
+        return let(hashes, lambda h: F.zip_with(h, after(h), lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.xxhash64(a["h"], b["h"], a["line"] == b["line"]))))
 
-    found = lean.select("k", "v", F.explode(F.transform(let(passage_units(F.col("t")), pairs), lambda p: F.struct(
-        p["pos"].alias("pos"), F.xxhash64(p["both"]).alias("hash"), F.unhex(F.sha2(p["both"], 256)).alias("pair"),
-    ))).alias("c")).select("k", "v", "c.*")
+    lines = written(lean.select("k", "v", let(passage_units(F.col("t")), rolled).alias("rolled")).where("size(rolled) > 1"), "rolled-hashes")
+    found = lines.select("k", "v", F.posexplode("rolled").alias("pos", "hash")).where("hash is not null")
     place = F.xxhash64("k", F.col("k").isNull(), "v", "pos")
-    again = found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash")
-    suspects = written(found.join(again, "hash", "left_semi").select("k", "v", "pos", "pair"), "pairs")
+    again = written(found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash"), "repeats")
+    suspects = found.join(again, "hash", "left_semi").groupBy("k", "v").agg(F.collect_list("pos").alias("places"))
 
-    firsts = suspects.groupBy("pair").agg(F.min(F.struct("k", "pos", "v")).alias("first"))
-    at = F.struct("k", "pos", "v")
-    overlapping = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("v") == F.col("first.v")) & (F.col("pos") == F.col("first.pos") + 1)
-    drops = suspects.join(firsts, "pair").where(~at.eqNullSafe(F.col("first")) & ~overlapping)
-    drops = drops.groupBy("k", "v").agg(F.collect_set("pos").alias("__drops")).withColumnsRenamed({"k": "__k", "v": "__v"})
+    def pairs(units: Column) -> Column:
+        def pair(p: Column) -> Column:
+            a, b = F.get(units, p), F.get(units, p + 1)
+            return F.struct(p.alias("pos"), F.unhex(F.sha2(F.concat(a["same"], F.when(a["line"] == b["line"], " ").otherwise("\n"), b["same"]), 256)).alias("same"))
 
-    names = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
-    joined = docs.select(*names).join(drops, F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(text_col) == F.col("__v")), "left")
-    done = joined.withColumn("__new", F.when(F.col("__drops").isNotNull(), let(passage_units(F.col(text_col)), lambda u: _without(u, F.col("__drops")))))
-    return done.withColumns({
-        text_col: F.coalesce(F.col("__new.text"), F.col(text_col)),
-        "removed_chunks": F.coalesce(F.col("__new.chunks"), F.lit(0)),
-        "removed_lines": F.coalesce(F.col("__new.lines"), F.lit(0)),
-    }).select(*names, "removed_chunks", "removed_lines")
+        return F.transform("places", pair)
+
+    later = _later(_at_places(lean, suspects, lambda t: let(passage_units(t), pairs)))
+    overlapping = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("v") == F.col("first.v")) & (F.col("pos") == F.col("first.pos") + 1)
+    drops = later.where(~overlapping).groupBy("k", "v").agg(F.collect_set("pos").alias("drops"))
+    return _shortened(docs, drops, id_col, text_col, lambda t, places: let(passage_units(t), lambda u: _without(u, places)))
