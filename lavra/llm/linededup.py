@@ -25,6 +25,7 @@ BORDER_BITS = 2
 LONG_WORDS = 50
 WORD_BITS = 3
 _BLANKS = " \t\n\x0b\f\r"
+_CUT = "\x01"
 
 
 def line_chunks(text: Column, window: int = WINDOW_LINES, border_bits: int = BORDER_BITS) -> Column:
@@ -128,38 +129,102 @@ def _n_words(text: Column) -> Column:
     return F.size(F.split(text, r"\s+"))
 
 
-def _long(text: Column) -> Column:
-    """Whether the text has LONG_WORDS words; most are told by their length, without a regular expression."""
-    return (F.char_length(text) >= 2 * LONG_WORDS - 3) & (_n_words(text) >= LONG_WORDS)
+def _simple(text: Column) -> Column:
+    """Whether single blanks and line feeds are its only white space, and _CUT isn't in it."""
+    odd = F.contains(text, F.lit("  "))
+    for c in "\t\x0b\f\r" + _CUT:
+        odd = odd | F.contains(text, F.lit(c))
+    return ~odd
 
 
-def passage_units(text: Column) -> Column:
-    """array<struct<piece, line, same>>: lines in order, those of LONG_WORDS words or more in pieces.
+def _by_spacing(text: Column, of) -> Column:
+    """of(text, simple): what regular expressions do, string functions do for simple texts at a fraction of the cost."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(_simple(t), of(t, True)).otherwise(of(t, False))
 
-    The pieces of a line put together are the line; where they are cut depends only on what stands there.
-    `same` is what is compared: the whole line, or the piece without the white space around it.
-    """
+
+def _long(text: Column, simple: bool) -> Column:
+    """Whether the text has LONG_WORDS words."""
+    if simple:
+        return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "))) >= LONG_WORDS - 1
+    return (F.octet_length(text) >= 2 * LONG_WORDS - 3) & (_n_words(text) >= LONG_WORDS)
+
+
+def _trimmed(text: Column, simple: bool) -> Column:
+    return F.trim(text) if simple else F.btrim(text, F.lit(_BLANKS))
+
+
+def _pieces(line: Column, simple: bool) -> Column:
+    """array<string>: a long line in sentences, and long sentences in runs of words; put together they are the line."""
+    ends = lambda word: F.shiftrightunsigned(F.xxhash64(word), 64 - WORD_BITS) == 0
 
     def word_runs(sentence: Column) -> Column:
+        if simple:
+            marked = F.array_join(F.transform(F.split(sentence, " ", -1), lambda w: F.when(ends(w), F.concat(w, F.lit(_CUT))).otherwise(w)), " ")
+            return F.split(F.replace(marked, F.lit(_CUT + " "), F.lit(" " + _CUT)), _CUT, -1)
+
         def cut(tokens: Column) -> Column:
             n = F.size(tokens)
-            ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.shiftrightunsigned(F.xxhash64(F.trim(F.get(tokens, i - 1))), 64 - WORD_BITS) == 0))
-            return let(ends, lambda e: F.zip_with(
+            at = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ends(F.trim(F.get(tokens, i - 1))))
+            return let(at, lambda e: F.zip_with(
                 F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)), e, lambda start, end: F.array_join(F.slice(tokens, start + 1, end - start), ""),
             ))
 
         return let(F.split(sentence, r"(?<=\s)", -1), cut)
 
-    def pieces(line: Column) -> Column:
+    if simple:
+        marked = line
+        for end in (". ", "! ", "? ", "。", "！", "？"):
+            marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
+        sentences = F.split(marked, _CUT, -1)
+    else:
         sentences = F.split(line, r"(?<=[.!?]\s|[。！？])", -1)
-        return F.filter(F.flatten(F.transform(sentences, lambda s: F.when(_long(s), word_runs(s)).otherwise(F.array(s)))), lambda p: p != "")
+    long = lambda s: _long(s, simple)
+    cut = lambda ss: F.when(F.exists(ss, long), F.flatten(F.transform(ss, lambda s: F.when(long(s), word_runs(s)).otherwise(F.array(s))))).otherwise(ss)
+    return F.filter(let(sentences, cut), lambda p: p != "")
+
+
+def passage_units(text: Column) -> Column:
+    """array<struct<piece, line, same>>: lines in order, those of LONG_WORDS words or more in pieces.
 
-    def of(line: Column, i: Column) -> Column:
-        whole = F.array(F.struct(line.alias("piece"), i.alias("line"), line.alias("same")))
-        parts = F.transform(pieces(line), lambda p: F.struct(p.alias("piece"), i.alias("line"), F.btrim(p, F.lit(_BLANKS)).alias("same")))
-        return F.when(_long(line), parts).otherwise(whole)
+    The pieces of a line put together are the line; where they are cut depends only on what stands there.
+    `same` is what is compared: the whole line, or the piece without the white space around it.
+    """
+
+    def units(t: Column, simple: bool) -> Column:
+        def of(line: Column, i: Column) -> Column:
+            whole = F.array(F.struct(line.alias("piece"), i.alias("line"), line.alias("same")))
+            parts = F.transform(_pieces(line, simple), lambda p: F.struct(p.alias("piece"), i.alias("line"), _trimmed(p, simple).alias("same")))
+            return F.when(_long(line, simple), parts).otherwise(whole)
 
-    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), of))
+        return F.flatten(F.transform(F.split(t, "\n", -1), of))
+
+    return _by_spacing(text, units)
+
+
+def rolling_hashes(text: Column) -> Column:
+    """array<bigint>: at each of passage_units a hash of it and its neighbour; null where both are blank, and at the last.
+
+    It is rolled over codes of the units: a hash of `same`, its last bit for blank units, the one before
+    for those that begin a line.
+    """
+
+    def code(same: Column, blank: Column, begins) -> Column:
+        return F.shiftleft(F.xxhash64(same), 2) + F.when(blank, 1).otherwise(0) + begins
+
+    def codes_of(t: Column, simple: bool) -> Column:
+        def of(line: Column) -> Column:
+            parts = F.transform(F.transform(_pieces(line, simple), lambda p: _trimmed(p, simple)), lambda p, i: code(p, p == "", F.when(i == 0, 2).otherwise(0)))
+            return F.when(_long(line, simple), parts).otherwise(F.array(code(line, _trimmed(line, simple) == "", F.lit(2))))
+
+        return F.flatten(F.transform(F.split(t, "\n", -1), of))
+
+    def rolled(codes: Column) -> Column:
+        others = F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0)))
+        either = lambda a, b: F.when(b.isNotNull() & (a.bitwiseAND(b).bitwiseAND(F.lit(1)) == 0), F.xxhash64(a.bitwiseAND(F.lit(-3)), b))
+        return F.zip_with(codes, others, either)
+
+    return let(_by_spacing(text, codes_of), rolled)
 
 
 def _without(units: Column, places: Column) -> Column:
@@ -214,12 +279,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     lean = docs.select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t")).where("t is not null")
 
-    def rolled(units: Column) -> Column:
-        hashes = F.transform(units, lambda u: F.struct(F.xxhash64(u["same"]).alias("h"), u["line"].alias("line"), (F.btrim(u["same"], F.lit(_BLANKS)) == "").alias("blank")))
-        after = lambda h: F.slice(h, F.lit(2), F.size(h))
-        return let(hashes, lambda h: F.zip_with(h, after(h), lambda a, b: F.when(b.isNotNull() & ~(a["blank"] & b["blank"]), F.xxhash64(a["h"], b["h"], a["line"] == b["line"]))))
-
-    lines = written(lean.select("k", "v", let(passage_units(F.col("t")), rolled).alias("rolled")).where("size(rolled) > 1"), "rolled-hashes")
+    lines = written(lean.select("k", "v", rolling_hashes(F.col("t")).alias("rolled")), "rolled-hashes")
     found = lines.select("k", "v", F.posexplode("rolled").alias("pos", "hash")).where("hash is not null")
     place = F.xxhash64("k", F.col("k").isNull(), "v", "pos")
     again = written(found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash"), "repeats")

@@ -144,3 +144,13 @@ def test_whole_passages_go_wherever_they_stand(spark, monkeypatch):
     got = {r.doc_id: r.text for r in catalog.op7_line_dedup(spark, "")[["doc_id", "text"]].collect()}
     assert all(got[p] == texts[p] and got[100 + p] == f"common line\nown 1 {p}\nend 1 {p}" for p in range(30))
     assert got[900] == texts[900] and "word3x3" not in got[901] and got[901].startswith("Begin 1") and got[901].endswith("End 1 own.")
+
+
+def test_simple_and_general_units_are_the_same(spark):
+    rng = random.Random(8)
+    bits = ["a", "bc. ", "d!", " e? ", "。", "f", " ", "\n", "word ", "g.h ", "！x", "long " * 60]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 60))),) for _ in range(200)]
+    df = spark.createDataFrame([r for r in rows if "  " not in r[0]] + [("",), (("word " * 200).strip(),)], "t string")
+    pieces = [linededup._pieces(F.col("t"), s) for s in (True, False)]
+    long = [linededup._long(F.col("t"), s) for s in (True, False)]
+    assert df.where((pieces[0] != pieces[1]) | (long[0] != long[1])).count() == 0
