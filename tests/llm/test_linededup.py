@@ -148,7 +148,7 @@ def test_whole_passages_go_wherever_they_stand(spark, monkeypatch):
 
 def test_simple_and_general_units_are_the_same(spark):
     rng = random.Random(8)
-    bits = ["a", "bc. ", "d!", " e? ", "。", "f", " ", "\n", "word ", "g.h ", "！x", "long " * 60]
+    bits = ["a", "bc. ", "d!", " e? ", "。", "f", " ", "word ", "g.h ", "！x", "long " * 60]
     rows = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 60))),) for _ in range(200)]
     df = spark.createDataFrame([r for r in rows if "  " not in r[0]] + [("",), (("word " * 200).strip(),)], "t string")
     pieces = [linededup._pieces(F.col("t"), s) for s in (True, False)]
