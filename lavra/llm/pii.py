@@ -2,10 +2,14 @@ r"""PII: surrogate generation.
 
 Detected entities get replacements made from a keyed hash: the same entity gets the same one in every
 document, different entities different ones, and none equals an entity of the corpus. A replacement has
-the format, script and, for names after a title, the gender of what it stands for.
+the format, script, capitals and, for names after a title, the gender of what it stands for.
 
-Kinds: email, phone (with a country code, or `(ddd) ddd-dddd`), card (13 to 19 digits that pass the Luhn
-test), ssn, ip, secret (AWS key ids, and values after password, token and the like), person.
+Kinds: email, phone (international, or ten digits in three groups), card (13 to 19 digits that pass the
+Luhn test, whole or in the groups that cards have), iban (with right check digits), ssn, ip, ipv6, secret
+(AWS key ids, and values after password, token and the like), person.
+
+Persons are found by a title, or by words that introduce a name (`my name is`, `Dear`, `Sincerely,`). Their
+names are then replaced wherever else they stand in the same document, in any case of letters.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.llm.text import let
+from lavra.llm.text import let, unused
 from lavra.sources.scratch import written
 
 #: Rounds of surrogates for entities whose earlier ones collided.
@@ -21,59 +25,94 @@ ROUNDS = 40
 #: From this round on, formats that may grow do, so that small ones are not exhausted.
 GROW_FROM = 6
 DEFAULT_KEY = "change me"
-
-_MALE = "Mr|Herr|Monsieur|Señor|Господин|г-н"
-_FEMALE = "Mrs|Ms|Frau|Madame|Señora|Госпожа|г-жа"
+#: A name of fewer letters is only looked for with a capital first letter or in capitals: it may be a word.
+SHORT_NAME = 4
+
+_MALE = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Господин", "г-н")
+_FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Госпожа", "г-жа")
+_EITHER = ("Dr", "Prof", "Professor", "Mx", "Доктор")
+_forms = lambda titles: "|".join(dict.fromkeys(f for t in titles for f in (t, t.upper())))
+_TITLE = rf"(?:{_forms((*_MALE, *_FEMALE, *_EITHER))})\.? (?:\p{{Lu}}\. ?){{0,2}}"
+_NAME = r"\p{Lu}(?:\p{L}++(?:[-'’]\p{L}{2,}+)*+|['’]\p{L}{2,}+)"
+_PARTICLE = r"(?: (?:van|von|der|den|de|del|di|da|do|dos|la|le|bin|al))"
+_NAMES = rf"{_NAME}(?:{_PARTICLE}{{0,2}} {_NAME})?"
+_SAID = r"(?i:my name is|this is|i am|i['’]m)\s{1,2}"
+_SIGNED = r"(?i:dear|sincerely,|regards,|signed,?|name:|author:|contact:|attn:?)\s{1,2}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Alternatives in order of precedence. Each begins at a border that its own characters cannot cross, so
-#: long runs of letters or digits are read once.
+#: long runs of letters or digits are read once. None reads on into what no entity of its kind has, so one
+#: that fails its test hides no other.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+",
     "secret": r"""(?<![\w])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}["']?[^\s"']{6,}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])""",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{8,15})(?!\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]\d{4}|\(\d{3}\) ?\d{3}-\d{4}|\+\d{8,15}|\+(?=(?:\D{0,2}\d){8})\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,6})(?!\d)"
+    r"|(?<![\w.+-])\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}(?![\w-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![\w-])\d{3}(?:-\d{2}-| \d{2} )\d{4}(?![\w-])",
+    "ipv6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
-    "person": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
+    "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3}| \d{6} \d{4,5}|-\d{6}-\d{4,5}))(?!\w)",
+    "person": rf"(?<![\p{{L}}])(?:{_TITLE}{_NAMES}|{_SAID}{_NAME}(?:{_PARTICLE}{{0,2}} {_NAME})|(?i:my name is)\s{{1,2}}{_NAME}|{_SIGNED}{_NAME}{_PARTICLE}{{0,2}} {_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_BEFORE_NAME = rf"^((?:{_TITLE}|{_SAID}|{_SIGNED}))"
 
 _LATIN_ON, _LATIN_VOW = "bdfgklmnprstvz", "aeiou"
 _CYR_ON, _CYR_VOW = "бвгдзклмнпрст", "аеиоу"
 
 
+def _mod97(text: Column) -> Column:
+    """The number that the text spells modulo 97, letters standing for 10 to 35."""
+    def step(total: Column, c: Column) -> Column:
+        n = F.ascii(c)
+        return F.when(n < 58, total * 10 + n - 48).otherwise(total * 100 + n - 55) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
 def kind_of(match: Column) -> Column:
-    """The kind of a match of ANY; null for digits that are no card."""
+    """The kind of a match of ANY; null for digits that are no card, or no iban."""
+    packed = F.replace(match, F.lit(" "))
     out = F
     for kind, pattern in PATTERNS.items():
         test = match.rlike(rf"^(?:{pattern})$")
         if kind == "card":
             test = test & F.call_function("luhn_check", F.regexp_replace(match, r"\D", ""))
+        if kind == "iban":
+            test = test & (_mod97(F.concat(F.substr(packed, F.lit(5)), F.substr(packed, F.lit(1), F.lit(4)))) == 1)
         out = out.when(test, kind)
     return out
 
 
+def names_in(match: Column) -> Column:
+    """array<string>: the words of a person match that are names; titles, initials and particles are not."""
+    return F.filter(F.split(F.regexp_replace(match, _BEFORE_NAME, ""), " "), lambda w: w.rlike(r"^\p{Lu}"))
+
+
 def entities_of(match: Column, kind: Column) -> Column:
     """array<struct<kind, canonical>>: what of a match is replaced, in a form that its spellings share.
 
-    A person has a surname and before it, if two words follow the title, a given name; so the surname
-    alone later means the same person. Phones and cards are their digits.
+    A person has a surname and before it, if two words follow, a given name; so the surname alone later
+    means the same person. Phones, cards and ssns are their digits.
     """
     digits = F.regexp_replace(match, r"\D", "")
     one = lambda value: F.array(F.struct(kind.alias("kind"), value.alias("canonical")))
-    gender = F.when(match.rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
-    words = F.split(F.regexp_replace(match, r"^\S+ ", ""), " ")
-    named = F.transform(
-        words,
-        lambda w, i: F.struct(
-            F.concat(F.when(i == F.size(words) - 1, "surname").otherwise("given"), F.when(w.rlike(r"^\p{IsCyrillic}"), F.concat(F.lit("_cyrillic_"), gender)).when(i == F.size(words) - 1, "").otherwise(F.concat(F.lit("_"), gender))).alias("kind"),
-            F.lower(w).alias("canonical"),
-        ),
-    )
+    gender = F.when(match.rlike(rf"^(?:{_forms(_FEMALE)})\.? "), "f").when(match.rlike(rf"^(?:{_forms(_MALE)})\.? "), "m").otherwise("u")
+
+    def named(words: Column) -> Column:
+        def of(w: Column, i: Column) -> Column:
+            last = i == F.size(words) - 1
+            cyrillic = F.concat(F.lit("_cyrillic_"), gender)
+            kind = F.concat(F.when(last, "surname").otherwise("given"), F.when(w.rlike(r"^\p{IsCyrillic}"), cyrillic).when(last, "").otherwise(F.concat(F.lit("_"), gender)))
+            return F.struct(kind.alias("kind"), F.lower(w).alias("canonical"))
+
+        return F.transform(words, of)
+
     secret = F.when(match.startswith("AKIA"), match).otherwise(F.regexp_extract(match, r"""[=:]\s{0,2}["']?([^\s"']+)$""", 1))
     return (
-        F.when(kind == "person", named).when(kind.isin("phone", "card", "ssn"), one(digits)).when(kind == "email", one(F.lower(match)))
-        .when(kind == "secret", one(secret)).otherwise(one(match))
+        F.when(kind == "person", let(names_in(match), named)).when(kind.isin("phone", "card", "ssn"), one(digits)).when(kind.isin("email", "ipv6"), one(F.lower(match)))
+        .when(kind == "iban", one(F.replace(match, F.lit(" ")))).when(kind == "secret", one(secret)).otherwise(one(match))
     )
 
 
@@ -130,12 +169,17 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     email = F.concat(_same_classes(local, seed), grown, F.lit("@"), _same_classes(F.regexp_replace(domain, r"\.[^.]+$", ""), domain_seed), F.lit("."), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_noise(seed, i, 254) + 1).cast("string")), ".")
     card = let(_digits(F.expr("substring(canonical, 1, char_length(canonical) - 1)"), seed, 1), lambda body: F.concat(body, _luhn_digit(body)))
+    ipv6 = F.array_join(F.transform(F.split(canonical, ""), lambda c, i: F.when(c == ":", c).otherwise(_pick("123456789abcdef", seed, i))), "")
+    iban = let(
+        F.concat(_same_classes(F.expr("substring(canonical, 5)"), seed), F.substr(canonical, F.lit(1), F.lit(2))),
+        lambda body: F.concat(F.right(body, F.lit(2)), F.lpad((98 - _mod97(F.concat(body, F.lit("00")))).cast("string"), 2, "0"), F.substr(body, F.lit(1), F.char_length(body) - 2)),
+    )
     parts = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.char_length(canonical) / 3).cast("int"))) + more
     latin_end = F.when(kind == "given_f", "a").when(kind == "given_m", _pick("nrs", seed, F.lit(0))).otherwise(_pick("nrskt", seed, F.lit(0)))
     cyr_end = F.when(kind == "surname_cyrillic_m", "ов").when(kind == "surname_cyrillic_f", "ова").when(kind == "given_cyrillic_f", "на").otherwise(_pick("нрм", seed, F.lit(0)))
     return (
         F.when(kind == "email", email).when(kind == "phone", _digits(canonical, seed, 1)).when(kind == "ssn", _digits(canonical, seed, 0))
-        .when(kind == "card", card).when(kind == "ip", ip)
+        .when(kind == "card", card).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "iban", iban)
         .when(kind == "secret", F.concat(F.when(canonical.startswith("AKIA"), F.concat(F.lit("AKIA"), _same_classes(F.substr(canonical, F.lit(5)), seed))).otherwise(F.concat(_same_classes(canonical, seed), grown))))
         .when(kind.contains("cyrillic"), _name(seed, _CYR_ON, _CYR_VOW, parts, cyr_end)).otherwise(_name(seed, _LATIN_ON, _LATIN_VOW, parts, latin_end))
     )
@@ -173,18 +217,44 @@ def _pour(match: Column, digits: Column) -> Column:
     )
 
 
+def _spaced_like(match: Column, packed: Column) -> Column:
+    """The characters of packed, with blanks where the match has them."""
+    return F.array_join(F.transform(F.split(match, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(packed, F.char_length(F.replace(F.substr(match, F.lit(1), i + 1), F.lit(" "))), F.lit(1)))), "")
+
+
+def _cased_like(word: Column, name: Column) -> Column:
+    """The name in the capitals of the word."""
+    return F.when(word == F.lower(word), name).when((word == F.upper(word)) & (F.char_length(word) > 1), F.upper(name)).otherwise(F.initcap(name))
+
+
 def _rewritten(match: Column, kind: Column, found: Column) -> Column:
     """The match with the surrogates of its entities (array<string>, in order) in its own format."""
     first = F.get(found, F.lit(0))
-    titled = F.concat(F.regexp_extract(match, r"^(\S+ )", 1), F.array_join(F.transform(found, lambda w: F.initcap(w)), " "))
+    before = F.regexp_extract(match, _BEFORE_NAME, 1)
+
+    def titled(words: Column) -> Column:
+        is_name = lambda w: w.rlike(r"^\p{Lu}")
+        rank = lambda i: F.size(F.filter(F.slice(words, F.lit(1), i + 1), is_name)) - 1
+        return F.concat(before, F.array_join(F.transform(words, lambda w, i: F.when(is_name(w), _cased_like(w, F.get(found, rank(i)))).otherwise(w)), " "))
+
     value = F.when(match.startswith("AKIA"), first).otherwise(F.concat(F.regexp_extract(match, r"""(?s)^(.*?[=:]\s{0,2}["']?)[^\s"']+$""", 1), first))
-    email = F.when(match == F.upper(match), F.upper(first)).otherwise(first)
-    return F.when(kind == "person", titled).when(kind.isin("phone", "card", "ssn"), _pour(match, first)).when(kind == "secret", value).when(kind == "email", email).otherwise(first)
+    shouted = F.when(match == F.upper(match), F.upper(first)).otherwise(first)
+    return (
+        F.when(kind == "person", let(F.split(F.regexp_replace(match, _BEFORE_NAME, ""), " "), titled)).when(kind.isin("phone", "card", "ssn"), _pour(match, first)).when(kind == "secret", value)
+        .when(kind == "iban", _spaced_like(match, first)).when(kind.isin("email", "ipv6"), shouted).otherwise(first)
+    )
+
 
+def matches(text: Column, pattern: Column | None = None) -> Column:
+    """Everything in the text that ANY (or another pattern) fits, in order."""
+    return F.regexp_extract_all(text, F.lit(ANY) if pattern is None else pattern, F.lit(0))
 
-def matches(text: Column) -> Column:
-    """Everything in the text that ANY fits, in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+
+def _with_names(words: Column) -> Column:
+    """ANY, or any of these names as a word of its own; just ANY without names."""
+    form = lambda w: F.when(F.char_length(w) >= SHORT_NAME, F.concat(F.lit("(?iu:"), w, F.lit(")"))).otherwise(F.concat(F.initcap(w), F.lit("|"), F.upper(w)))
+    either = F.array_join(F.transform(F.array_distinct(words), form), "|")
+    return F.when(F.size(words) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), either, F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +271,9 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
 
     Distinct matches are few beside texts: they alone are classified, named and checked for collisions.
     Their surrogates go back by match, pre-aggregated to one row for each document and match, then to
-    one map for each document, which is as large as what that document holds.
+    one row for each document, which is as large as what that document holds; a match that very many
+    documents share is split by the planner, as both sides of that join are tables. A person's names are
+    also replaced where they stand alone in the same document.
     """
     k, v, t = F.col(id_col).alias("k"), F.xxhash64(text_col).alias("v"), F.col(text_col)
     held = written(docs.select(k, v, F.array_distinct(matches(t)).alias("ms")).where("size(ms) > 0").distinct(), "matches")
@@ -209,23 +281,32 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
     kinds = by_doc.select("match").distinct().withColumn("kind", kind_of(F.col("match"))).where("kind is not null")
     parts = written(kinds.select("match", "kind", F.posexplode(entities_of(F.col("match"), F.col("kind"))).alias("pos", "e")).select("match", F.col("kind").alias("of"), "pos", "e.kind", "e.canonical"), "parts")
     names = assign(parts, key, rounds)
-    rewritten = parts.join(names, ["kind", "canonical"]).groupBy("match", "of").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("found"))
-    rewritten = written(rewritten.select("match", "of", _rewritten(F.col("match"), F.col("of"), F.col("found")).alias("new")), "replacements")
-    maps = by_doc.join(rewritten, "match").groupBy("k", "v").agg(F.collect_list(F.struct("match", F.struct("new", "of"))).alias("__pairs"))
-    maps = maps.select(F.col("k").alias("__k"), F.col("v").alias("__v"), F.map_from_entries("__pairs").alias("__map"))
+    named = parts.join(names, ["kind", "canonical"]).groupBy("match", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate", "canonical"))).alias("found"))
+    new = _rewritten(F.col("match"), F.col("of"), F.transform("found", lambda x: x["surrogate"]))
+    alone = F.when(F.col("of") == "person", F.transform("found", lambda x: F.struct(x["canonical"].alias("word"), x["surrogate"].alias("surrogate")))).otherwise(F.array())
+    rewritten = written(named.select("match", "of", new.alias("new"), alone.alias("names")), "replacements")
+    maps = by_doc.join(rewritten, "match").groupBy("k", "v").agg(F.collect_list(F.struct("match", F.struct("new", "of"))).alias("pairs"), F.flatten(F.collect_list("names")).alias("names"))
 
     kept = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
-    joined = docs.select(*kept).join(maps, F.col(id_col).eqNullSafe(F.col("__k")) & (F.xxhash64(text_col) == F.col("__v")), "left")
-    swapped = F.transform(matches(t), lambda m: F.coalesce(F.col("__map")[m], F.struct(m.alias("new"), F.lit(None).cast("string").alias("of"))))
+    c_k, c_v, c_map, c_names, c_new = unused(docs, "k", "v", "map", "names", "new")
+    maps = maps.select(F.col("k").alias(c_k), F.col("v").alias(c_v), F.map_from_entries("pairs").alias(c_map), F.array_sort(F.array_distinct("names")).alias(c_names))
+    joined = docs.select(*kept).join(maps, F.col(id_col).eqNullSafe(F.col(c_k)) & (F.xxhash64(text_col) == F.col(c_v)), "left")
+    pattern = _with_names(F.transform(c_names, lambda n: n["word"]))
+
+    def swapped(m: Column) -> Column:
+        name = F.get(F.filter(c_names, lambda n: n["word"] == F.lower(m)), F.lit(0))["surrogate"]
+        bare = F.struct(F.coalesce(_cased_like(m, name), m).alias("new"), F.when(name.isNotNull(), "person").alias("of"))
+        return F.coalesce(F.col(c_map)[m], bare)
+
     new = let(
-        swapped,
+        F.transform(matches(t, pattern), swapped),
         lambda s: F.struct(
-            F.array_join(F.zip_with(F.split(t, ANY, -1), s, lambda gap, m: F.concat(gap, F.coalesce(m["new"], F.lit("")))), "").alias("text"),
+            F.array_join(F.zip_with(F.split(t, pattern, -1), s, lambda gap, m: F.concat(gap, F.coalesce(m["new"], F.lit("")))), "").alias("text"),
             F.filter(F.transform(s, lambda m: m["of"]), lambda x: x.isNotNull()).alias("kinds"),
         ),
     )
-    done = joined.withColumn("__new", F.when(F.col("__map").isNotNull(), new))
-    kinds_of = F.coalesce(F.col("__new.kinds"), F.array().cast("array<string>"))
+    done = joined.withColumn(c_new, F.when(F.col(c_map).isNotNull(), new))
+    kinds_of = F.coalesce(F.col(c_new)["kinds"], F.array().cast("array<string>"))
     return done.withColumns({
-        text_col: F.coalesce(F.col("__new.text"), t), "n_entities": F.size(kinds_of), "entity_kinds": F.array_sort(F.array_distinct(kinds_of)),
+        text_col: F.coalesce(F.col(c_new)["text"], t), "n_entities": F.size(kinds_of), "entity_kinds": F.array_sort(F.array_distinct(kinds_of)),
     }).select(*kept, "n_entities", "entity_kinds")
