@@ -3,7 +3,9 @@
 Every distinct set of word n-grams is one class of documents. Classes are banded by MinHash, and those
 that meet in a band form candidate groups. In each group all pairs are verified on their full n-gram
 sets, block against block inside a task, and what leaves the task is one row for each class: how many
-it is linked to, and a link that holds its component together. No pair is ever a row.
+it is linked to, and a link that holds its component together. No pair is ever a row. Groups of very
+many classes, as chance meetings chain them together in large corpora, are taken apart: there the
+classes of each band's bucket are verified, each pair in the first band in which it meets.
 """
 
 from __future__ import annotations
@@ -17,25 +19,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lavra.llm.text import SHINGLE_WORDS, shingle_hashes
+from lavra.llm.text import SHINGLE_WORDS, shingle_hashes, unused
 from lavra.sources.scratch import written
 
 SIMILARITY = 0.8
 RECALL = 0.999
-#: Minima in a band. Many rows keep apart what shares only a passage.
-BAND_ROWS = 8
+#: Pairs of the similarity PASSAGE, as a shared passage gives it, may meet in a band this often.
+PASSAGE, CHANCE = 0.4, 0.03
 #: Classes in a block; a task verifies two blocks at most.
 BLOCK = 256
+#: Groups of more classes are verified by the buckets of their bands.
+WHOLE_GROUP = 4096
 #: Columns of the membership matrix handled at once.
 _COLUMNS = 4096
 
 
-def bands_for(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
+def bands_for(similarity: float, recall: float, rows: int) -> int:
     """The fewest bands of `rows` minima in which a pair of this similarity meets with probability `recall`."""
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def signatures(docs: DataFrame, bands: int, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+def band_plan(similarity: float = SIMILARITY, recall: float = RECALL, passage: float = PASSAGE, chance: float = CHANCE) -> tuple[int, int]:
+    """(bands, rows): the fewest minima that give the recall, and by which pairs of the similarity `passage` meet with `chance` at most."""
+    for rows in range(1, 64):
+        bands = bands_for(similarity, recall, rows)
+        if 1 - (1 - passage**rows) ** bands <= chance:
+            return bands, rows
+    raise ValueError(f"no bands tell {passage} from {similarity}")
+
+
+def signatures(docs: DataFrame, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
     """Rows (id, v, class, n_grams, bands): the n-gram set's 128-bit hash, its size, and a hash for each band.
 
     v tells texts of one id apart. Null texts are empty; a text without words has the empty set, no
@@ -106,7 +119,9 @@ def components(edges: DataFrame, levels: int = 40) -> DataFrame:
     for hooks in maps:
         done = done.join(hooks, done.root == hooks.n, "left").select("node", F.coalesce("p", "root").alias("root"))
     # Labels fall with every level but need not end at the smallest node.
-    return done.join(done.groupBy("root").agg(F.min("node").alias("least")), "root").select("node", F.col("least").alias("root"))
+    done = written(done, "labels")
+    least = written(done.groupBy("root").agg(F.min("node").alias("least")), "roots")
+    return done.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -116,42 +131,60 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     share gives as many links as it has classes. Classes that meet no other are left out.
     """
     buckets = classes.select("class", F.posexplode("bands").alias("band", "hash"))
-    shared = buckets.groupBy("band", "hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high")
+    # A table of its own, so that the planner can split what very many classes share.
+    shared = written(buckets.groupBy("band", "hash").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").drop("high"), "shared-bands")
     links = buckets.join(shared, ["band", "hash"]).where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b"))
     return components(links).select(F.col("node").alias("class"), F.col("root").alias("group"))
 
 
+def in_buckets(members: DataFrame, most: int) -> DataFrame:
+    """members (class, group, n_grams, bands) with `band`: -1 for groups of at most `most` classes.
+
+    Members of larger groups get a row for each band in which they meet another, with the bucket as group.
+    """
+    sizes = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > most).select("group"), "large-groups")
+    if sizes.isEmpty():
+        return members.withColumn("band", F.lit(-1))
+    whole = members.join(sizes, "group", "left_anti").withColumn("band", F.lit(-1))
+    each = written(members.join(sizes, "group", "left_semi").select("class", "n_grams", "bands", F.posexplode("bands").alias("band", "hash")).select(
+        "class", F.encode(F.concat_ws("|", "band", "hash"), "UTF-8").alias("group"), "n_grams", "bands", "band"
+    ), "buckets")
+    shared = written(each.groupBy("group").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("group"), "shared-buckets")
+    return whole.unionByName(each.join(shared, "group", "left_semi"))
+
+
 def _size_step(n: Column, similarity: float) -> Column:
     """Sets whose steps differ by more than one are too unequal to be similar."""
     return F.floor(F.log(n.cast("double")) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
 
 
 def block_pairs(members: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Rows (class, group, cell, side): each cell is one group, or two blocks of a large one.
+    """Rows (class, group, bands, band, x, y, i, j, side): each cell is one group, or two blocks of a large one.
 
-    members: (class, group, n_grams). Groups of more than `block` classes are dealt by set size and hash
-    into blocks; each block meets itself, and those whose sizes allow similarity. The number of cells a
-    class is in grows with its group's size by blocks, never by classes.
+    members: (class, group, n_grams, bands, band). Groups of more than `block` classes are dealt by set
+    size and hash into blocks; each block meets itself, and those whose sizes allow similarity. The number
+    of cells a class is in grows with its group's size by blocks, never by classes.
     """
+    own_columns = ("class", "group", "bands", "band")
     step = _size_step(F.col("n_grams"), similarity)
-    counted = members.groupBy("group").agg(F.count(F.lit(1)).alias("total"))
-    placed = members.join(counted, "group")
-    small = placed.where(F.col("total") <= block).select("class", "group", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    large = placed.where(F.col("total") > block).select("class", "group", step.alias("step"))
+    counted = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") > block).select(F.col("group").alias("g")), "group-sizes")
+    zero, one = F.lit(0), F.lit(1)
+    small = members.join(counted, members.group == counted.g, "left_anti").select(*own_columns, *(zero.alias(c) for c in ("x", "y", "i", "j", "side")))
+    large = members.join(counted, members.group == counted.g, "left_semi").select(*own_columns, step.alias("step"))
     steps = large.groupBy("group", "step").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     after = steps.select("group", (F.col("step") - 1).alias("step"), F.col("blocks").alias("after"))
     before = steps.select("group", (F.col("step") + 1).alias("step"), F.col("blocks").alias("before"))
-    ring = steps.join(after, ["group", "step"], "left").join(before, ["group", "step"], "left").na.fill(0, ["after", "before"])
+    ring = written(steps.join(after, ["group", "step"], "left").join(before, ["group", "step"], "left").na.fill(0, ["after", "before"]), "rings")
     own = large.join(ring, ["group", "step"]).withColumn("me", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     cell = lambda x, y, i, j, side: F.struct(x.alias("x"), y.alias("y"), i.alias("i"), j.alias("j"), side.alias("side"))
-    s, me, zero, one = F.col("step"), F.col("me"), F.lit(0), F.lit(1)
+    s, me = F.col("step"), F.col("me")
     cells = F.concat(
         F.transform(upto(F.col("blocks")), lambda k: cell(s, s, F.least(me, k), F.greatest(me, k), F.when(me <= k, zero).otherwise(one))),
         F.transform(upto(F.col("after")), lambda k: cell(s, s + 1, me, k, zero)),
         F.transform(upto(F.col("before")), lambda k: cell(s - 1, s, k, me, one)),
     )
-    dealt = own.select("class", "group", F.explode(cells).alias("c")).select("class", "group", "c.x", "c.y", "c.i", "c.j", "c.side")
+    dealt = own.select(*own_columns, F.explode(cells).alias("c")).select(*own_columns, "c.x", "c.y", "c.i", "c.j", "c.side")
     return small.unionByName(dealt)
 
 
@@ -176,10 +209,11 @@ def _overlaps(grams: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Rows (class, links, root), one or more per class of members (class, copies, grams, group, x, y, i, j, side).
+    """Rows (class, links, root), one or more per class of members (class, copies, grams, group, bands, band, x, y, i, j, side).
 
     links counts the documents (copies) of other classes of at least this similarity within the cell,
-    each pair in one cell only; root is the smallest class it reaches over such links there.
+    each pair in one cell only; root is the smallest class it reaches over such links there. In a bucket
+    (band of 0 or more) only pairs count that meet in no earlier band.
     """
     kind = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
 
@@ -196,6 +230,9 @@ def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         x, y, i, j = (cell.column(c)[0].as_py() for c in "xyij")
         if (x, i) != (y, j):
             alike &= side[:, None] != side[None, :]  # two blocks: each has a cell of its own for pairs within it
+        if (band := cell.column("band")[0].as_py()) > 0:
+            for earlier in np.array(cell.column("bands").to_pylist(), np.int64)[:, :band].T:
+                alike &= earlier[:, None] != earlier[None, :]
         links = alike @ copies
         root = np.arange(len(names))
         while True:
@@ -211,37 +248,38 @@ def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return members.groupBy("group", "x", "y", "i", "j").applyInArrow(run, kind)
 
 
-def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS) -> DataFrame:
+def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, whole_group: int = WHOLE_GROUP) -> DataFrame:
     """Rows (id, v, class_id, copy_id, n_links), one per row of docs.
 
     Documents are linked when the Jaccard similarity of their n-gram sets is at least `similarity`; those
     of equal sets, also of no words at all, are copies and linked. class_id is the smallest id of the
     documents connected over links, copy_id the smallest id of its copies, n_links the number of
     documents linked with this one. v is xxhash64 of the text. Null ids never name a class unless all
-    ids in it are null. A pair of similarity s is missed only if it and all others that its candidate
-    group holds together never meet in a band: for s = `similarity` at most 1 - `recall`.
+    ids in it are null. A pair of similarity s is missed only if it never meets in a band: for
+    s = `similarity` at most 1 - `recall`. (Groups of at most `whole_group` classes miss even less, as
+    all their pairs are verified.)
 
     Exact copies are one class from the start, so they cost as one. Other columns are not carried.
     """
-    sets = written(signatures(docs, bands_for(similarity, recall, rows), rows, id_col, text_col, size), "signatures")
+    sets = written(signatures(docs, *band_plan(similarity, recall), id_col, text_col, size), "signatures")
     classes = written(sets.groupBy("class").agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("copy_id"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"),
         F.min(F.struct(F.col("id").isNull(), "id", "v")).alias("bearer"),
     ), "classes")
     groups = written(candidate_groups(classes.where("n_grams > 0").select("class", "bands")), "groups")
-    members = groups.join(classes.select("class", "copies", "n_grams", "bearer"), "class")
+    members = written(groups.join(classes.select("class", "copies", "n_grams", "bands", "bearer"), "class"), "members")
     # One document of each class brings its text; the sets of classes that meet no other never travel.
     texts = docs.select(F.col(id_col).alias("t_id"), F.xxhash64(text_col).alias("t_v"), F.col(text_col).alias("t"))
     same = F.col("t_id").eqNullSafe(F.col("bearer.id")) & (F.col("t_v") == F.col("bearer.v"))
     brought = texts.join(members.select("class", "copies", "bearer"), same).dropDuplicates(["class"])
     grams = brought.select("class", "copies", F.array_distinct(shingle_hashes(F.col("t"), size)).alias("grams"))
-    cells = block_pairs(members.select("class", "group", "n_grams"), similarity)
+    cells = block_pairs(in_buckets(members.select("class", "group", "n_grams", "bands"), whole_group), similarity)
     found = written(verify(cells.join(grams, "class"), similarity), "verified")
     linked = found.groupBy("class").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class").alias("a"), F.col("root").alias("b")))
     named = classes.select("class", "copies", "copy_id").join(linked, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = written(named.select("class", "copy_id", F.coalesce("root", "class").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    ids = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    ids = written(named.groupBy("root").agg(F.min("copy_id").alias("class_id")), "class-ids")
     done = named.join(ids, "root").select("class", "class_id", "copy_id", "n_links")
     return sets.select("id", "v", "class").join(done, "class").select(F.col("id").alias(id_col), "v", "class_id", "copy_id", "n_links")
 
@@ -253,9 +291,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     other stay as they are.
     """
     links = link_documents(docs, similarity, id_col=id_col, text_col=text_col)
-    best = links.where(F.col(id_col) == F.col("class_id")).groupBy("class_id").agg(F.min("v").alias("__v")).withColumnRenamed("class_id", "__id")
+    b_id, b_v = unused(docs, "id", "v")
+    best = links.where(F.col(id_col) == F.col("class_id")).groupBy("class_id").agg(F.min("v").alias(b_v)).withColumnRenamed("class_id", b_id)
     # Deduplicating by the join's own keys needs no shuffle of its own.
-    named = docs.join(best, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__v"))).dropDuplicates(["__id", "__v"]).select(*docs.columns)
-    alone = links.where(F.col(id_col).isNull() & F.col("class_id").isNull()).select(F.col("v").alias("__v")).distinct()
-    nameless = docs.where(F.col(id_col).isNull()).join(alone, F.xxhash64(text_col) == F.col("__v"), "left_semi")
+    named = docs.join(best, (F.col(id_col) == F.col(b_id)) & (F.xxhash64(text_col) == F.col(b_v))).dropDuplicates([b_id, b_v]).select(*docs.columns)
+    alone = links.where(F.col(id_col).isNull() & F.col("class_id").isNull()).select(F.col("v").alias(b_v)).distinct()
+    nameless = docs.where(F.col(id_col).isNull()).join(alone, F.xxhash64(text_col) == F.col(b_v), "left_semi")
     return named.unionByName(nameless)

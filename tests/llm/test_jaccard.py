@@ -58,9 +58,9 @@ def corpus(seed=1, near=20):
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "One  two"), (None, "one two"), (905, "lonely " + "x" * 50_000), (905, "lonely " + "x" * 50_000)]
 
 
-def links(spark, rows):
+def links(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "class": F.lit("q"), "group": F.lit(2)}).repartition(3)
-    return sorted(((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in jaccard.link_documents(df).collect()), key=str)
+    return sorted(((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in jaccard.link_documents(df, **how).collect()), key=str)
 
 
 def test_matches_brute_force(spark):
@@ -75,6 +75,44 @@ def test_blocks_of_a_large_group_match_brute_force(spark, monkeypatch):
     assert links(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [7, 256])
+def test_buckets_of_taken_apart_groups_match_brute_force(spark, monkeypatch, block):
+    rows = corpus(4, near=40)
+    real = jaccard.block_pairs
+    monkeypatch.setattr(jaccard, "block_pairs", lambda m, s: real(m, s, block=block))
+    assert links(spark, rows, whole_group=1) == brute(rows)
+
+
+def test_band_plan_keeps_its_promises():
+    for similarity, recall in ((0.8, 0.999), (0.7, 0.95), (0.9, 0.9999)):
+        bands, rows = jaccard.band_plan(similarity, recall)
+        assert 1 - (1 - similarity**rows) ** bands >= recall
+        assert 1 - (1 - jaccard.PASSAGE**rows) ** bands <= jaccard.CHANCE
+        fewer = jaccard.bands_for(similarity, recall, rows - 1)
+        assert 1 - (1 - jaccard.PASSAGE ** (rows - 1)) ** fewer > jaccard.CHANCE
+
+
+def test_measured_recall_of_planted_pairs(spark):
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for k in range(0, 1200, 2):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(120)]
+        other = list(words)
+        for at in rng.sample(range(0, 120, 8), 2):
+            other[at] = "changed"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+        if similar(grams(rows[-1][1]), grams(rows[-2][1])) >= 0.8:
+            pairs.append(k)
+    got = {d: c for d, c, _, _ in links(spark, rows)}
+    assert len(pairs) > 500 and sum(got[k + 1] == k for k in pairs) / len(pairs) > 0.99
+
+
+def test_clashing_columns_keep_their_values(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (None, "c")], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("id", "v", "class_id", "n_grams", "copies")})
+    kept = jaccard.keep_one(df).collect()
+    assert sorted(r.text for r in kept) == ["a b", "c"] and all(r.id == r.v == r.class_id == r.n_grams == r.copies == 7 for r in kept)
+
+
 def test_keep_one(spark):
     rows = corpus(3) + [(None, "without any id"), (None, "another without"), (907, "one two")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit("extra"))
