@@ -72,12 +72,14 @@ QUERIES: dict = {
 }
 
 
-def _url_filter_sql(rounds: int = urlfilter.ROUNDS, damping: float = urlfilter.DAMPING) -> str:
-    """The same rounds, written out one after another."""
+def _url_filter_sql(rounds: int = 80, damping: float = urlfilter.DAMPING) -> str:
+    """So many rounds, written out one after another, are settled well below the operator's tolerance."""
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     lower = "translate(coalesce(regexp_extract({}, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     after = "case when contains({0}, '://') then substring({0}, strpos({0}, '://') + 3) end"
-    steps = [f"r{k} as (select kind, host, round(sum(x), 15) x from (select kind, host, x * {1 - damping!r} x from seeds union all "
+    # Per kind: what its seeds weigh less what links pass on is what hosts without links give back to the seeds.
+    steps = [f"r{k} as materialized (select kind, host, sum(x) x from (select kind, host, x * (1 - {damping!r} + {damping!r} * (total - coalesce(passed, 0)) / total) x "
+             f"from seeds join totals using (kind) left join (select e.kind, sum(r.x * e.share) passed from r{k - 1} r join edges e on e.kind = r.kind and e.source = r.host group by 1) using (kind) union all "
              f"select e.kind, e.target, r.x * e.share * {damping!r} from r{k - 1} r join edges e on e.kind = r.kind and e.source = r.host) group by all)" for k in range(1, rounds + 1)]
     return f"""
 with rules(h, p, v) as (values {rules}),
@@ -85,18 +87,18 @@ u as (select page_id, html, {lower.format("rest")} host, coalesce(regexp_extract
       from (select page_id, html, {after.format("url")} rest from pages)),
 best as (select host, path, v, h || p rule from (select *, row_number() over (partition by host, path order by length(h || p) desc, length(h) desc, v desc) k
   from (select distinct host, path from u) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)) where k = 1),
-decided as (select host, min(v) v from best group by host having min(v) = max(v)),
+decided as (select host, avg((v = 'block')::int) bad from u join best using (host, path) group by host),
 links as (select host source, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) href from u),
 raw as (select source, {lower.format(after.format("href"))} target from (select source, case when starts_with(href, '//') then 'http:' || href else href end href from links)),
 counted as (select source, target, count(*) w from raw where source <> target and source <> '' and target <> '' group by all),
 edges as (select 'trust' kind, source, target, w / sum(w) over (partition by source) share from counted
   union all select 'distrust', target, source, w / sum(w) over (partition by target) from counted),
-seeds as (select if(v = 'allow', 'trust', 'distrust') kind, host, 1 / count(*) over (partition by v) x from decided),
+seeds as (select 'trust' kind, host, 1 - bad x from decided where bad < 1 union all select 'distrust', host, bad from decided where bad > 0),
+totals as (select kind, sum(x) total from seeds group by kind),
 r0 as (select * from seeds), {", ".join(steps)},
-ranks as (select host, coalesce(sum(x) filter (where kind = 'trust'), 0) t, coalesce(sum(x) filter (where kind = 'distrust'), 0) d from r{rounds} group by host),
-n as (select count(distinct host) n from u)
-select page_id, host, path, rule, coalesce(v, if(round(coalesce(d, 0) * n, 9) >= {urlfilter.THRESHOLD} and round(coalesce(d, 0) * n, 9) > round(coalesce(t, 0) * n, 9), 'block', 'allow')) verdict
-from u left join best using (host, path) left join ranks using (host) cross join n
+ranks as (select host, coalesce(sum(x) filter (where kind = 'trust'), 0) t, coalesce(sum(x) filter (where kind = 'distrust'), 0) d from r{rounds} group by host)
+select page_id, host, path, rule, coalesce(v, if(round(coalesce(d, 0), 3) >= {urlfilter.THRESHOLD} and round(coalesce(d, 0), 3) > round(coalesce(t, 0), 3), 'block', 'allow')) verdict
+from u left join best using (host, path) left join ranks using (host)
 """
 
 

@@ -1,8 +1,8 @@
 """URL filters: rules by host and path, and link-graph propagation where no rule fits.
 
 Trust spreads by personalised PageRank from trusted hosts along links; distrust spreads from blocked
-hosts against the direction of links, to those that point at them. A host is blocked when its distrust
-passes a threshold and outweighs its trust.
+hosts against the direction of links, to those that point at them. Rank that reaches a host without
+links returns to the seeds. A host is blocked when its distrust passes a threshold and outweighs its trust.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from lavra.sources.scratch import written
 
-ROUNDS = 10
 DAMPING = 0.85
-#: A host is blocked from this distrust on, relative to an even share among the hosts, if it exceeds its trust.
-THRESHOLD = 1.0
+#: A host is blocked from this distrust on, if it exceeds its trust. On this scale 1 is a wholly blocked host
+#: without links; however many others are blocked, one keeps 0.15 at least, and passes on 0.127 or more: a
+#: host that points at it is blocked unless it shares that with two others or has more trust.
+THRESHOLD = 0.06
+#: Rounds go on until no host's rank changes by more, on that scale.
+TOLERANCE = 1e-4
 #: Rounds between two writes of the ranks.
 WRITE_EVERY = 5
+#: Links of a host that one task passes rank along.
+HUB_LINKS = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,7 +50,9 @@ def split_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
 
 def rule_table(spark, rules: list[tuple[str, str, str]]) -> DataFrame:
     """Rules (host, path, verdict) as a table; any DataFrame of these columns serves as well."""
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    row = lambda r: F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(r, ("host", "path", "verdict"))))
+    listed = F.array(*map(row, rules)).cast("array<struct<host: string, path: string, verdict: string>>")
+    return spark.range(1).select(F.explode(listed).alias("r")).select("r.*")
 
 
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -83,71 +90,82 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Rows (kind, host, rank) after `rounds` of personalised PageRank.
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """Rows (kind, host, rank): personalised PageRank, the ranks of a kind summing to its seeds' weights.
 
-    edges: (kind, source, target, share), the shares of a source summing to one; seeds: (kind, host, mass),
-    the masses of a kind summing to one. What a host without outgoing edges holds is not passed on. Each
-    round sums by target before the shuffle; ranks are written every few rounds, which bounds what a
-    lost executor costs.
+    edges: (kind, source, target, share), the shares of a source summing to one; seeds: (kind, host, weight).
+    Rank that reaches a host without edges returns to the seeds by weight. That fixed point is, but for
+    scale, the one without any return, so rounds need no total; they go on until no rank changes by more
+    than `tolerance`, which damping brings about for any graph. Each round sums by target before the
+    shuffle, and a host's edges are dealt to several tasks beyond HUB_LINKS. Ranks are written every few
+    rounds, which bounds what a lost executor costs.
     """
-    ranks = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    for k in range(1, rounds + 1):
-        moved = ranks.withColumnRenamed("host", "source").join(edges, ["kind", "source"]).select(
-            "kind", F.col("target").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")
-        )
-        restart = seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("rank"))
-        ranks = moved.unionByName(restart).groupBy("kind", "host").agg(F.round(F.sum("rank"), 15).alias("rank"))
-        if k % WRITE_EVERY == 0:
-            ranks = written(ranks, "ranks")
-    return ranks
-
-
-def host_trust(hosts: DataFrame, edges: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (host, trust, distrust, verdict) for each of hosts; both ranks times the number of hosts.
-
-    trusted and blocked hold hosts, hosts the distinct hosts. Without seeds a rank is 0 everywhere.
+    hubs = edges.groupBy("kind", "source").agg(F.ceil(F.count(F.lit(1)) / HUB_LINKS).cast("int").alias("parts")).where("parts > 1")
+    hubs = written(hubs, "hubs")
+    own_parts = lambda df: F.coalesce("parts", F.lit(1))
+    dealt = edges.join(hubs, ["kind", "source"], "left")
+    dealt = written(dealt.withColumn("part", F.pmod(F.xxhash64("target"), own_parts(dealt)).cast("int")).drop("parts"), "dealt-edges")
+    restart = seeds.select("kind", "host", F.col("weight").alias("rank"))
+    ranks, settled = restart, False
+    while not settled:
+        for k in range(WRITE_EVERY):
+            sent = ranks.withColumnRenamed("host", "source").join(hubs, ["kind", "source"], "left")
+            sent = sent.select("kind", "source", "rank", F.explode(F.sequence(F.lit(0), own_parts(sent) - 1)).alias("part"))
+            moved = sent.join(dealt, ["kind", "source", "part"]).select("kind", F.col("target").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            new = moved.unionByName(restart).withColumn("old", F.lit(0.0))
+            if k == WRITE_EVERY - 1:
+                new = new.unionByName(ranks.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+            ranks = new.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("old").alias("old"))
+            if k < WRITE_EVERY - 1:
+                ranks = ranks.drop("old")
+        last = written(ranks, "ranks")
+        settled = last.where(F.abs(F.col("rank") - F.col("old")) > tolerance).isEmpty()
+        ranks = last.drop("old")
+    # Two rows, one for each kind.
+    scale = ranks.groupBy("kind").agg(F.sum("rank").alias("total")).join(seeds.groupBy("kind").agg(F.sum("weight").alias("weight")), "kind")
+    return ranks.join(F.broadcast(scale), "kind").select("kind", "host", (F.col("rank") * F.col("weight") / F.col("total")).alias("rank"))
+
+
+def host_trust(hosts: DataFrame, edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (host, trust, distrust, verdict) for each of hosts, the distinct hosts.
+
+    edges: (source, target, weight). seeds: (host, trust, distrust), weights from 0 to 1: how far the host
+    is known to be good, and bad. Without seeds a rank is 0 everywhere. Ranks are rounded to three digits.
     """
-    n = hosts.agg(F.count(F.lit(1)).alias("n"))
 
     def shares(of: DataFrame, kind: str, source: str, target: str) -> DataFrame:
-        total = of.groupBy(F.col(source).alias("source")).agg(F.sum("weight").alias("total"))
+        # A table of its own, so that the planner can split a host with very many links.
+        total = written(of.groupBy(F.col(source).alias("source")).agg(F.sum("weight").alias("total")), "link-totals")
         return of.select(F.col(source).alias("source"), F.col(target).alias("target"), "weight").join(total, "source").select(
             F.lit(kind).alias("kind"), "source", "target", (F.col("weight") / F.col("total")).alias("share")
         )
 
     both = written(shares(edges, "trust", "source", "target").unionByName(shares(edges, "distrust", "target", "source")), "edges")
-
-    def masses(of: DataFrame, kind: str) -> DataFrame:
-        one = of.select("host").distinct()
-        return one.join(F.broadcast(one.agg((1 / F.count(F.lit(1))).alias("mass")))).select(F.lit(kind).alias("kind"), "host", "mass")
-
-    seeds = written(masses(trusted, "trust").unionByName(masses(blocked, "distrust")), "seeds")
-    ranks = propagate(both, seeds, rounds, damping).groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust")
+    weights = [seeds.select(F.lit(kind).alias("kind"), "host", F.col(kind).alias("weight")).where("weight > 0") for kind in ("trust", "distrust")]
+    ranks = propagate(both, written(weights[0].unionByName(weights[1]), "seeds"), tolerance, damping).groupBy("host").agg(
+        *(F.sum(F.when(F.col("kind") == kind, F.col("rank"))).alias(kind) for kind in ("trust", "distrust"))
     )
-    scaled = hosts.join(ranks, "host", "left").join(F.broadcast(n))
-    trust, distrust = (F.round(F.coalesce(F.col(c), F.lit(0.0)) * F.col("n"), 9).alias(c) for c in ("trust", "distrust"))
-    judged = scaled.select("host", trust, distrust)
+    judged = hosts.join(ranks, "host", "left").select("host", *(F.round(F.coalesce(F.col(c), F.lit(0.0)), 3).alias(c) for c in ("trust", "distrust")))
     bad = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
     return judged.withColumn("verdict", F.when(bad, "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict), one per page: by the longest fitting rule, else by its host's trust.
 
-    Seeds are the hosts with pages that an allow rule, or a block rule, decides; hosts with both are no
-    seeds. Null urls have no host and path, and an empty host is allowed unless a rule fits it. Null ids
-    stay. Only hosts are shuffled for the ranks, never html; pages get their host's rules and verdict by
-    a join on the host that the planner broadcasts or splits where a host is hot.
+    Every host with pages that a rule decides is a seed: of trust by the share of these pages that are
+    allowed, of distrust by the share that are blocked. Null urls have no host and path, and an empty host
+    is allowed unless a rule fits it. Null ids stay. Only hosts are shuffled for the ranks, never html;
+    pages get their host's rules and verdict by a join on the host that the planner broadcasts or splits
+    where a host is hot.
     """
     urls = split_urls(pages)
     hosts = written(urls.select("host").distinct(), "hosts")
     listed = written(hosts.join(rules_by_host(hosts, rules), "host", "left"), "host-rules")
     ruled = urls.join(listed, "host").select("page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("best"))
-    decided = ruled.where("best is not null").groupBy("host").agg(F.min("best.verdict").alias("low"), F.max("best.verdict").alias("high")).where("low = high")
-    seeds = written(decided.select("host", F.col("low").alias("verdict")), "seed-hosts")
-    trust = written(host_trust(hosts, written(host_edges(pages), "links"), seeds.where("verdict = 'allow'"), seeds.where("verdict = 'block'"), rounds, threshold=threshold), "trust")
+    blocked = F.avg((F.col("best.verdict") == "block").cast("double"))
+    seeds = written(ruled.where("best is not null").groupBy("host").agg(blocked.alias("distrust")).withColumn("trust", 1 - F.col("distrust")), "seed-hosts")
+    trust = written(host_trust(hosts, written(host_edges(pages), "links"), seeds, tolerance, threshold=threshold), "trust")
     per_page = written(trust.select("host", F.col("verdict").alias("by_trust")).join(listed, "host"), "judged-hosts")
     return urls.join(per_page, "host").select(
         "page_id", "host", "path", best_rule(F.col("rules"), F.col("path")).alias("best"), "by_trust"
