@@ -54,7 +54,7 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    scored = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")), keep_text=False)
     return scored.select("doc_id", "source", "lang", "evidence", "site_prior", "probability", "keep")
 
 
