@@ -33,8 +33,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; documents stay, with what is left of them."""
-    return _like(linededup.drop_repeated_chunks(docs), docs)
+    """Repeated passages go; documents stay, with what is left of them."""
+    return _like(linededup.drop_repeated_passages(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
