@@ -1,8 +1,9 @@
 """WARC: writing archives, reading them back, and assembling transactions.
 
-An archive is written by Spark's text writer, whose line separator is the empty line pair that ends a
-WARC record; so files appear by Spark's commit protocol in any store it can write to. Reading takes
-whole files (`max_records` bounds them) and follows each record's Content-Length.
+Each record is a gzip member of its own, written by Spark's text writer with an empty member as line
+separator; so files appear by Spark's commit protocol in any store it can write to, and can be entered at
+any record. Files are bounded by bytes and by records. Reading unpacks a file piece by piece and follows
+each record's Content-Length.
 """
 
 from __future__ import annotations
@@ -10,20 +11,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lavra.llm.text import let
 from lavra.sources.scratch import written
 
 EOL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records per file: bounds what one reading task holds.
-MAX_RECORDS = 6_000
+#: Records per file, and bytes before compression after which a task begins another: they bound what one reading task holds.
+MAX_RECORDS = 60_000
+FILE_BYTES = 128_000_000
+#: Bytes that are unpacked, and bytes of payloads that are handed on, at once.
+PIECE, BATCH_BYTES = 65_536, 8_000_000
+#: A header of more bytes is broken.
+HEAD_BYTES = 1_000_000
+_EMPTY_MEMBER = zlib.compress(b"", wbits=31)
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads from this size on are written once only.
 MIN_REVISIT = 0
 
@@ -37,12 +46,13 @@ RECORD = T.StructType([
 
 
 def base32(digest: Column) -> Column:
-    """Upper-case base32 of hexadecimal digests."""
+    """Upper-case base32 of hexadecimal SHA-1 digests: every five hexadecimal digits are four letters."""
 
-    def run(digests: pd.Series) -> pd.Series:
-        return digests.map(lambda h: base64.b32encode(bytes.fromhex(h)).decode())
+    def letters(n: Column) -> Column:
+        return F.concat(*(F.substr(F.lit(_BASE32), F.shiftright(n, at).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for at in (15, 10, 5, 0)))
 
-    return F.pandas_udf(run, T.StringType())(digest)
+    fives = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: let(F.conv(F.substr(digest, 5 * k + 1, F.lit(5)), 16, 10).cast("int"), letters))
+    return F.array_join(fives, "")
 
 
 def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -55,9 +65,10 @@ def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     payload are one capture. Other columns are not carried.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    light = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("bytes"))
-    firsts = light.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count_distinct("page_id").alias("ids"))
-    firsts = firsts.where((F.col("bytes") >= min_revisit) & F.col("first").isNotNull())
+    light = written(pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("bytes")), "digests")
+    firsts = light.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"))
+    # A table of its own, so that the planner can split what very many pages share.
+    firsts = written(firsts.where((F.col("bytes") >= min_revisit) & F.col("first").isNotNull()), "first-pages")
     revisits = light.distinct().join(firsts, ["sha", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select(
         F.col("page_id").alias("r_id"), F.col("sha").alias("r_sha"), F.col("first").alias("first_page")
     )
@@ -67,12 +78,11 @@ def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
 
 def _record(kind: str, uuid: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
-    """One record without the empty lines that end it; null headers are left out."""
+    """One record, as binary; null headers are left out."""
     named = [("WARC-Type", F.lit(kind)), ("WARC-Record-ID", F.concat(F.lit("<"), uuid, F.lit(">"))), *headers]
     lines = F.concat_ws("", *(F.concat(F.lit(f"{name}: "), value, F.lit(EOL)) for name, value in named))
     head = F.concat(F.lit("WARC/1.1" + EOL), lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(EOL + EOL))
-    # The cast keeps bytes that are no UTF-8; the text writer passes them on as they are.
-    return F.concat(F.encode(head, "UTF-8"), block).cast("string")
+    return F.concat(F.encode(head, "UTF-8"), block, F.encode(F.lit(EOL + EOL), "UTF-8"))
 
 
 def record_uuid(kind: str, page_id: Column, sha: Column) -> Column:
@@ -86,7 +96,7 @@ def _line(value: Column) -> Column:
     return F.regexp_replace(value, r"[\r\n]+", " ")
 
 
-def write_archive(decided: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", max_records: int = MAX_RECORDS) -> None:
+def write_archive(decided: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", max_records: int = MAX_RECORDS, file_bytes: int = FILE_BYTES) -> None:
     """Writes a response or revisit per page, and the request and metadata that belong to it, as WARC 1.1.
 
     A revisit carries the HTTP head alone and names the record it refers to. Requests and metadata
@@ -114,37 +124,143 @@ def write_archive(decided: DataFrame, path: str, date: str = "2026-01-01T00:00:0
         F.encode(F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL)), "UTF-8"),
     )
     records = d.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
-    # Whole files are compressed; readers of WARC take a gzip stream of any number of members.
-    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+    fields = T.StructType([T.StructField("value", T.BinaryType()), T.StructField("part", T.IntegerType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        for batch in batches:
+            members, parts = [], []
+            for value in batch.column(0):
+                raw = value.as_py()
+                parts.append(size // file_bytes)
+                size += len(raw)
+                members.append(_member(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(parts, pa.int32())], names=fields.names)
+
+    # The cast keeps bytes that are no UTF-8; the text writer passes them on as they are.
+    packed = records.mapInArrow(pack, fields).select(F.col("value").cast("string").alias("value"), "part")
+    options = {"lineSep": _EMPTY_MEMBER.decode("latin-1"), "encoding": "ISO-8859-1", "compression": "none", "maxRecordsPerFile": max_records}
+    packed.write.partitionBy("part").options(**options).text(path)
+
+
+def _member(raw: bytes) -> bytes:
+    """A gzip member; small records take a small window, which is set up many times faster."""
+    window, memory = (25, 1) if len(raw) < 512 else (31, 8)
+    packer = zlib.compressobj(6, zlib.DEFLATED, window, memory)
+    return packer.compress(raw) + packer.flush()
+
+
+def _unpacked(data: bytes) -> Iterator[tuple[bool, bytes]]:
+    """Pieces of what a file, plain or gzip, holds; each with whether a gzip member begins there.
+
+    What lies between members, and what is broken within one, is passed over to the next that begins.
+    """
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        for at in range(0, len(data), PIECE):
+            yield at == 0, bytes(view[at : at + PIECE])
+        return
+    at = 0
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        unzip, begins, begun = zlib.decompressobj(31), True, at
+        try:
+            while at < len(data) and not unzip.eof:
+                piece = unzip.decompress(view[at : at + PIECE])
+                at += min(PIECE, len(data) - at)
+                if piece:
+                    yield begins, piece
+                    begins = False
+            at -= len(unzip.unused_data)
+        except zlib.error:
+            at = begun + 3
+
+
+class _Pieces:
+    """What _unpacked gives, held from `at` on."""
+
+    def __init__(self, data: bytes):
+        self.source, self.held, self.at = _unpacked(data), bytearray(), 0
+        self.begins: deque[int] = deque()  # where members begin
+
+    def more(self) -> bool:
+        found = next(self.source, None)
+        if found is None:
+            return False
+        if self.at > 16 * PIECE:
+            del self.held[: self.at]
+            self.begins = deque(x - self.at for x in self.begins if x >= self.at)
+            self.at = 0
+        if found[0]:
+            self.begins.append(len(self.held))
+        self.held += found[1]
+        return True
+
+    def has(self, size: int) -> bool:
+        while len(self.held) - self.at < size and self.more():
+            pass
+        return len(self.held) - self.at >= size
+
+    def head(self) -> bytes | None:
+        """The header lines that begin here, which `at` then follows; null where none does."""
+        seen = self.at
+        while self.has(5) and self.held.startswith(b"WARC/", self.at):
+            stop = self.held.find(b"\r\n\r\n", seen)
+            if 0 <= stop <= self.at + HEAD_BYTES:
+                head, self.at = bytes(self.held[self.at : stop]), stop + 4
+                return head
+            back = len(self.held) - self.at
+            if stop >= 0 or back > HEAD_BYTES or not self.more():
+                return None
+            seen = self.at + max(0, back - 3)
+        return None
+
+    def skip(self) -> bool:
+        """To the next record after a broken one: where a later member begins with one, else after the next empty lines before a version line."""
+        last = self.at
+        while True:
+            for x in self.begins:
+                if x > last:
+                    self.at = x
+                    if self.has(5) and self.held.startswith(b"WARC/", self.at):
+                        return True
+                    last = self.at
+                    break
+            else:
+                back = last - self.at
+                self.at = min(self.at, last)
+                if not self.more():
+                    break
+                last = self.at + back
+        found = self.held.find(b"\r\n\r\nWARC/1.", self.at)
+        self.at = found + 4 if found >= 0 else len(self.held)
+        return found >= 0
 
 
 def _records(data: bytes) -> Iterator[dict]:
     """The records of one file, plain or gzip (one member for each record, or any other way)."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            unzip = zlib.decompressobj(31)
-            parts.append(unzip.decompress(data))
-            data = unzip.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
+    pieces = _Pieces(data)
+    while True:
+        while pieces.has(1) and pieces.held[pieces.at] in b"\r\n\0":
+            pieces.at += 1
+        if not pieces.has(5):
             return
+        head = pieces.head()
         fields, several = {}, []
-        for line in data[at:stop].decode("utf-8", "replace").split(EOL)[1:]:
+        for line in (head or b"").decode("utf-8", "replace").split(EOL)[1:]:
             name, _, value = line.partition(":")
             name, value = name.strip().lower(), value.strip()
             if name == "warc-concurrent-to":
                 several.append(value.strip("<>"))
             fields[name] = value
         size = fields.get("content-length", "")
-        if not size.isdigit():
-            at = stop
+        if not size.isascii() or not size.isdigit():
+            if not pieces.skip():
+                return
             continue
-        block = data[stop + 4 : stop + 4 + int(size)]
-        at = stop + 4 + int(size)
+        if not pieces.has(int(size)):
+            return
+        block = bytes(pieces.held[pieces.at : pieces.at + int(size)])
+        pieces.at += int(size)
         head = None
         if fields.get("content-type", "").startswith("application/http"):
             head, _, block = block.partition(b"\r\n\r\n")
@@ -160,7 +276,12 @@ def _records(data: bytes) -> Iterator[dict]:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record; see RECORD. read_digest is of the payload as read. Broken records are passed over."""
+    """One row per record; see RECORD. read_digest is of the payload as read.
+
+    Passed over are: records cut short by the end of their file, those without a number as Content-Length
+    (reading goes on at the next gzip member that begins with a record, or in other files after the next
+    empty lines before a version line), broken gzip members, and bytes between members or after the last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -168,12 +289,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         kind = to_arrow_type(RECORD)
         for batch in batches:
             for content in batch.column(0):
-                some = []
+                some, size = [], 0
                 for record in _records(content.as_py()):
                     some.append(record)
-                    if len(some) == 500:
+                    size += record["payload_bytes"]
+                    if len(some) == 500 or size > BATCH_BYTES:
                         yield pa.RecordBatch.from_struct_array(pa.array(some, kind))
-                        some = []
+                        some, size = [], 0
                 if some:
                     yield pa.RecordBatch.from_struct_array(pa.array(some, kind))
 
@@ -237,11 +359,10 @@ def page_digests(records: DataFrame) -> DataFrame:
     )
     own = written(own, "captures")
     firsts = own.where("record_type = 'response'").select(F.col("capture_id").alias("f_id"), F.col("page").alias("f_page"), F.col("payload_bytes").alias("f_bytes"), F.col("digest").alias("f_digest"))
-    same = (own.first_id == firsts.f_id) & (own.digest == firsts.f_digest)
-    return own.join(firsts, same, "left").select(
-        F.col("page").try_cast("long").alias("page_id"),
-        F.when(F.col("record_type") == "revisit", F.col("f_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"), "record_type",
-        F.when(F.col("record_type") == "revisit", F.col("f_page").try_cast("long")).alias("refers_to"),
+    revisits = own.where("record_type = 'revisit'")
+    same = (revisits.first_id == firsts.f_id) & (revisits.digest == firsts.f_digest)
+    back = revisits.join(firsts, same, "left").select("page", F.col("f_bytes").alias("payload_bytes"), "digest", "record_type", "f_page")
+    others = own.where("record_type <> 'revisit'").select("page", "payload_bytes", "digest", "record_type", F.lit(None).cast("string").alias("f_page"))
+    return others.unionByName(back).select(
+        F.col("page").try_cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("f_page").try_cast("long").alias("refers_to"),
     )
-

@@ -73,3 +73,53 @@ def test_links_in_every_direction(spark, tmp_path):
         "u:1": ("u:q1", ["u:m1"]), "u:2": (None, ["u:m2", "u:m3"]), "u:3": (None, []),
     }
     assert [r.record_id for r in warc.orphans(records).collect()] == ["u:lost"]
+
+
+def test_members_and_broken_files():
+    plain = [record("response", f"u:{i}", b"WARC/1.1 inside\r\n\r\nWARC/1.1\r\n" + bytes([i]) * 50) for i in range(4)]
+    ids = lambda data: [r["record_id"] for r in warc._records(data)]
+    whole = b"".join(plain)
+    members = b"".join(map(gzip.compress, plain))
+    assert ids(whole) == ids(members) == ids(gzip.compress(whole)) == ["u:0", "u:1", "u:2", "u:3"]
+    # Members that end anywhere, as parallel compressors write them.
+    assert ids(b"".join(gzip.compress(whole[at : at + 37]) for at in range(0, len(whole), 37))) == ["u:0", "u:1", "u:2", "u:3"]
+    assert ids(members + b"\0" * 512) == ids(members + b"junk") == ["u:0", "u:1", "u:2", "u:3"]
+    assert ids(whole[:-20]) == ids(members[:-14]) == ["u:0", "u:1", "u:2"]
+    broken = record("response", "u:x", b"text\r\n\r\nWARC/1.1\r\nWARC-Record-ID: <u:fake>\r\nContent-Length: 0\r\n\r\n").replace(b"Content-Length: 6", b"Content-Length: x")
+    assert ids(gzip.compress(broken) + members) == ["u:0", "u:1", "u:2", "u:3"]
+    assert ids(b"no record at all" + whole)[-3:] == ["u:1", "u:2", "u:3"]
+    bad = bytearray(members)
+    bad[len(gzip.compress(plain[0])) + 12] ^= 255
+    assert {"u:0", "u:2", "u:3"} <= set(ids(bytes(bad)))
+    assert ids(b"") == ids(b"\x1f\x8b") == []
+
+
+def test_reading_is_linear_in_members():
+    import time
+
+    def took(n):
+        data = b"".join(gzip.compress(record("metadata", f"u:{i}", b"k: v")) for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc._records(data)) == n
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 8 * max(took(4_000), 0.05)
+
+
+def test_files_hold_a_member_per_record_and_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, f"http://a.example/{i}", f"{i}" * 3000) for i in range(40)]
+    warc.write_archive(warc.decide(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)), str(tmp_path / "w"), file_bytes=20_000)
+    files = [f.read_bytes() for f in (tmp_path / "w").rglob("part-*")]
+    assert len(files) > 4 and all(sum(r["payload_bytes"] for r in warc._records(f)) < 40_000 for f in files)
+    unzipped = [gzip.decompress(f) for f in files]
+    assert sum(u.count(b"WARC-Type: ") for u in unzipped) == 120
+    for f in files:
+        starts = [i for i in range(len(f)) if f[i : i + 3] == b"\x1f\x8b\x08"]
+        assert len(starts) >= 2 * gzip.decompress(f).count(b"WARC-Type: ")
+    assert warc.read_archive(spark, str(tmp_path / "w")).count() == 120
+
+
+def test_base32_equals_the_standard_library(spark):
+    df = spark.range(50).select(F.sha1(F.col("id").cast("string")).alias("h"))
+    assert all(r.b == base64.b32encode(bytes.fromhex(r.h)).decode() for r in df.select("h", warc.base32(F.col("h")).alias("b")).collect())
