@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from lavra.functions.chunking import chunk_key, pack_chunks, split_paragraphs
 from lavra.functions.vectors import l2_score
-from lavra.operators.rows import rank_top_k
+from lavra.operators.rows import rank_top_k, select_candidates
+from lavra.sources.files import append_vectors
+from lavra.sources.scratch import written
 
 
 def explode_chunks(corpus: DataFrame, source: str = "fonte", text: str = "texto", tokens: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -28,8 +30,9 @@ def existing_keys(ids: DataFrame, store: DataFrame, key: str = "chunk_key") -> D
 
 
 def new_chunks(chunks: DataFrame, store: DataFrame, key: str = "chunk_key") -> DataFrame:
-    """Chunks whose key is not stored; of chunks that share a key the smallest. Stored texts are never updated."""
-    unseen = chunks.join(store.select(key).distinct(), key, "left_anti")
+    """Chunks whose key is not stored; of chunks that share a key the smallest. Stored texts are never updated. Null keys are one key."""
+    stored = store.select(F.col(key).alias("_stored")).distinct()
+    unseen = chunks.join(stored, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
     return unseen.groupBy(key).agg(F.min(F.struct(*chunks.columns)).alias("_row")).select("_row.*")
 
 
@@ -91,6 +94,46 @@ def top_k(vectors: DataFrame, query: list[float], k: int, min_score: float | Non
     return scored.orderBy(F.col("score").desc(), key).limit(k)
 
 
+def index_documents(
+    corpus: DataFrame, path: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], store: DataFrame | None = None, source: str = "fonte", text: str = "texto", window_col: str = "na_janela",
+    tokens: int | None = None, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """The vector job: candidates in chunks, those not in the store encoded and added at `path`; returns vector_report's row.
+
+    store is what an earlier run left at `path`, None in the first run. Chunks that it has are neither
+    encoded nor written again. New vectors are written once in the shared folder before they are added,
+    so a task that is run again encodes alone and adds nothing twice.
+    """
+    candidates = select_candidates(corpus, window_col, text)
+    made = written(explode_chunks(candidates, source, text, tokens, carry), "chunks")
+    fresh = written(embed(new_chunks(made, made.limit(0) if store is None else store), encoder), "vectors")
+    append_vectors(fresh, path)
+    return vector_report(corpus, candidates, made, fresh, source)
+
+
+def search_text(vectors: DataFrame, question: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], k: int = 5, min_score: float | None = None, key: str = "chunk_key", vector: str = "embedding") -> DataFrame:
+    """top_k of a text: the k nearest rows of at least min_score, best first; text columns that are null become empty.
+
+    A question that is no text or blank, a k that is no whole number above 0 and a min_score that is no
+    number give no rows, and nothing is encoded then.
+    """
+    good = isinstance(question, str) and question.strip() and (min_score is None or isinstance(min_score, (int, float)))
+    query: list[float] = []
+    if good and isinstance(k, int) and k > 0:
+        row = np.asarray(encoder()([question]), dtype=np.float64)[0]
+        norm = np.linalg.norm(row)
+        query = (row / (norm if norm > 0 else 1)).astype(np.float32).tolist()
+    found = top_k(vectors, query, k, min_score if query else None, key, vector)
+    return found.na.fill("")
+
+
+def search_texts(vectors: DataFrame, questions: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], k: int = 5, min_score: float | None = None, key: str = "chunk_key", vector: str = "embedding", query_id: str = "query_id", text: str = "texto") -> DataFrame:
+    """top_k_batch of the texts of questions (query_id, texto); null and blank ones get no rows."""
+    asked = questions.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(query_id, text)
+    encoded = written(embed(asked, encoder, text, vector).select(query_id, vector), "questions")
+    return top_k_batch(vectors, encoded, k, min_score, key, vector, query_id)
+
+
 def _in_blocks(rows: DataFrame, name: str, vector: str, block: int) -> DataFrame:
     """Rows (ids, vs) of about `block` rows each, dealt by hash; the number of blocks grows with the rows."""
     blocks = max(1, -(-rows.count() // block))

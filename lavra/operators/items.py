@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit, urlunsplit
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from lavra.functions.dates import parse_pubdate
 from lavra.functions.text import text_nodes
 from lavra.functions.urls import resolve_url
+from lavra.sources.scratch import written
 
 RAW = "portal string, instituicao string, base string, ordem int, titulo string, href string, datas array<string>, texto string"
 #: Containers of listings in the order in which they are tried. Fixed values.
@@ -21,7 +24,8 @@ CONTAINERS = (
 )
 #: Where a listing's title and date are looked for. Fixed values.
 HEADINGS = ("h2", "h3", "h4", "p")
-DATE_SPANS = ("date", "pubDate", "newsDate", "entry-date")
+DATES = (("time", ""), ("span", "date"), ("span", "pubDate"), ("span", "newsDate"), ("span", "entry-date"), ("", "effective"), ("", "modified"))
+DAY = re.compile(r"\d{1,2}/\d{1,2}/\d{4}")
 ENOUGH = 2
 
 
@@ -48,11 +52,17 @@ class _Hrefs(HTMLParser):
             self.found.append(href)
 
 
+def _first_href(body: str) -> str:
+    links = _Hrefs()
+    links.feed(body)
+    return next(iter(links.found), "")
+
+
 def usable(href: str) -> bool:
     return bool(href) and not href.startswith("#") and not href.lower().startswith("javascript:")
 
 
-def feed_entries(xml: str) -> list[tuple[str, str, list[str], str]]:
+def feed_entries(xml: str, base: str = "") -> list[tuple[str, str, list[str], str]]:
     """(title, href, dates, body) of the items of RSS 2.0, RSS 1.0 and Atom; none where the XML is malformed."""
     try:
         root = ElementTree.fromstring(xml.strip().encode())
@@ -66,16 +76,15 @@ def feed_entries(xml: str) -> list[tuple[str, str, list[str], str]]:
             body = next((t for c in bodies if (t := _whole_text(c))), "")
             about = next((v for k, v in item.attrib.items() if _local(k) == "about"), "")
             href = text(_child(item, "link")) or text(_child(item, "guid")) or about.strip()
-            if not href:
-                links = _Hrefs()
-                links.feed(body)
-                href = next(iter(links.found), "")
+            href = href or _first_href(body)
             dates = [t for c in item if _local(c.tag) in ("pubDate", "date") and (t := _whole_text(c))][:1]
             out.append((text(_child(item, "title")), href, dates, body))
     for entry in (e for e in root.iter() if _local(e.tag) == "entry"):
         link = _child(entry, "link")
         dates = [t for n in ("updated", "published") if (t := text(_child(entry, n)))][:1]
-        out.append((text(_child(entry, "title")), (link.get("href") or "") if link is not None else "", dates, text(_child(entry, "summary")) or text(_child(entry, "content"))))
+        body = text(_child(entry, "summary")) or text(_child(entry, "content"))
+        href = (link.get("href") or "").strip() if link is not None else ""
+        out.append((text(_child(entry, "title")), href or _first_href(body), dates, body))
     return out
 
 
@@ -86,10 +95,12 @@ class Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
     def walk(self) -> Iterator["Node"]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        stack = list(reversed(self.children))
+        while stack:
+            n = stack.pop()
+            if isinstance(n, Node):
+                yield n
+                stack.extend(reversed(n.children))
 
     def text(self) -> str:
         parts, stack = [], [self]
@@ -146,15 +157,24 @@ def _title_link(box: Node) -> Node | None:
 
 
 def _dates(box: Node) -> list[str]:
-    found = []
-    for n in box.walk():
-        if n.tag == "time" or n.tag == "span" and any(n.has(c) for c in DATE_SPANS) or n.has("effective") or n.has("modified"):
-            found += [n.attrs.get("datetime") or "", n.text()]
-    found += [t for n in box.walk() if n.tag == "p" and (t := n.text())[:2].strip("/").isdigit()]
-    return [d for d in found if d]
+    """Candidate dates: of the first element of each kind, in the order of DATES; then paragraphs that begin with d/m/yyyy."""
+    nodes, found = list(box.walk()), []
+    for tag, name in DATES:
+        first = next((n for n in nodes if tag in ("", n.tag) and (not name or n.has(name))), None)
+        if first:
+            found.append(first.attrs.get("datetime") or first.text())
+    return [d for d in found if d] + [t for n in nodes if n.tag == "p" and DAY.match(t := n.text())]
+
+
+def _twin(base: str, href: str) -> str:
+    """The form by which links to the same page are told, however they are written."""
+    if not href:
+        return ""
+    u = urlsplit(urljoin(base, href))
+    return urlunsplit(("https" if u.scheme in ("", "http") else u.scheme, u.netloc.lower(), u.path.rstrip("/"), u.query, u.fragment))
 
 
-def listing_entries(markup: str) -> list[tuple[str, str, list[str], str]]:
+def listing_entries(markup: str, base: str = "") -> list[tuple[str, str, list[str], str]]:
     """(title, href, candidate dates, text) of the items of a listing page; its plain links where it has none."""
     nodes = list(Tree(markup).root.walk())
     out, seen = [], set()
@@ -162,9 +182,9 @@ def listing_entries(markup: str) -> list[tuple[str, str, list[str], str]]:
         for box in (n for n in nodes if n.tag == tag and (not name or n.has(name))):
             link = _title_link(box)
             title, href = (link.text(), (link.attrs.get("href") or "").strip()) if link else ("", "")
-            if not (title or href) or (href, title) in seen:
+            if not (title or href) or (_twin(base, href), title) in seen:
                 continue
-            seen.add((href, title))
+            seen.add((_twin(base, href), title))
             first = next((n for n in box.walk() if n.tag == "p" or n.tag == "div" and (n.has("description") or n.has("text")) or n.tag == "span" and n.has("description")), None)
             out.append((title, href, _dates(box), first.text() if first else ""))
         if len(out) >= ENOUGH:
@@ -172,9 +192,9 @@ def listing_entries(markup: str) -> list[tuple[str, str, list[str], str]]:
     if not out:
         for n in nodes:
             href = (n.attrs.get("href") or "").strip()
-            if n.tag == "a" and usable(href) and (title := n.text()) and (href, title) not in seen:
-                seen.add((href, title))
-                out.append((title, href, [d for s in n.parent.walk() if s.tag in ("span", "time", "em") and (d := s.text())], ""))
+            if n.tag == "a" and usable(href) and (title := n.text()) and (_twin(base, href), title) not in seen:
+                seen.add((_twin(base, href), title))
+                out.append((title, href, [d for s in n.parent.walk() if s.tag in ("span", "time", "em") and (d := s.attrs.get("datetime") or s.text())], ""))
     return out
 
 
@@ -184,7 +204,7 @@ def _parsed(contents: DataFrame, reader, kind: str) -> DataFrame:
         for frame in frames:
             rows = []
             for portal, institution, base, content in zip(*(frame[c] for c in ("portal", "instituicao", "base", "conteudo"))):
-                for k, (title, href, dates, body) in enumerate(reader(content or "")):
+                for k, (title, href, dates, body) in enumerate(reader(content or "", base or "")):
                     rows.append((portal, institution, base, k, title, href, dates, text_nodes(body)))
             yield pd.DataFrame(rows, columns=names)
 
@@ -206,14 +226,28 @@ def parse_listings(contents: DataFrame) -> DataFrame:
 
 
 def extract_items(feeds: DataFrame, listings: DataFrame) -> DataFrame:
-    """Each portal's feed items, or where it has none its listing's."""
-    from_feeds = parse_feeds(feeds)
+    """Each portal's feed items, or where it has none its listing's. Feeds are parsed once and written."""
+    from_feeds = written(parse_feeds(feeds), "feed-items")
     without = listings.join(from_feeds.select("portal").distinct(), "portal", "left_anti")
     return from_feeds.unionByName(parse_listings(without))
 
 
-def ingest_report(portals: DataFrame, merged: DataFrame) -> DataFrame:
-    """Rows (portal, itens, novos, aviso): a portal without items has a warning."""
-    counted = merged.groupBy("portal").agg(F.count(F.lit(1)).alias("itens"), F.count_if(F.col("estado") == "novo").alias("novos"))
-    joined = portals.select("portal").distinct().join(counted, "portal", "left").na.fill(0, ["itens", "novos"])
-    return joined.withColumn("aviso", F.when(F.col("itens") == 0, "sem itens"))
+def ingest_report(portals: DataFrame, found: DataFrame, stored: DataFrame, key: str = "key") -> DataFrame:
+    """Rows (portal, fonte, itens, novos, ja_existentes, aviso, erro), one per portal of portals (portal, robots_ok, erro).
+
+    found: (portal, key, origem), the items of this run, repeats included; stored: (key). An item is new
+    where its key isn't stored and, of several found with a key, for the smallest portal that has it; the
+    others are already there. fonte is where the portal's items came from. A portal that its rules close
+    has the warning `robots.txt`, one without items and without an error another. Null robots_ok is open;
+    null keys are one key.
+    """
+    known = stored.select(F.col(key).alias("s_key")).distinct().withColumn("known", F.lit(True))
+    each = found.groupBy("portal", key).agg(F.count(F.lit(1)).alias("times"), F.min("origem").alias("origem"))
+    first = each.groupBy(key).agg(F.min("portal").alias("first")).withColumnRenamed(key, "f_key")
+    judged = each.join(known, F.col(key).eqNullSafe(F.col("s_key")), "left").join(first, F.col(key).eqNullSafe(F.col("f_key")))
+    new = (F.col("known").isNull() & (F.col("portal") == F.col("first"))).cast("long")
+    counted = judged.groupBy("portal").agg(F.min("origem").alias("fonte"), F.sum("times").alias("itens"), F.sum(new).alias("novos"))
+    listed = portals.groupBy("portal").agg(F.min(F.coalesce("robots_ok", F.lit(True))).alias("open"), F.min("erro").alias("erro"))
+    joined = listed.join(counted, "portal", "left").na.fill(0, ["itens", "novos"])
+    warning = F.when(~F.col("open"), "robots.txt").when((F.col("itens") == 0) & F.col("erro").isNull(), "sem itens")
+    return joined.select("portal", "fonte", "itens", "novos", (F.col("itens") - F.col("novos")).alias("ja_existentes"), warning.alias("aviso"), "erro")

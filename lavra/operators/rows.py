@@ -57,23 +57,29 @@ def filter_by_name(df: DataFrame, column: str, part: str) -> DataFrame:
     return df.where(F.contains(F.lower(F.col(column)), F.lit(part.lower())))
 
 
+def _order(df: DataFrame, order: list[str]) -> Column:
+    """The order and then the whole row (maps have none), so that ties have one outcome."""
+    return F.struct(*order, F.struct(*(F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind)))
+
+
 def dedup_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by `order`; rows whose key has an empty or null part are all kept.
 
     Those rows never meet in a window, however many there are. A key that many rows share is cut to one
-    row for each task before the shuffle, by a grouped minimum over the order.
+    row for each task before the shuffle, by a grouped minimum over the order; of equal places the smallest
+    row is first.
     """
     blank = F.lit(False)
     for c in key:
         blank = blank | (F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
     keyed, rest = df.where(~blank), df.where(blank)
-    first = keyed.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    first = keyed.groupBy(*key).agg(F.min_by(F.struct(*df.columns), _order(df, order)).alias("_row"))
     return first.select("_row.*").unionByName(rest)
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by `order`."""
-    return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    """The last row of each key by `order`, of equal places the largest row. Null keys are one key."""
+    return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), _order(df, order)).alias("_row")).select("_row.*")
 
 
 def first_nonblank(df: DataFrame, key: str, column: str, order: list[str], trimmed: bool = False) -> DataFrame:
@@ -91,10 +97,12 @@ def merge_items(existing: DataFrame, incoming: DataFrame, key: str, order: str)
     """One row per key with `estado` (existente or novo): stored rows win, the last of them; of new ones the first.
 
     Both sides have the same columns. Keys of stored rows drop new rows before anything else is compared.
+    Null keys are one key; of equal places the largest stored row and the smallest new one count.
     """
     old = last_wins(existing, [key], [order])
-    new = incoming.join(existing.select(key).distinct(), key, "left_anti")
-    new = new.groupBy(key).agg(F.min_by(F.struct(*incoming.columns), F.col(order)).alias("_row")).select("_row.*")
+    stored = existing.select(F.col(key).alias("_stored")).distinct()
+    new = incoming.join(stored, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
+    new = new.groupBy(key).agg(F.min_by(F.struct(*incoming.columns), _order(incoming, [order])).alias("_row")).select("_row.*")
     return old.withColumn("estado", F.lit("existente")).unionByName(new.withColumn("estado", F.lit("novo")))
 
 

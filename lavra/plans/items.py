@@ -60,7 +60,12 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    return items.ingest_report(_pages(spark, sf).select(F.col("host").alias("portal")).unionByName(_pages(spark, sf).select(F.concat(F.lit("empty."), F.col("host")).alias("portal"))), merged(spark, sf))
+    """Each host is a portal, with its pages as items; of the portals without any some are closed and some failed."""
+    stored, found = _sides(spark, sf)
+    hosts = _pages(spark, sf).select("host").distinct()
+    open_portals = hosts.select(F.col("host").alias("portal"), F.lit(True).alias("robots_ok"), F.lit(None).cast("string").alias("erro"))
+    none = hosts.select(F.concat(F.lit("empty."), F.col("host")).alias("portal"), (F.char_length("host") % 3 > 0).alias("robots_ok"), F.when(F.char_length("host") % 3 == 1, "timeout").alias("erro"))
+    return items.ingest_report(open_portals.unionByName(none), found.withColumn("origem", F.lit("feed")), stored)
 
 
 def by_url(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,9 +90,11 @@ QUERIES = {
 ORACLE_SQL = {
     "p7_j8_filter_robots": f"""select page_id, url from pages where not starts_with({_PATH}, '/fr/') and not contains({_PATH}, '.html') and not starts_with({_HOST}, 'blog.')""",
     "j6_merge_items": f"with {_MERGED} select * from m",
-    "a9_ingest_report": f"""with {_MERGED}, h as (select distinct host from p)
-select host portal, 1 itens, case when estado = 'novo' then 1 else 0 end novos, null aviso from h join m on m.key = host
-union all select 'empty.' || host, 0, 0, 'sem itens' from h""",
+    "a9_ingest_report": f"""with {_MERGED}, h as (select distinct host from p),
+i as (select host, count(*) itens, max((host not in (select host from o))::int) novos from p where page_id % 3 > 0 group by host)
+select host portal, case when itens > 0 then 'feed' end fonte, coalesce(itens, 0) itens, coalesce(novos, 0) novos, coalesce(itens, 0) - coalesce(novos, 0) ja_existentes,
+  case when itens is null then 'sem itens' end aviso, null erro from h left join i using (host)
+union all select 'empty.' || host, null, 0, 0, 0, case when length(host) % 3 = 0 then 'robots.txt' when length(host) % 3 = 2 then 'sem itens' end, case when length(host) % 3 = 1 then 'timeout' end from h""",
     "w1_first_page_by_url": """select min(page_id) page_id, address from (
   select page_id, 'https://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || rtrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') address from pages) group by address""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.operators import chunks
-from lavra.sources.scratch import written
+from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
 TOKENS = 60
@@ -67,6 +67,31 @@ def batch(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "posicao")
 
 
+#: What the search by text asks for.
+QUESTION = "research on water and energy in the north"
+
+
+def by_text(spark: SparkSession, sf: str) -> DataFrame:
+    found = chunks.search_text(table(spark, sf, "embeddings"), QUESTION, chunks.hashing_encoder(), 10, min_score=-5.0, key="vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+def by_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors to every 50th document."""
+    asked = table(spark, sf, "documents").where(F.col("doc_id") % QUERY_STEP == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("texto"))
+    return chunks.search_texts(table(spark, sf, "embeddings"), asked, chunks.hashing_encoder(), 5, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "posicao")
+
+
+def vector_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of a second run over all documents, after a first over every third; and how many rows and keys are stored then."""
+    path = shared_folder(spark, "vector-store")
+    corpus = _corpus(spark, sf).withColumn("na_janela", F.col("doc_id") % 7 > 0)
+    chunks.index_documents(corpus.where("doc_id % 3 = 0"), path, chunks.hashing_encoder(), tokens=TOKENS)
+    done = chunks.index_documents(corpus, path, chunks.hashing_encoder(), spark.read.parquet(path), tokens=TOKENS)
+    stored = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("guardados"), F.count_distinct("chunk_key").alias("chaves"))
+    return done.crossJoin(stored)  # one row each
+
+
 _CHUNKS = r"""
 p as (select doc_id, 'd' || doc_id fonte, lang tipo, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\p{Z}]+', ' ', 'g'))), lambda x: x <> '') l from documents),
 g as (select *, list_reduce(l, lambda s, x: case when s.n > 0 and s.n + length(x) > 240 then {'n': length(x), 'c': list_append(s.c, x)}
@@ -75,9 +100,17 @@ k as (select fonte || '::' || (i - 1) chunk_key, doc_id, fonte, tipo, (i - 1)::i
 """
 _SCORE = "1 - list_sum(list_transform(list_zip({}.embedding, {}.embedding), lambda p: pow(p[1]::double - p[2]::double, 2)))"
 
+
+
+def _asked() -> str:
+    """The vector of QUESTION, as SQL."""
+    row = chunks.hashing_encoder()()([QUESTION])[0]
+    return str((row / (row @ row) ** 0.5).astype("float32").tolist())
+
+
 QUERIES = {
     "f15_t4_explode_chunks": made, "j5_new_chunks": added, "u2_existing_keys": present, "a8_vector_report": report, "x1_embed": embedded,
-    "o2_top_k": nearest, "p8_filter_min_score": above, "o3_top_k_batch": batch,
+    "o2_search_text": by_text, "o3_search_texts": by_texts, "x1_vector_job": vector_job, "o2_top_k": nearest, "p8_filter_min_score": above, "o3_top_k_batch": batch,
 }
 ORACLE_SQL = {
     "f15_t4_explode_chunks": f"with {_CHUNKS} select * exclude (doc_id) from k",
@@ -85,6 +118,12 @@ ORACLE_SQL = {
     "u2_existing_keys": f"with {_CHUNKS} select chunk_key from k where doc_id % 3 = 0",
     "a8_vector_report": f"""with {_CHUNKS} select (select count(*) from documents) linhas, (select count(*) from documents where text <> '') candidatos, count(*) chunks, count(distinct fonte) documentos,
   max(n_chunks) max_chunks, count(*) filter (where doc_id % 3 > 0) adicionados, count(*) filter (where doc_id % 3 = 0) ja_presentes from k""",
+    "x1_embed": f"with {_CHUNKS} select chunk_key, 64 size, 1.0::double norm from k",
+    "o2_search_text": f"with q as (select {_asked()}::float[] embedding) select e.vec_id, round({_SCORE.format('e', 'q')}, 6) score from embeddings e, q where {_SCORE.format('e', 'q')} >= -5 order by {_SCORE.format('e', 'q')} desc, vec_id limit 10",
+    "x1_vector_job": f"""with {_CHUNKS}, c as (select *, doc_id % 7 > 0 w from k)
+select (select count(*) from documents) linhas, (select count(*) from documents where doc_id % 7 > 0 and trim(text, ' ') <> '') candidatos, count(*) filter (where w) chunks,
+  count(distinct fonte) filter (where w) documentos, coalesce(max(n_chunks) filter (where w), 0) max_chunks, count(*) filter (where w and doc_id % 3 > 0) adicionados,
+  count(*) filter (where w and doc_id % 3 = 0) ja_presentes, count(*) filter (where w) guardados, count(distinct chunk_key) filter (where w) chaves from c""",
     "o2_top_k": f"with q as (select embedding from embeddings order by vec_id limit 1) select e.vec_id, round({_SCORE.format('e', 'q')}, 6) score from embeddings e, q order by {_SCORE.format('e', 'q')} desc, vec_id limit 10",
     "p8_filter_min_score": f"with q as (select embedding from embeddings order by vec_id limit 1), s as (select e.vec_id, {_SCORE.format('e', 'q')} x from embeddings e, q) select vec_id, round(x, 6) score from s where x >= -0.5 order by x desc, vec_id limit 100",
     "o3_top_k_batch": f"""with s as (select q.vec_id query_id, e.vec_id, round({_SCORE.format('q', 'e')}, 9) x from embeddings q, embeddings e where q.vec_id % {QUERY_STEP} = 0)

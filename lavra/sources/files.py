@@ -143,7 +143,7 @@ def sniff_header(spark: SparkSession, paths: str, most: int = 262_144) -> DataFr
                     encoding, text = "cp1252", line.decode("cp1252", "replace")
                 text = text.rstrip("\r")
                 delimiter = max(",;|\t", key=text.count) if any(d in text for d in ",;|\t") else ";"
-                rows.append((path, encoding, delimiter, [c.strip().strip('"') for c in text.split(delimiter)], truncated))
+                rows.append((path, encoding, delimiter, [c.strip().strip('"').strip() for c in text.split(delimiter)], truncated))
             yield pd.DataFrame(rows, columns=["path", "encoding", "delimiter", "columns", "truncated"])
 
     return files.mapInPandas(run, kind)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="lavra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lavra/{name}-{uuid.uuid4().hex}"

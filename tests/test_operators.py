@@ -201,3 +201,56 @@ def test_small_ones(spark):
     c = spark.createDataFrame([(False, "t"), (True, " "), (True, "ok"), (None, "t")], "na_janela boolean, texto string")
     assert tuple(rows.exclusion_counts(c).first()) == (1, 2, 1) and rows.select_candidates(c).count() == 1
     assert rows.filter_by_name(df, "x", "A").count() == 1
+
+
+def test_deep_pages_twin_links_and_dates_by_selector(spark):
+    deep = "<div>" * 5000 + '<article><h2><a href="/d">Deep</a></h2></article>' + "</div>" * 5000
+    page = (
+        '<div class="newsItem"><span class="date">02/03/2021</span><time datetime="2020-05-06">x</time><h2><a href="HTTP://P.example/a/">A</a></h2></div>'
+        '<div class="newsItem"><h2><a href="https://p.example/a">A</a></h2></div><div class="newsItem"><p>2024-01-02 no</p><p>7/8/2023 10:30</p><h3><a href="/b">B</a></h3></div>'
+    )
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><summary>&lt;a href="#"&gt;x&lt;/a&gt;&lt;a href="/s"&gt;y&lt;/a&gt;</summary></entry></feed>'
+    got = items.parse_listings(contents(spark, [("deep", deep), ("page", page)])).orderBy("portal", "ordem").collect()
+    assert [(r.portal, r.titulo, r.data) for r in got] == [("deep", "Deep", None), ("page", "A", "2020-05-06"), ("page", "B", "2023-08-07")]
+    assert [r.url.rsplit("/", 1)[1] for r in items.parse_feeds(contents(spark, [("atom", atom)])).collect()] == ["s"]
+
+
+def test_ties_and_null_keys_have_one_outcome(spark):
+    df = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), (None, 1, "n"), (None, 2, "m")], "key string, ordem int, v string")
+    for n in (1, 3):
+        d = df.repartition(n)
+        assert {tuple(r) for r in rows.last_wins(d, ["key"], ["ordem"]).collect()} == {("a", 1, "y"), (None, 2, "m")}
+        assert {tuple(r) for r in rows.dedup_first(d, ["key"], ["ordem"]).collect()} == {("a", 1, "x"), (None, 1, "n"), (None, 2, "m")}
+        assert {tuple(r) for r in rows.merge_items(d.limit(0), d, "key", "ordem").collect()} == {("a", 1, "x", "novo"), (None, 1, "n", "novo")}
+        assert {r.estado for r in rows.merge_items(d, d, "key", "ordem").collect()} == {"existente"}
+
+
+def test_search_by_text_and_the_vector_job(spark, tmp_path):
+
+    def counting():
+        encode = chunks.hashing_encoder(16)()
+        return lambda texts: encode(texts)
+
+    corpus = spark.createDataFrame([("p", "water law", True), ("q", "solar panels", True), ("r", "old", False), ("s", " ", True)], "fonte string, texto string, na_janela boolean")
+    path = str(tmp_path / "store")
+    first = chunks.index_documents(corpus.where("fonte = 'p'"), path, counting).first()
+    assert (first.chunks, first.adicionados, first.ja_presentes) == (1, 1, 0)
+    again = chunks.index_documents(corpus, path, counting, spark.read.parquet(path)).first()
+    assert (again.linhas, again.candidatos, again.chunks, again.adicionados, again.ja_presentes) == (4, 2, 2, 1, 1)
+    store = spark.read.parquet(path)
+    assert store.count() == 2
+    assert [r.chunk_key for r in chunks.search_text(store, "Solar  panels", counting, 1).collect()] == ["q::0"]
+    assert [round(r.score, 4) for r in chunks.search_text(store, "water law", counting, 5, min_score=0.9).collect()] == [1.0]
+    for bad in ((" ", 3, None), (None, 3, None), ("x", 0, None), ("x", 2.5, None), ("x", 3, "high")):
+        assert chunks.search_text(store, bad[0], counting, bad[1], bad[2]).collect() == []
+    asked = spark.createDataFrame([(1, "solar panels"), (2, "water law"), (3, " "), (4, None)], "query_id int, texto string")
+    assert {(r.query_id, r.chunk_key) for r in chunks.search_texts(store, asked, counting, 1).collect()} == {(1, "q::0"), (2, "p::0")}
+
+
+def test_ingest_report_counts_and_reasons(spark):
+    portals = spark.createDataFrame([("a", True, None), ("b", False, None), ("c", None, "timeout"), ("d", True, None), ("e", True, None)], "portal string, robots_ok boolean, erro string")
+    found = spark.createDataFrame([("a", "k1", "feed"), ("a", "k2", "feed"), ("a", "k2", "feed"), ("e", "k2", "listagem"), ("e", "k3", "listagem")], "portal string, key string, origem string")
+    got = items.ingest_report(portals, found, spark.createDataFrame([("k1",)], "key string")).orderBy("portal").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", "feed", 3, 1, 2, None, None), ("b", None, 0, 0, 0, "robots.txt", None), ("c", None, 0, 0, 0, None, "timeout"), ("d", None, 0, 0, 0, "sem itens", None), ("e", "listagem", 2, 1, 1, None, None),
+    ]
