@@ -60,14 +60,22 @@ def header(word: bytes) -> tuple | None:
     return version, layer, protected, hertz, channels, samples, length, side
 
 
+def _crc_step(byte: int) -> int:
+    crc = byte << 8
+    for _ in range(8):
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    return crc
+
+
+_CRC = tuple(map(_crc_step, range(256)))
+
+
 @lru_cache(maxsize=8192)
 def crc16(data: bytes) -> int:
     """CRC-16, polynomial 0x8005 from 0xFFFF, as frames carry it."""
     crc = 0xFFFF
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+        crc = (crc << 8 & 0xFF00) ^ _CRC[crc >> 8 ^ byte]
     return crc
 
 
@@ -125,8 +133,8 @@ def _vbr(frame: bytes, side: int) -> tuple[str, int, int] | None:
 def parse(data: bytes) -> dict:
     """Everything that the stream says of itself; see MEDIA for the fields.
 
-    A frame counts where its header is valid and, unless the data end there, another header follows it
-    at once; everything else is skipped byte by byte to the next such place. A last frame that is cut
+    The first frame, and each after a gap, counts where its header is valid and, unless the data end there,
+    another header follows it at once; everything else is skipped byte by byte to the next such place. A last frame that is cut
     short doesn't count. The letters TAG 128 bytes before the end begin a tag unless they lie within an
     ID3v2 tag, or within a frame from which frames fill the data to the end.
     """
@@ -142,7 +150,7 @@ def parse(data: bytes) -> dict:
         end = at + h[6] if h else 0
         if end > stop and stop < len(data) and _fill(data, end):
             v1, stop = {}, len(data)
-        if h and end <= stop and (end == stop or not lost or header(data[end : end + 4])):
+        if h and end <= stop and (end == stop or (offsets or vbr) and not lost or header(data[end : end + 4])):
             lost = False
             version, layer, protected, hertz, channels, count, _, side = h
             if protected:

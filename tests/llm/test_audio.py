@@ -74,3 +74,25 @@ def test_letters_tag_inside_the_last_frame_are_payload(spark):
     # Frames of 72 bytes: the letters stand in the last but one.
     small = (b"\xff\xf3\x28\xc0" + bytes(12) + b"TAG").ljust(72, b"\0") + (b"\xff\xf3\x28\xc0").ljust(72, b"\0")
     assert small[-128:-125] == b"TAG" and audio.parse(small)["frames"] == 2 and audio.parse(small)["tags"] == {}
+
+
+def test_a_header_alone_at_the_start_is_no_frame():
+    junk = b"\xff\xfb\x90\x00" + b"x" * 600
+    assert audio.parse(junk)["frames"] == 0
+    stream = audio.stream_of(b"a" * 1152, 1152)
+    tag = stream.index(b"\xff\xf2")
+    got = audio.parse(junk + stream[tag:])
+    assert got["frames"] == 2 and got["skipped_bytes"] == len(junk) and got["resyncs"] == 1
+
+
+def test_crc_equals_the_bitwise_one():
+    def bitwise(data):
+        crc = 0xFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                top = crc >> 15 ^ byte >> k & 1
+                crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+        return crc
+
+    for data in (b"", b"\0", b"123456789", bytes(range(256))):
+        assert audio.crc16(data) == bitwise(data)
