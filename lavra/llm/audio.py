@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,14 @@ BITRATES = {
     (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of the same standards, layer II: bits of allocation of each subband (tables B.2a to B.2d, and that of low rates).
+ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4,
+    "b": [4] * 11 + [3] * 12 + [2] * 7,
+    "c": [4] * 2 + [3] * 6,
+    "d": [4] * 2 + [3] * 10,
+    "low": [4] * 4 + [3] * 7 + [2] * 19,
+}
 
 #: Payload bytes in one stored frame: one for each of its samples.
 UNIT = 576
@@ -71,14 +80,53 @@ _CRC = tuple(map(_crc_step, range(256)))
 
 
 @lru_cache(maxsize=8192)
-def crc16(data: bytes) -> int:
-    """CRC-16, polynomial 0x8005 from 0xFFFF, as frames carry it."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16, polynomial 0x8005 from 0xFFFF, as frames carry it, over the first `bits` bits (all by default)."""
+    whole, rest = divmod(len(data) * 8 if bits is None else bits, 8)
     crc = 0xFFFF
-    for byte in data:
+    for byte in data[:whole]:
         crc = (crc << 8 & 0xFF00) ^ _CRC[crc >> 8 ^ byte]
+    for k in range(7, 7 - rest, -1):
+        top = crc >> 15 ^ data[whole] >> k & 1
+        crc = crc << 1 & 0xFFFF ^ (0x8005 if top else 0)
     return crc
 
 
+def _covered(frame: bytes, h: tuple) -> int | None:
+    """Bits that a frame's checksum covers after the checksum itself; None where the frame ends before.
+
+    Layer III: the side information. Layer I: four bits of allocation for each subband and channel.
+    Layer II: the allocation, then two bits for each subband and channel that has any. In joint stereo
+    the channels share their allocation from a bound on.
+    """
+    version, layer, _, hertz, channels, _, length, side = h
+    if layer == 3:
+        bits = 8 * side
+    else:
+        joint = frame[3] >> 6 == 1
+        bound = 4 * (frame[3] >> 4 & 3) + 4 if joint else 32
+        if layer == 1:
+            bits = 4 * (32 if channels == 1 else 32 + min(bound, 32))
+        else:
+            each = BITRATES[1 if version == 3 else 2, 2][frame[2] >> 4] // channels
+            if version != 3:
+                kind = "low"
+            elif each <= 48:
+                kind = "d" if hertz == 32000 else "c"
+            else:
+                kind = "a" if each <= 80 or hertz == 48000 else "b"
+            field = int.from_bytes(frame[6:46], "big") << 8 * max(0, 46 - len(frame))
+            bits = chosen = 0
+            for band, width in enumerate(ALLOCATION[kind]):
+                shared = channels == 2 and band >= bound
+                for _ in range(1 if shared else channels):
+                    used = field >> 320 - bits - width & (1 << width) - 1 > 0
+                    chosen += used * (2 if shared else 1)
+                    bits += width
+            bits += 2 * chosen
+    return bits if 48 + bits <= 8 * length else None
+
+
 def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
     """Text frames of a leading ID3v2 tag, and where the tag ends (0: there is none)."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
@@ -115,18 +163,28 @@ def _fill(data: bytes, at: int) -> bool:
     return at == len(data)
 
 
-def _vbr(frame: bytes, side: int) -> tuple[str, int, int] | None:
-    """(kind, frames, bytes) of a Xing, Info or VBRI table; its frame holds no sound."""
-    for at in {4 + side, 6 + side}:
+def _vbr(frame: bytes, side: int) -> tuple[str, int, int, list[int]] | None:
+    """(kind, frames, bytes, seek) of a Xing, Info or VBRI table; its frame holds no sound.
+
+    seek has the table's own offsets of equal parts of the duration, in bytes from the table's frame:
+    of the hundredths with Xing and Info, whose entries are 256ths of the size, else of the ends of
+    VBRI's entries. Empty where the table has none, or no size to count them by, or is cut short.
+    """
+    for at in (4 + side, 6 + side):
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags = int.from_bytes(frame[at + 4 : at + 8], "big")
             numbers = struct.unpack(">2I", frame[at + 8 : at + 16].ljust(8, b"\0"))
             frames = numbers[0] if flags & 1 else -1
             size = numbers[1 if flags & 1 else 0] if flags & 2 else -1
-            return frame[at : at + 4].decode(), frames, size
+            start = at + 8 + 4 * (flags & 1) + 2 * (flags & 2)
+            toc = frame[start : start + 100] if flags & 4 and size >= 0 and start + 100 <= len(frame) else b""
+            return frame[at : at + 4].decode(), frames, size, [x * size // 256 for x in toc]
     if frame[36:40] == b"VBRI":
-        size, frames = struct.unpack(">2I", frame[46:54].ljust(8, b"\0"))
-        return "VBRI", frames, size
+        size, frames, entries, scale, width = struct.unpack(">2I3H", frame[46:60].ljust(14, b"\0"))
+        if not 1 <= width <= 4 or 62 + entries * width > len(frame):
+            entries = 0
+        steps = [scale * int.from_bytes(frame[at : at + width], "big") for at in range(62, 62 + entries * width, max(1, width))]
+        return "VBRI", frames, size, list(accumulate(steps))
     return None
 
 
@@ -154,11 +212,12 @@ def parse(data: bytes) -> dict:
             lost = False
             version, layer, protected, hertz, channels, count, _, side = h
             if protected:
-                if layer == 3:
-                    good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
-                    ok, bad = ok + good, bad + (not good)
+                bits = _covered(data[at : min(end, at + 46)], h)
+                if bits is None:
+                    unchecked += 1
                 else:
-                    unchecked += 1  # what these cover ends within a byte that only a decoder finds
+                    good = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-bits // 8)], 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
+                    ok, bad = ok + good, bad + (not good)
             if not offsets and vbr is None and layer == 3 and (vbr := _vbr(data[at:end], side)):
                 at = end
                 continue
@@ -179,18 +238,19 @@ def parse(data: bytes) -> dict:
         "duration_us": sum(n * 1_000_000 // r for r, n in seconds_at.items()),
         "offsets": offsets, "crc_ok": ok, "crc_bad": bad, "crc_unchecked": unchecked,
         "resyncs": resyncs, "skipped_bytes": skipped, "tags": tags | v1,
-        "vbr": dict(zip(("kind", "frames", "bytes"), vbr)) if vbr else None,
+        "vbr": dict(zip(("kind", "frames", "bytes", "seek"), vbr)) if vbr else None,
     }
 
 
 _LONGS = ("samples", "duration_us", "skipped_bytes")
-#: duration_us is exact to the microsecond below; offsets are of the frames that hold sound; vbr has -1 for absent numbers.
+#: duration_us is exact to the microsecond below; offsets are of the frames that hold sound; vbr has -1 for absent numbers;
+#: crc_unchecked counts frames too short for what their checksum covers.
 MEDIA = T.StructType([
     T.StructField("frames", T.IntegerType()), T.StructField("samples", T.LongType()), T.StructField("sample_rate", T.IntegerType()),
     T.StructField("channels", T.IntegerType()), T.StructField("duration_us", T.LongType()), T.StructField("offsets", T.ArrayType(T.LongType())),
     T.StructField("crc_ok", T.IntegerType()), T.StructField("crc_bad", T.IntegerType()), T.StructField("crc_unchecked", T.IntegerType()),
     T.StructField("resyncs", T.IntegerType()), T.StructField("skipped_bytes", T.LongType()), T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("vbr", T.StructType([T.StructField("kind", T.StringType()), T.StructField("frames", T.LongType()), T.StructField("bytes", T.LongType())])),
+    T.StructField("vbr", T.StructType([T.StructField("kind", T.StringType()), T.StructField("frames", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("seek", T.ArrayType(T.LongType()))])),
 ])
 
 

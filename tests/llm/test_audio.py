@@ -96,3 +96,99 @@ def test_crc_equals_the_bitwise_one():
 
     for data in (b"", b"\0", b"123456789", bytes(range(256))):
         assert audio.crc16(data) == bitwise(data)
+
+
+def crc_of_bits(bits):
+    """Division by the polynomial, bit by bit, of a text of 0 and 1."""
+    crc = 0xFFFF
+    for b in bits:
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) != int(b) else 0)
+    return crc
+
+
+def checked(word, covered, length):
+    """A frame with a checksum over these bits; the rest of it is filled with ones."""
+    low = "".join(f"{b:08b}" for b in word[2:])
+    whole = covered + "1" * (-len(covered) % 8)
+    body = bytes(int(whole[i : i + 8], 2) for i in range(0, len(whole), 8))
+    return (word + crc_of_bits(low + covered).to_bytes(2, "big") + body).ljust(length, b"\xee")
+
+
+# Header, frame length, and how wide each subband's allocation is (a shared one is written once).
+LAYERS = {
+    "I, mono": (b"\xff\xfe\x84\xc0", 256, [(4, 1)] * 32),
+    "I, stereo": (b"\xff\xfe\x84\x00", 256, [(4, 2)] * 32),
+    "I, joint from 8": (b"\xff\xfe\x84\x50", 256, [(4, 2)] * 8 + [(4, 1)] * 24),
+    "II, a: 64 kbit/s, mono, 44.1 kHz": (b"\xff\xfc\x40\xc0", 208, [(4, 1)] * 11 + [(3, 1)] * 12 + [(2, 1)] * 4),
+    "II, b: 256 kbit/s, stereo, 44.1 kHz": (b"\xff\xfc\xc0\x00", 835, [(4, 2)] * 11 + [(3, 2)] * 12 + [(2, 2)] * 7),
+    "II, a: 256 kbit/s, stereo, 48 kHz": (b"\xff\xfc\xc4\x00", 768, [(4, 2)] * 11 + [(3, 2)] * 12 + [(2, 2)] * 4),
+    "II, c: 48 kbit/s, mono, 48 kHz": (b"\xff\xfc\x24\xc0", 144, [(4, 1)] * 2 + [(3, 1)] * 6),
+    "II, d: 96 kbit/s, joint from 4, 32 kHz": (b"\xff\xfc\x68\x40", 432, [(4, 2)] * 2 + [(3, 2)] * 2 + [(3, 1)] * 8),
+    "II, low rate: 64 kbit/s, stereo, 24 kHz": (b"\xff\xf4\x84\x00", 384, [(4, 2)] * 4 + [(3, 2)] * 7 + [(2, 2)] * 19),
+}
+
+
+def test_layers_one_and_two_have_their_checksums_verified():
+    for name, (word, length, bands) in LAYERS.items():
+        head = audio.header(word)
+        assert head[6] == length and head[2], name
+        for pick in (lambda k: 0, lambda k: 1, lambda k: k % 3 == 0):
+            allocation, chosen, k = "", 0, 0
+            stereo = head[4] == 2
+            for width, times in bands:
+                for _ in range(times):
+                    used = int(pick(k))
+                    allocation += f"{used:0{width}b}"
+                    chosen += used * (2 if stereo and times == 1 else 1)
+                    k += 1
+            covered = allocation + ("10" * chosen if head[1] == 2 else "")
+            frame = checked(word, covered, length)
+            got = audio.parse(frame * 3)
+            assert (got["frames"], got["crc_ok"], got["crc_bad"], got["crc_unchecked"]) == (3, 3, 0, 0), name
+            assert got["offsets"] == [0, length, 2 * length] and got["samples"] == 3 * head[5]
+            # The last bit that counts, and the first that doesn't.
+            last, after = 48 + len(covered) - 1, 48 + len(covered)
+            for at, bad in ((last, 1), (after, 0)):
+                torn = bytearray(frame * 3)
+                torn[at // 8] ^= 128 >> at % 8
+                assert audio.parse(bytes(torn))["crc_bad"] == bad, (name, at)
+
+
+def test_a_frame_too_short_for_its_checksum_is_unchecked():
+    # Layer I, 32 kbit/s, 48 kHz: 32 bytes, less than a stereo allocation needs.
+    frame = b"\xff\xfe\x14\x00".ljust(32, b"\0")
+    got = audio.parse(frame * 2)
+    assert (got["frames"], got["crc_unchecked"], got["crc_ok"], got["crc_bad"]) == (2, 2, 0, 0)
+
+
+def test_seek_tables():
+    sound = b"\xff\xfb\x90\x00".ljust(417, b"\0")  # MPEG-1, layer III, 128 kbit/s, 44.1 kHz, stereo, no checksum
+    size = 417 * 11
+    toc = bytes(range(0, 200, 2))
+    xing = (sound[:36] + b"Xing" + (7).to_bytes(4, "big") + (10).to_bytes(4, "big") + size.to_bytes(4, "big") + toc).ljust(417, b"\0")
+    got = audio.parse(xing + sound * 10)
+    assert (got["frames"], got["offsets"][0], got["samples"], got["channels"]) == (10, 417, 11520, 2)
+    assert got["duration_us"] == 11520 * 1_000_000 // 44100
+    assert got["vbr"] == {"kind": "Xing", "frames": 10, "bytes": size, "seek": [x * size // 256 for x in range(0, 200, 2)]}
+    # Only the table's entries, without a size to count them by; only the number of frames.
+    bare = (sound[:36] + b"Xing" + (4).to_bytes(4, "big") + toc).ljust(417, b"\0")
+    assert audio.parse(bare + sound)["vbr"] == {"kind": "Xing", "frames": -1, "bytes": -1, "seek": []}
+    some = (sound[:36] + b"Info" + (1).to_bytes(4, "big") + (10).to_bytes(4, "big")).ljust(417, b"\0")
+    assert audio.parse(some + sound)["vbr"] == {"kind": "Info", "frames": 10, "bytes": -1, "seek": []}
+    for width, scale in ((1, 400), (2, 1), (4, 3)):
+        numbers = size.to_bytes(4, "big") + (10).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (5, scale, width, 2))
+        steps = b"".join(x.to_bytes(width, "big") for x in (1, 2, 3, 4, 5))
+        vbri = (sound[:36] + b"VBRI" + b"\0\1" + bytes(4) + numbers + steps).ljust(417, b"\0")
+        got = audio.parse(vbri + sound * 10)
+        assert got["frames"] == 10 and got["vbr"] == {"kind": "VBRI", "frames": 10, "bytes": size, "seek": [x * scale for x in (1, 3, 6, 10, 15)]}
+    cut = (sound[:36] + b"VBRI" + b"\0\1" + bytes(4) + numbers[:8] + b"\xff\xff\0\1\0\2\0\1").ljust(417, b"\0")
+    assert audio.parse(cut + sound)["vbr"]["seek"] == []
+
+
+def test_described_streams(spark):
+    sound = b"\xff\xfb\x90\x00".ljust(417, b"\0")
+    rows = [(1, bytearray(sound * 3)), (2, None), (3, bytearray(b"")), (4, bytearray(audio.stream_of(b"z" * 1152, 1152)))]
+    got = {r.doc_id: r.info for r in audio.describe(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert [got[k].frames for k in (1, 2, 3, 4)] == [3, 0, 0, 2] and got[1].vbr is None
+    seek = got[4].vbr.seek
+    assert len(seek) == 100 and seek == sorted(seek) and 0 < seek[0] < seek[-1] < got[4].vbr.bytes
