@@ -27,8 +27,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records per file, and bytes before compression after which a task begins another: they bound what one reading task holds.
 MAX_RECORDS = 60_000
 FILE_BYTES = 128_000_000
-#: Bytes that are unpacked, and bytes of payloads that are handed on, at once.
-PIECE, BATCH_BYTES = 65_536, 8_000_000
+#: Bytes that are unpacked, of a member's beginning (what follows a short member is copied) and further on, and bytes
+#: of payloads that are handed on, at once.
+FIRST_PIECE, PIECE, BATCH_BYTES = 1_024, 65_536, 8_000_000
 #: A header of more bytes is broken.
 HEAD_BYTES = 1_000_000
 _EMPTY_MEMBER = zlib.compress(b"", wbits=31)
@@ -161,11 +162,14 @@ def _unpacked(data: bytes) -> Iterator[tuple[bool, bytes]]:
         return
     at = 0
     while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
-        unzip, begins, begun = zlib.decompressobj(31), True, at
+        if data.startswith(_EMPTY_MEMBER, at):
+            at += len(_EMPTY_MEMBER)
+            continue
+        unzip, begins, begun, step = zlib.decompressobj(31), True, at, FIRST_PIECE
         try:
             while at < len(data) and not unzip.eof:
-                piece = unzip.decompress(view[at : at + PIECE])
-                at += min(PIECE, len(data) - at)
+                piece = unzip.decompress(view[at : at + step])
+                at, step = min(at + step, len(data)), min(8 * step, PIECE)
                 if piece:
                     yield begins, piece
                     begins = False
@@ -327,15 +331,18 @@ def orphans(records: DataFrame) -> DataFrame:
 def _linked(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = records.where("record_id is not null")
     is_main = F.col("record_type").isin("response", "revisit", "resource")
+    is_side = F.col("record_type").isin("request", "metadata")
     main = named.where(is_main).dropDuplicates(["record_id"])
-    side = named.where(~is_main & F.col("record_type").isin("request", "metadata")).dropDuplicates(["record_id"])
+    side = named.where(is_side).dropDuplicates(["record_id"])
     side = side.select(F.struct("record_id", "record_type", "date", "concurrent_to", "http_head", F.map_entries("fields").alias("fields"), F.decode("payload", "UTF-8").alias("text")).alias("r"))
-    # (record, capture) links in both directions, and through a request.
-    names = side.select(F.col("r.record_id").alias("id"), F.explode("r.concurrent_to").alias("target"))
-    captures = main.select(F.col("record_id").alias("capture_id"))
+    # (record, capture) links in both directions, and through a request: ids only, found once and written.
+    ids = named.where(is_main | is_side).select("record_id", is_main.alias("main"), F.explode_outer("concurrent_to").alias("target")).distinct()
+    ids = written(ids, "links")
+    names = ids.where("not main and target is not null").select(F.col("record_id").alias("id"), "target")
+    captures = ids.where("main").select(F.col("record_id").alias("capture_id")).distinct()
     direct = names.join(captures, names.target == captures.capture_id).select("id", "capture_id")
-    named_by = main.select(F.col("record_id").alias("capture_id"), F.explode("concurrent_to").alias("id")).select("id", "capture_id")
-    near = direct.unionByName(named_by)
+    named_by = ids.where("main and target is not null").select(F.col("target").alias("id"), F.col("record_id").alias("capture_id"))
+    near = written(direct.unionByName(named_by), "near-links")
     through = names.join(near.withColumnRenamed("id", "target"), "target").select("id", "capture_id")
     found = near.withColumn("hops", F.lit(1)).unionByName(through.withColumn("hops", F.lit(2)))
     found = found.groupBy("id").agg(F.min(F.struct("hops", "capture_id")).alias("best")).select("id", F.col("best.capture_id").alias("capture_id"))
@@ -348,8 +355,11 @@ def page_digests(records: DataFrame) -> DataFrame:
     The page id comes from the capture's metadata. A revisit has the full payload of the response that
     it refers to, whose digest must be the one it was written with.
     """
-    # Without the payloads, the records are small; written, they let the archives be read once.
-    light = written(records.withColumn("payload", F.when(F.col("record_type") == "metadata", F.col("payload"))), "records")
+    # Only what digests come from: without the payloads and other headers the records are small. Written, they let
+    # the archives be read once.
+    kinds = {f.name: f.dataType for f in RECORD.fields}
+    light = records.withColumns({c: F.lit(None).cast(kinds[c]) for c in ("fields", "http_head", "target_uri", "content_type", "date")})
+    light = written(light.withColumn("payload", F.when(F.col("record_type") == "metadata", F.col("payload"))), "records")
     own = assemble(light).select(
         "capture_id", "record_type", F.col("refers_to").alias("first_id"),
         F.regexp_extract(F.get("metadata", F.lit(0))["text"], r"page-id: (\S*)", 1).alias("page"),
