@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import html
+import sys
 import unicodedata
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,8 +86,20 @@ def clean_html(text: Column, mode: str = "regex") -> Column:
     return collapse_ws(F.coalesce(_by_value(marked, lambda m: html.unescape(text_nodes(m))), t))
 
 
-def _without_marks(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """A pattern of the combining marks, as ranges."""
+    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    starts = [c for c, before in zip(marks, [-1, *marks]) if c != before + 1]
+    ends = [c for c, after in zip(marks, [*marks[1:], -1]) if c != after - 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
+def _without_marks(texts: pa.Array) -> pa.Array:
+    """Each distinct text of a batch decomposed, and without its combining marks."""
+    coded = texts.dictionary_encode()
+    bare = pc.replace_substring_regex(pc.utf8_normalize(coded.dictionary, form="NFKD"), pattern=_marks(), replacement="")
+    return bare.take(coded.indices)
 
 
 def fold_upper(text: Column) -> Column:
@@ -92,7 +108,7 @@ def fold_upper(text: Column) -> Column:
     Plain ASCII stays native.
     """
     t = _or_empty(text)
-    return F.upper(F.coalesce(_by_value(F.when(t.rlike(r"[^\x00-\x7f]"), t), _without_marks), t))
+    return F.upper(F.coalesce(F.arrow_udf(_without_marks, T.StringType())(F.when(t.rlike(r"[^\x00-\x7f]"), t)), t))
 
 
 def digits_only(text: Column) -> Column:

@@ -31,9 +31,10 @@ def existing_keys(ids: DataFrame, store: DataFrame, key: str = "chunk_key") -> D
 
 def new_chunks(chunks: DataFrame, store: DataFrame, key: str = "chunk_key") -> DataFrame:
     """Chunks whose key is not stored; of chunks that share a key the smallest. Stored texts are never updated. Null keys are one key."""
-    stored = store.select(F.col(key).alias("_stored")).distinct()
-    unseen = chunks.join(stored, F.col(key).eqNullSafe(F.col("_stored")), "left_anti")
-    return unseen.groupBy(key).agg(F.min(F.struct(*chunks.columns)).alias("_row")).select("_row.*")
+    # Nulls are told by a column of their own, so that both steps are dealt by the same keys and texts travel once.
+    by = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none")]
+    unique = chunks.groupBy(*by).agg(F.min(F.struct(*chunks.columns)).alias("_row"))
+    return unique.join(store.select(*by).distinct(), ["_key", "_none"], "left_anti").select("_row.*")
 
 
 def embed(chunks: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "texto", out: str = "embedding") -> DataFrame:

@@ -6,17 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.text import digits_only, fold_upper
-from lavra.operators.rows import first_nonblank
+from lavra.operators.rows import first_nonblank, first_nonblanks
+from lavra.sources.scratch import written
 
 CROSSWALK = "crosswalk_cnpj"
 
 
-def fold_names(df: DataFrame, name_col: str) -> DataFrame:
-    """df with `_folded`: each distinct name is folded once."""
-    names = df.select(F.col(name_col).alias("_name")).distinct().withColumn("_folded", fold_upper(F.col("_name")))
-    return df.join(names, df[name_col].eqNullSafe(names["_name"]), "left").drop("_name")
-
-
 def root_of(folded: Column, roots: list[str]) -> Column:
     """The first root, in list order, that the folded name holds; else null."""
     return F.coalesce(*(F.when(F.contains(folded, F.lit(r)), r) for r in roots), F.lit(None).cast("string"))
@@ -30,7 +25,8 @@ def classify_party(df: DataFrame, name_col: str, tax_col: str, crosswalk: DataFr
     small enough.
     """
     listed = crosswalk.select(F.col("tax_id").alias("_id")).distinct().withColumn("_in", F.lit(True))
-    d = fold_names(df, name_col).withColumn("_digits", digits_only(F.col(tax_col)))
+    # Folded in place: to meet distinct names again, rows would have to be dealt by name, which very many share.
+    d = df.withColumn("_folded", fold_upper(F.col(name_col))).withColumn("_digits", digits_only(F.col(tax_col)))
     d = d.join(listed, (F.col("_digits") == F.col("_id")) & (F.char_length("_digits") == 14), "left")
     root = F.when(F.col("_in"), CROSSWALK).otherwise(root_of(F.col("_folded"), roots))
     return d.withColumn("raiz", root).withColumn(
@@ -70,10 +66,9 @@ def restrict_to_network(df: DataFrame, filings: DataFrame, number_col: str) -> D
 def enrich(filings: DataFrame, content: DataFrame, biblio: DataFrame, number_col: str, order_col: str, title: str = "titulo", abstract: str = "resumo", date: str = "data_deposito") -> DataFrame:
     """filings with the first non-blank title, abstract and date of each, each found by itself; empty where there is none."""
     near_content, near_biblio = restrict_to_network(content, filings, number_col), restrict_to_network(biblio, filings, number_col)
-    out = filings
-    for source, column, trimmed in ((near_content, title, False), (near_content, abstract, False), (near_biblio, date, True)):
-        out = out.join(first_nonblank(source, number_col, column, [order_col], trimmed), number_col, "left")
-    return out.na.fill("", [title, abstract, date])
+    texts = first_nonblanks(near_content, number_col, [title, abstract], [order_col])
+    dates = first_nonblank(near_biblio, number_col, date, [order_col], trimmed=True)
+    return filings.join(texts, number_col, "left").join(dates, number_col, "left").na.fill("", [title, abstract, date])
 
 
 def extract_registry(depositors: DataFrame, content: DataFrame, biblio: DataFrame, crosswalk: DataFrame, roots: list[str]) -> DataFrame:
@@ -83,5 +78,5 @@ def extract_registry(depositors: DataFrame, content: DataFrame, biblio: DataFram
     ordem (place in the file). As many rows share a blank number, they are one filing, as in any other number.
     """
     classified = classify_party(depositors, "depositante", "cgccpfdepositante", crosswalk, roots)
-    filings = collect_labels(classified, "numero_inpi", "ordem")
+    filings = written(collect_labels(classified, "numero_inpi", "ordem"), "filings")  # three joins read them
     return enrich(filings, content, biblio, "numero_inpi", "ordem").orderBy("ordem", "numero_inpi")

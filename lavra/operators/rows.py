@@ -87,10 +87,19 @@ def first_nonblank(df: DataFrame, key: str, column: str, order: list[str], trimm
 
     Empty and `nan` are blank; trimmed values are also blank as `None`, and are returned trimmed.
     """
-    v = F.coalesce(F.col(column), F.lit(""))
-    v = F.trim(v) if trimmed else v
-    blank = F.lower(v).isin("", "nan", "none") if trimmed else v.isin("", "nan")
-    return df.withColumn("_v", v).where(~blank).groupBy(key).agg(F.min_by("_v", F.struct(*order, "_v")).alias(column))
+    return first_nonblanks(df, key, [column], order, trimmed)
+
+
+def first_nonblanks(df: DataFrame, key: str, columns: list[str], order: list[str], trimmed: bool = False) -> DataFrame:
+    """first_nonblank of several columns, each by itself, in one pass; a column that has none for a key is null."""
+    firsts, some = [], F.lit(False)
+    for column in columns:
+        v = F.coalesce(F.col(column), F.lit(""))
+        v = F.trim(v) if trimmed else v
+        filled = ~(F.lower(v).isin("", "nan", "none") if trimmed else v.isin("", "nan"))
+        some = some | filled
+        firsts.append(F.min(F.when(filled, F.struct(F.struct(*order).alias("place"), v.alias("value"))))["value"].alias(column))
+    return df.where(some).groupBy(key).agg(*firsts)
 
 
 def merge_items(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
