@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lavra.llm import audio, bpe, fingerprints, jaccard, linededup, packing, pii, quality, urlfilter, warc
+from lavra.llm import audio, bpe, fingerprints, jaccard, linededup, packing, pii, quality, runs, urlfilter, warc
+from lavra.llm.text import let
 from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
@@ -66,9 +68,36 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf, "pages"), urlfilter.rule_table(spark, URL_RULES))
 
 
+def _some_made_periodic(docs: DataFrame) -> DataFrame:
+    """docs, where about one document in ten repeats a stretch of its words from some place to its end, as agreed for op11."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def periodic(ws):
+        n, g = F.size(ws), F.col("__g")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + F.pmod(i - a, p)).cast("int")))), " ")
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    made = docs.select("doc_id", "text", h.alias("__h"), F.floor(h / 10).alias("__g"))
+    return made.select("doc_id", F.when(F.col("__h") % 10 == 0, let(words, lambda ws: F.when(F.size(ws) > 0, periodic(ws)))).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.word_runs(_some_made_periodic(table(spark, sf, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("__best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("__best.start")).alias("start"), F.col("__best.length").alias("length"), (-F.col("__best.period")).alias("period"),
+        F.floor(1000 * F.col("__best.length") / -F.col("__best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict = {
     "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe,
     "op5_pii": op5_pii, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_audio": op9_audio, "op10_url_filter": op10_url_filter,
+    "op11_runs": op11_runs,
 }
 
 
