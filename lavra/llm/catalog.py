@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import audio, bpe, fingerprints, jaccard, linededup, packing, pii, quality, runs, urlfilter, warc
+from lavra.llm import alignment, audio, bpe, fingerprints, jaccard, linededup, packing, pii, quality, runs, urlfilter, warc
 from lavra.llm.text import let
 from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 URL_RULES = [
@@ -94,10 +96,15 @@ def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    with open(BYTE_TOKENIZER, encoding="utf-8") as left, open(PIECE_MODEL, "rb") as right:
+        return alignment.align_documents(table(spark, sf, "documents"), left.read(), right.read())
+
+
 QUERIES: dict = {
     "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe,
     "op5_pii": op5_pii, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_audio": op9_audio, "op10_url_filter": op10_url_filter,
-    "op11_runs": op11_runs,
+    "op11_runs": op11_runs, "op12_alignment": op12_alignment,
 }
 
 
