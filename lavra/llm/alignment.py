@@ -13,7 +13,6 @@ import functools
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,10 +69,14 @@ class Aligner:
         for token, i in vocabulary.items():
             self.left_bytes[i] = bytes(raw[c] for c in token) if all(c in raw for c in token) else token.encode()
         self.right_bytes = [self._piece(self.right.id_to_piece(i)) for i in range(self.n_right)]
+        self.left_sizes, self.right_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.left_bytes, self.right_bytes))
+        # Each id with the mark behind it: inside its side of a group, and at the end of that side.
+        self.marked = [b"%d%s" % (i, m) for n, marks in ((self.n_left, (b",", b"|")), (self.n_right, (b",", b";"))) for i in range(n) for m in marks]
         self.blank = self.right.piece_to_id(_SPACE)
         self.merge = self.left.model.tokenize
         # The pre-tokens of the left tokenizer, in the classes of the regex library.
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+        self.other_blank = re.compile(r"[^\S \n]").search
         self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
         self.units, self.parts = Memo(MEMO_UNITS), Memo(MEMO_UNITS)
 
@@ -82,41 +85,57 @@ class Aligner:
         byte = _BYTE(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(_SPACE, " ").encode()
 
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part) or self.parts.old.get(part)
+        if ids is None:
+            ids = [t.id for t in self.merge("".join(map(self.shown.__getitem__, part.encode())))]
+        if len(part) < 100:
+            self.parts[part] = ids
+        return ids
+
     def left_ids(self, text: str) -> list[int]:
-        found = []
-        for part in self.split(text):
-            ids = self.parts.get(part) or self.parts.old.get(part)
-            if ids is None:
-                ids = [t.id for t in self.merge("".join(map(self.shown.__getitem__, part.encode())))]
-            if len(part) < 100:
-                self.parts[part] = ids
-            found += ids
-        return found
-
-    def align(self, raw: bytes, a: list[int], b: list[int]) -> tuple[bytes, int, int, int, bytes] | None:
-        """(groups as text, n_a, n_b, n_groups, links as left * n_right + right in four bytes); None where bytes differ."""
-        parts_a, parts_b = [self.left_bytes[i] for i in a], [self.right_bytes[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        width, links, groups = self.n_right, array("I"), []
-        i = j = 0
-        ga, gb, end_a, end_b = [a[0]], [b[0]], len(parts_a[0]), len(parts_b[0])
-        while True:
-            links.append(a[i] * width + b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}")
-                if end_a == len(raw):
-                    return ";".join(groups).encode(), len(a), len(b), len(groups), links.tobytes()
-                i, j = i + 1, j + 1
-                ga, gb, end_a, end_b = [a[i]], [b[j]], end_a + len(parts_a[i]), end_b + len(parts_b[j])
-            elif end_a < end_b:
-                i += 1
-                ga.append(a[i])
-                end_a += len(parts_a[i])
-            else:
-                j += 1
-                gb.append(b[j])
-                end_b += len(parts_b[j])
+        if text[:1] == " " and text[1:-1].isalpha():
+            # Letters, and one more character at most, whose place the splitter leaves no choice about.
+            if text[-1].isalpha():
+                return self._part(text)
+            if text[-1] in ".,;:!?)":
+                return self._part(text[:-1]) + self._part(text[-1])
+        return [i for part in self.split(text) for i in self._part(part)]
+
+    def align(self, raws: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[tuple[bytes, int, int, int, bytes] | None]:
+        """For each unit: groups as text, each with a semicolon behind it, n_a, n_b, n_groups, and links.
+
+        Links are left * n_right + right in four bytes. None stands for units whose bytes differ.
+        """
+        flat_a, flat_b = [i for ids in a for i in ids], [i for ids in b for i in ids]
+        whole = b"".join(raws)
+        if b"".join(map(self.left_bytes.__getitem__, flat_a)) != whole or b"".join(map(self.right_bytes.__getitem__, flat_b)) != whole:
+            if len(raws) > 1:
+                half = len(raws) // 2
+                return self.align(raws[:half], a[:half], b[:half]) + self.align(raws[half:], a[half:], b[half:])
+            return [None]
+        sides = []
+        for flat, sizes in ((flat_a, self.left_sizes), (flat_b, self.right_sizes)):
+            ids = np.array(flat, np.int64)
+            sides.append((ids, np.cumsum(sizes[ids])))
+        (ids_a, ends_a), (ids_b, ends_b) = sides
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        # Between two neighbouring ends lies one token of each side: a link.
+        ends = np.union1d(ends_a, ends_b)
+        links = (ids_a[np.searchsorted(ends_a, ends)] * self.n_right + ids_b[np.searchsorted(ends_b, ends)]).astype("<u4").tobytes()
+        # Tokens in the order of the groups' text; each brings the mark that stands behind it.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True], np.r_[group_b[1:] != group_b[:-1], True]
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        shown = list(map(self.marked.__getitem__, np.r_[2 * ids_a + last_a, 2 * (self.n_left + ids_b) + last_b][order].tolist()))
+        bounds = np.cumsum([len(r) for r in raws])
+        at = lambda places: np.r_[0, np.searchsorted(places, bounds, side="right")]
+        n_a, n_b, n_groups, n_links = at(ends_a), at(ends_b), at(common), (4 * at(ends)).tolist()
+        n_tokens = (n_a + n_b).tolist()
+        return [
+            (b"".join(shown[n_tokens[k] : n_tokens[k + 1]]), x, y, z, links[n_links[k] : n_links[k + 1]])
+            for k, (x, y, z) in enumerate(zip(np.diff(n_a).tolist(), np.diff(n_b).tolist(), np.diff(n_groups).tolist()))
+        ]
 
     def learn(self, units: set[str]) -> None:
         """Makes sure that all units are known. A unit without white space before it stands for one after a blank."""
@@ -130,17 +149,22 @@ class Aligner:
                 self.units[u] = old[u]
             else:
                 rest.append(u)
+        if not rest:
+            return
         # The right tokenizer puts a blank before everything: it stays before words and goes before line feeds.
-        for u, ids in zip(rest, self.right.encode([u[1:] if u[0] == " " else u for u in rest], num_threads=1) if rest else ()):
-            line = u[0] == "\n"
-            key = u if line or u[0] == " " else " " + u
-            if line and ids[:1] != [self.blank]:
-                raise ValueError("the right tokenizer joins a blank with a line feed")
-            self.units[u] = self.align(key.encode(), self.left_ids(key), ids[1:] if line else ids)
+        right = self.right.encode([u[1:] if u[0] == " " else u for u in rest], num_threads=1)
+        keys = []
+        for k, u in enumerate(rest):
+            if u[0] == "\n":
+                if right[k][:1] != [self.blank]:
+                    raise ValueError("the right tokenizer joins a blank with a line feed")
+                right[k] = right[k][1:]
+            keys.append(u if u[0] in " \n" else " " + u)
+        self.units.update(zip(rest, self.align([k.encode() for k in keys], list(map(self.left_ids, keys)), right)))
 
     def units_of(self, text: str) -> list[str]:
         units = text.replace("\n", " \n").split(" ")
-        if all(units) and not any(u[-1].isspace() or u[0].isspace() and (u[0] != "\n" or u[1].isspace()) for u in units if not u.isalnum()):
+        if all(units) and "\n" not in units and not self.other_blank(text):
             return units
         first, *rest = self.cut(" " + text)
         plain = lambda u: u[1:] if u[0] == " " and not u[1:2].isspace() and len(u) > 1 else u
@@ -246,7 +270,7 @@ def aligned(docs: DataFrame, left_json: str, right_model: bytes, run_records: in
                     groups.append("")
                     continue
                 g, a, b, n, links = zip(*units)
-                g, links = b";".join(g), b"".join(links)
+                g, links = b"".join(g)[:-1], b"".join(links)
                 counts.append((sum(a), sum(b), sum(n), len(links) // 4))
                 shas.append(hashlib.sha256(g).hexdigest())
                 if with_groups:
