@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import alignment, audio, bpe, fingerprints, jaccard, linededup, packing, pii, quality, runs, urlfilter, warc
+from lavra.llm import alignment, audio, bpe, decontaminate, fingerprints, jaccard, linededup, packing, pii, quality, runs, urlfilter, warc
 from lavra.llm.text import let
 from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
@@ -101,10 +101,16 @@ def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
         return alignment.align_documents(table(spark, sf, "documents"), left.read(), right.read())
 
 
+def op13_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    found = decontaminate.contamination(index)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict = {
     "op1_fingerprints": op1_fingerprints, "op2_packing": op2_packing, "op3_warc": op3_warc, "op4_bpe": op4_bpe,
     "op5_pii": op5_pii, "op6_ngram_jaccard": op6_ngram_jaccard, "op7_line_dedup": op7_line_dedup, "op8_quality": op8_quality, "op9_audio": op9_audio, "op10_url_filter": op10_url_filter,
-    "op11_runs": op11_runs, "op12_alignment": op12_alignment,
+    "op11_runs": op11_runs, "op12_alignment": op12_alignment, "op13_decontaminate": op13_decontaminate,
 }
 
 
@@ -154,6 +160,20 @@ select doc_id, (select min(b) from r where r.a = doc_id) class_id, least(doc_id,
 from documents
 """,
     "op10_url_filter": _url_filter_sql(),
+    # Every stretch of a text that is as long as a window, looked up among the windows.
+    "op13_decontaminate": r"""
+with d as materialized (select row_number() over () r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as materialized (select item_id, w, least(len(w), 10) n from (select item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark) where len(w) > 0),
+windows as materialized (select distinct item_id, n, array_to_string(w[s + 1:s + n], ' ') x from (select *, unnest(range(0, len(w) - n + 1)) s from i)),
+places as (select r, p, n, array_to_string(w[p + 1:p + n], ' ') x from (select r, w, n, unnest(range(0, len(w) - n + 1)) p from d, (select distinct n from i) where len(w) >= n)),
+hits as materialized (select r, p, n, item_id from places join windows using (n, x)),
+words as (select r, count(distinct q) n_hit from (select r, unnest(range(p, p + n)) q from hits) group by r),
+items as (select r, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) l from hits group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(l, '')) items_sha256, n_hit is not null contaminated
+from d left join words using (r) left join items using (r)
+""",
     "op3_warc": """
 with p as (select page_id, encode(coalesce(html, '')) b from pages),
 f as (select b, min(page_id) first_page from p group by b),
