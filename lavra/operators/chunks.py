@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from lavra.functions.chunking import chunk_key, pack_chunks, split_paragraphs
 from lavra.functions.vectors import l2_score
 from lavra.operators.rows import rank_top_k, select_candidates
 from lavra.sources.files import append_vectors
+from lavra.sources.keyed import KeyedStore
 from lavra.sources.scratch import written
 
 
@@ -112,6 +113,27 @@ def index_documents(
     return vector_report(corpus, candidates, made, fresh, source)
 
 
+def vector_store(spark: SparkSession, path: str, carry: tuple[T.StructField, ...] = (), source: str = "fonte", bits: int = 6) -> KeyedStore:
+    """The store of chunks and vectors at `path` that index_into fills; `carry` are the fields of carried columns."""
+    text = T.StringType()
+    fields = [T.StructField("chunk_key", text), T.StructField(source, text), *carry, T.StructField("chunk_idx", T.IntegerType()), T.StructField("n_chunks", T.IntegerType()), T.StructField("texto", text), T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    return KeyedStore(spark, path, T.StructType(fields), "chunk_key", bits)
+
+
+def index_into(
+    corpus: DataFrame, store: KeyedStore, encoder: Callable[[], Callable[[list[str]], np.ndarray]], source: str = "fonte", text: str = "texto", window_col: str = "na_janela", tokens: int | None = None, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """index_documents on a keyed store: of what is stored only the files that may hold one of the chunks are opened.
+
+    The report's row is the same. A run that fails leaves the store as it was.
+    """
+    candidates = select_candidates(corpus, window_col, text)
+    made = written(explode_chunks(candidates, source, text, tokens, carry), "chunks")
+    fresh = written(embed(new_chunks(store.missing(made), made.limit(0)), encoder), "vectors")
+    store.append(fresh)
+    return vector_report(corpus, candidates, made, fresh, source)
+
+
 def search_text(vectors: DataFrame, question: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], k: int = 5, min_score: float | None = None, key: str = "chunk_key", vector: str = "embedding") -> DataFrame:
     """top_k of a text: the k nearest rows of at least min_score, best first; text columns that are null become empty.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lavra.sources.ranges import records, scan_csv, scan_json
 from lavra.sources.scratch import written
 
 REJECT = "_rejected"
@@ -19,13 +20,16 @@ CORPUS = ("fonte", "tipo", "data", "instituicao", "texto_limpido", "na_janela",
 def read_table_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A CSV file with a header, all columns text, quotes doubled inside quotes, line feeds allowed there.
 
-    Rows of a wrong number of fields carry their text in the column REJECT; see split_rejected.
+    Files are read by ranges, several tasks a file, as sources.ranges finds where records begin; only files in
+    UTF-16 or UTF-32 are read by a task each. Rows of a wrong number of fields carry their text in the
+    column REJECT; see split_rejected. Empty lines are no rows.
     """
     fields = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField(REJECT, T.StringType())])
-    return (
-        spark.read.schema(fields).option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT).option("enforceSchema", True).csv(path)
-    )
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
+    if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
+        return spark.read.schema(fields).options(header="true", encoding=encoding, enforceSchema="true", **options).csv(path)
+    lines = records(spark, path, "\n", scan_csv(sep), encoding=encoding).where("pos > 0").select(F.regexp_replace("text", "\r$", "").alias("line"))
+    return lines.where("line <> ''").select(F.from_csv("line", fields.toDDL(), options).alias("r")).select("r.*")
 
 
 def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]:
@@ -45,19 +49,49 @@ def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]
     return counted.where(F.col("_fields") <= most).select(*columns), counted.where(F.col("_fields") > most).select(columns[0], F.col(REJECT).alias("line"))
 
 
+def _json_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(elements, files) of JSON files, read by ranges: no file, only its elements, is ever one value.
+
+    elements: (file, pos, opener, v), the elements of lists and the members of objects, each as an object of
+    one member, of files that are whole and well-formed. files: (file, kind), kind null for those; else the
+    type of what a file holds instead, of an object without its members, or `no JSON`. Spark never reads files
+    of no bytes: they are in neither.
+    """
+    found = records(spark, path, ",", scan_json, 1)
+    head = F.regexp_extract("text", r"^[\s\ufeff]*(\S?)", 1)
+    # Only the first record of a file has its opening bracket, only the last its closing one.
+    inner = F.when(F.col("pos") == 0, F.regexp_replace("text", r"^[\s\ufeff]*[\[{]?", "")).otherwise(F.col("text"))
+    inner = F.when(F.coalesce("last", F.lit(False)), F.regexp_replace(inner, r"[\]}]\s*$", "")).otherwise(inner)
+    opener = F.when(F.col("pos") == 0, head)
+    close = F.when(F.col("last") & F.col("ended"), F.regexp_extract("text", r"([\]}])\s*$", 1))
+    shaped = written(found.select("file", "pos", opener.alias("opener"), close.alias("close"), inner.alias("inner"), F.when(F.col("pos") == 0, F.try_parse_json("text")).alias("alone")), "elements")
+    member = F.try_parse_json(F.concat(F.lit("{"), "inner", F.lit("}")))
+    blank = F.trim(F.regexp_replace("inner", r"\s+", " ")) == ""
+    judged = shaped.groupBy("file").agg(
+        F.max("opener").alias("opener"), F.max("close").alias("close"), F.count(F.lit(1)).alias("n"), F.bool_or(F.try_parse_json("inner").isNull()).alias("no_list"), F.bool_or(member.isNull()).alias("no_object"),
+        F.bool_or(blank).alias("blank"), F.max(F.schema_of_variant("alone")).alias("scalar"),
+    )
+    hollow = (F.col("n") == 1) & F.col("blank")
+    is_list = (F.col("opener") == "[") & (F.col("close") == "]") & (~F.col("no_list") | hollow)
+    is_object = (F.col("opener") == "{") & (F.col("close") == "}") & (hollow | ~F.col("blank")) & ~F.col("no_object")
+    kind = F.when(is_list, "ARRAY").when(is_object, "OBJECT").when(~F.col("opener").isin("[", "{"), F.col("scalar"))
+    files = written(judged.select("file", F.coalesce(kind, F.lit("no JSON")).alias("kind")), "judged")
+    good = shaped.where(~blank).join(files.where("kind in ('ARRAY', 'OBJECT')"), "file")
+    return good.select("file", "pos", "kind", F.when(F.col("kind") == "ARRAY", F.try_parse_json("inner")).otherwise(member).alias("v")), files
+
+
 def read_items_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(items, errors) of files that each hold one JSON list.
 
     items: (file, pos, item variant), the objects. errors: (file, pos, kind): other elements with the
     name of their type, and with pos null files that are no list. JSON lines are for spark.read.json.
+    Files are read by ranges, so a list may be larger than any value can be.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
-    kind = F.schema_of_variant("v")
-    lists = whole.where(F.coalesce(kind.startswith("ARRAY"), F.lit(False)))
-    elements = lists.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("file", "pos", F.col("value").alias("item"), F.schema_of_variant("value").alias("kind"))
+    elements, files = _json_elements(spark, path)
+    listed = elements.where("kind = 'ARRAY'").select("file", F.col("pos").cast("int").alias("pos"), F.col("v").alias("item"), F.schema_of_variant("v").alias("kind"))
     is_object = F.col("kind").startswith("OBJECT")
-    broken = whole.where(~F.coalesce(kind.startswith("ARRAY"), F.lit(False))).select("file", F.lit(None).cast("int").alias("pos"), F.coalesce(kind, F.lit("no JSON")).alias("kind"))
-    return elements.where(is_object).select("file", "pos", "item"), elements.where(~is_object).select("file", "pos", "kind").unionByName(broken)
+    broken = files.where("kind <> 'ARRAY'").select("file", F.lit(None).cast("int").alias("pos"), "kind")
+    return listed.where(is_object).select("file", "pos", "item"), listed.where(~is_object).select("file", "pos", "kind").unionByName(broken)
 
 
 def item_fields(items: DataFrame, names: tuple[str, ...] = ("titulo", "data", "url", "texto", "portal", "instituicao")) -> DataFrame:
@@ -75,11 +109,10 @@ def read_corpus(spark: SparkSession, path: str, text_col: str = "texto_limpido")
 
 
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (tax_id): the distinct 14-digit ids of a JSON list or object of texts; none where it is malformed."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    kinds = F.schema_of_variant("v")
-    listed = whole.where(kinds.startswith("ARRAY") | kinds.startswith("OBJECT"))
-    values = listed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.try_variant_get("value", "$", "string").alias("raw"))
+    """Rows (tax_id): the distinct 14-digit ids of a JSON list or object of texts; none where it is malformed. Read by ranges."""
+    elements, _ = _json_elements(spark, path)
+    members = elements.where("kind = 'OBJECT'").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("value")
+    values = elements.where("kind = 'ARRAY'").select(F.col("v").alias("value")).unionByName(members).select(F.try_variant_get("value", "$", "string").alias("raw"))
     return values.select(F.regexp_replace("raw", r"\D", "").alias("tax_id")).where("char_length(tax_id) = 14").distinct()
 
 
