@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lavra.functions.binding import let
 
@@ -24,32 +27,36 @@ def split_paragraphs(text: Column) -> Column:
     return F.filter(clean, lambda p: p != "")
 
 
-def pack_chunks(paragraphs: Column, tokens: int | None = None) -> Column:
-    """Chunks of whole paragraphs: one is closed where the next would take it past the target.
+def _ends(most: int):
+    """From the sizes of paragraphs to where chunks end: over prefix sums, a jump for each chunk."""
 
-    Sizes are of the paragraphs, without the blanks between them; a longer paragraph stands alone. The
-    fold only decides where chunks end, so long texts are not copied again and again.
-    """
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    def ends(sizes: pa.Array) -> pa.Array:
+        rows = []
+        for row in sizes:
+            total = np.concatenate([[0], np.cumsum(row.values.to_numpy(), dtype=np.int64)]) if row.is_valid else np.zeros(1, np.int64)
+            at, found = 0, []
+            while at < len(total) - 1:
+                at = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+                found.append(at)
+            rows.append(found)
+        return pa.array(rows, pa.list_(pa.int32()))
 
-    def step(s: Column, size: Column) -> Column:
-        full = (s["size"] > 0) & (s["size"] + size > target_chars(tokens))
-        return F.struct(
-            F.when(full, size).otherwise(s["size"] + size).alias("size"), (s["at"] + 1).alias("at"),
-            F.when(full, F.array_append(s["ends"], s["at"])).otherwise(s["ends"]).alias("ends"),
-        )
+    return F.arrow_udf(ends, T.ArrayType(T.IntegerType()))
 
-    def cut(parts: Column) -> Column:
-        sizes = F.transform(parts, lambda p: F.char_length(p))
-        ends = F.aggregate(sizes, start, step, lambda s: F.when(s["at"] > 0, F.array_append(s["ends"], s["at"])).otherwise(s["ends"]))
 
-        def between(bounds: Column) -> Column:
-            join = lambda end, i: F.array_join(F.slice(parts, F.get(bounds, i) + 1, end - F.get(bounds, i)), " ")
-            return F.transform(F.slice(bounds, F.lit(2), F.size(bounds) - 1), join)
+def pack_chunks(paragraphs: Column, tokens: int | None = None) -> Column:
+    """Chunks of whole paragraphs: one is closed where the next would take it past the target.
+
+    Sizes are of the paragraphs, without the blanks between them; a longer paragraph stands alone. Only the
+    sizes leave the JVM, and all steps are linear in the paragraphs. Give a column: it is read twice.
+    """
+    ends = _ends(target_chars(tokens))(F.transform(paragraphs, lambda p: F.char_length(p)))
 
-        return let(F.concat(F.array(F.lit(0)), ends), between)
+    def between(bounds: Column) -> Column:
+        join = lambda end, i: F.array_join(F.slice(paragraphs, F.get(bounds, i) + 1, end - F.get(bounds, i)), " ")
+        return F.transform(F.slice(bounds, F.lit(2), F.size(bounds) - 1), join)
 
-    return let(paragraphs, cut)
+    return let(F.concat(F.array(F.lit(0)), ends), between)
 
 
 def chunk_key(source: Column, index: Column) -> Column:

@@ -20,7 +20,8 @@ from lavra.sources.scratch import written
 
 def explode_chunks(corpus: DataFrame, source: str = "fonte", text: str = "texto", tokens: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (chunk_key, source, carried columns, chunk_idx, n_chunks, texto), one per chunk; no shuffle."""
-    packed = corpus.select(source, *carry, pack_chunks(split_paragraphs(F.col(text)), tokens).alias("_chunks"))
+    parts = corpus.select(source, *carry, split_paragraphs(F.col(text)).alias("_parts"))
+    packed = parts.select(source, *carry, pack_chunks(F.col("_parts"), tokens).alias("_chunks"))
     each = packed.select(source, *carry, F.posexplode("_chunks").alias("chunk_idx", "texto"), F.size("_chunks").alias("n_chunks"))
     return each.select(chunk_key(F.col(source), F.col("chunk_idx")).alias("chunk_key"), source, *carry, "chunk_idx", "n_chunks", "texto")
 

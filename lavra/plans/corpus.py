@@ -62,13 +62,13 @@ def tolerant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def drift(spark: SparkSession, sf: str) -> DataFrame:
-    real = table(spark, sf, "nation")
-    d = rows.schema_drift(real.columns, ["n_name", "n_comment", "n_nationkey"], real)
+    real = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    d = rows.schema_drift(real.columns, ["s_name", "s_remark", "s_suppkey"], real)
     return d.select(*(F.array_join(F.array_sort(c), ",").alias(c) for c in ("present", "absent", "extra")), "schema_ok")
 
 
 def by_name(spark: SparkSession, sf: str) -> DataFrame:
-    return rows.filter_by_name(table(spark, sf, "nation"), "n_name", "Tion_1").select("n_nationkey", "n_name")
+    return rows.filter_by_name(table(spark, sf, "customer"), "c_name", "MER#00000001").select("c_custkey", "c_name")
 
 
 def last_event(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +116,7 @@ from (select o_orderkey, case when o_orderkey % 7 > 0 then strftime(o_orderdate,
     "p4_flag_missing": f"with {_ROWS} select ordem, texto_limpido texto, data_ausente, texto_fallback_titulo from n",
     "p5_select_candidates": f"with {_ROWS} select tipo, fonte, ordem from c where na_janela and texto_limpido <> ''",
     "p5_exclusion_counts": f"with {_ROWS} select count(*) filter (where na_janela and texto_limpido <> '') candidatos, count(*) filter (where not na_janela) fora_janela, count(*) filter (where na_janela and texto_limpido = '') texto_vazio from c",
-    "p6_filter_by_name": "select n_nationkey, n_name from nation where contains(lower(n_name), 'tion_1')",
-    "q2_schema_drift": "select 'n_name,n_nationkey' present, 'n_comment' absent, 'n_regionkey' extra, false schema_ok from nation limit 1",
+    "p6_filter_by_name": "select c_custkey, c_name from customer where contains(lower(c_name), 'mer#00000001')",
+    "q2_schema_drift": "select 's_name,s_suppkey' present, 's_remark' absent, 's_nationkey' extra, false schema_ok from supplier limit 1",
     "w5_last_wins": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) k from events) where k = 1",
 }

@@ -12,6 +12,9 @@ from lavra.sources import files
 from lavra.sources.scratch import shared_folder
 from lavra.sources.tables import table
 
+#: Ids that a list takes its elements from.
+LIST_IDS = 5000
+
 
 def _supplier_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers with quotes, separators and line feeds in a field, as Spark writes them with a header in every file."""
@@ -46,13 +49,13 @@ def rejected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf: str) -> str:
-    """A JSON list for each kind of event: its events, their numbers and one text; and a file that is no list."""
+    """JSON lists of a user's events, of a bounded length: the events, the numbers of some, and one text."""
     path = shared_folder(spark, "lists")
     e = table(spark, sf, "events")
     obj = F.to_json(F.struct(F.col("event_id").cast("string").alias("titulo"), F.col("event_type").alias("portal"), F.get_json_object("props", "$.k").alias("texto")))
     element = F.when(F.col("event_id") % 10 == 0, F.col("event_id").cast("string")).otherwise(obj)
-    lists = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ","), F.lit(',"text"]')).alias("value"))
-    lists.repartition(16, "user_id").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    lists = e.groupBy("user_id", F.floor(F.col("event_id") / LIST_IDS).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ","), F.lit(',"text"]')).alias("value"))
+    lists.repartition(16, "user_id", "part").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -69,13 +72,13 @@ def item_errors(spark: SparkSession, sf: str) -> DataFrame:
 def crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "crosswalk")
     ids = F.concat(F.lit('"12.345.'), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.when(F.col("s_suppkey") % 4 == 0, "0").otherwise(""), F.lit('"'))
-    table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 3).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(ids), ","), F.lit("]")).alias("value")).repartition(3, "g").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / LIST_IDS).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(ids), ","), F.lit("]")).alias("value")).repartition(8, "g").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return files.read_crosswalk(spark, path)
 
 
 def targets(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation")
-    inner = F.concat(F.lit('{"'), F.col("n_name"), F.lit('":"https://'), F.lower("n_name"), F.lit('.br//"}'))
+    n = table(spark, sf, "supplier")
+    inner = F.concat(F.lit('{"'), F.col("s_name"), F.lit('":"https://'), F.lower("s_name"), F.lit('.br//"}'))
     config = n.select(F.concat(F.lit('{"top":"x","meta":{"a":"http://no"},"R":{"deep":'), inner, F.lit(',"INPI":{"b":"http://no"},"n":3}}')).alias("value"))
     return files.flatten_targets(spark, config)
 
@@ -102,7 +105,7 @@ def vectors_appended(spark: SparkSession, sf: str) -> DataFrame:
 
 def headers(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_folder(spark, "headers")
-    table(spark, sf, "nation").select("n_nationkey", "n_name").repartition(3, "n_nationkey").write.option("header", True).option("sep", ";").csv(path)
+    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus").repartition(12, "o_orderkey").write.option("header", True).option("sep", ";").csv(path)
     return files.sniff_header(spark, path).select("encoding", "delimiter", F.array_join("columns", ",").alias("columns"), "truncated").distinct()
 
 
@@ -117,9 +120,9 @@ ORACLE_SQL = {
     "s2_accepted": """select s_suppkey::varchar codigo, s_name || ', x' nome, case when s_suppkey % 7 > 0 then s_nationkey::varchar when s_suppkey % 5 = 0 then 'extra' end pais from supplier where not (s_suppkey % 5 = 0 and s_suppkey % 7 > 0)""",
     "s2_rejected": """select s_suppkey::varchar codigo, s_suppkey || ',"' || s_name || ', x",' || s_nationkey || ',extra' line from supplier where s_suppkey % 5 = 0 and s_suppkey % 7 > 0""",
     "s3_read_items_json": "select event_id::varchar titulo, event_type portal, regexp_extract(props, '\"k\": ?(\\d+)', 1) texto, true sem_url from events where event_id % 10 > 0",
-    "s3_item_errors": "select 'BIGINT' kind, count(*) n from events where event_id % 10 = 0 union all select 'STRING', count(distinct user_id) from events",
+    "s3_item_errors": f"select 'BIGINT' kind, count(*) n from events where event_id % 10 = 0 union all select 'STRING', count(distinct (user_id, event_id // {LIST_IDS})) from events",
     "s5_read_crosswalk": "select '12345' || lpad(s_suppkey::varchar, 9, '0') tax_id from supplier where s_suppkey % 4 > 0",
-    "s6_flatten_targets": "select n_name instituicao, 'https://' || lower(n_name) || '.br' url_base from nation",
+    "s6_flatten_targets": "select s_name instituicao, 'https://' || lower(s_name) || '.br' url_base from supplier",
     "s9_append_vectors": "select vec_id, label, len(embedding)::int size from embeddings",
-    "q1_sniff_header": "select 'utf-8' encoding, ';' delimiter, 'n_nationkey,n_name' as columns, false truncated",
+    "q1_sniff_header": "select 'utf-8' encoding, ';' delimiter, 'o_orderkey,o_orderstatus' as columns, false truncated",
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lavra.functions.urls import normalize_url
 from lavra.operators import items, robots, rows
+from lavra.sources.keyed import KeyedStore
+from lavra.sources.scratch import shared_folder
 from lavra.sources.tables import table
 
 
@@ -59,6 +61,15 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return rows.merge_items(*_sides(spark, sf), "key", "page_id")
 
 
+def merged_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a keyed store holds after the pages that come in are merged into the stored ones."""
+    stored, found = _sides(spark, sf)
+    store = KeyedStore(spark, shared_folder(spark, "item-store"), stored.schema, "key")
+    store.append(rows.merge_items(stored, stored.limit(0), "key", "page_id").drop("estado"))
+    store.merge(found, "page_id")
+    return store.read()
+
+
 def report(spark: SparkSession, sf: str) -> DataFrame:
     """Each host is a portal, with its pages as items; of the portals without any some are closed and some failed."""
     stored, found = _sides(spark, sf)
@@ -85,11 +96,12 @@ m as (select page_id, host as key, host portal, 'existente' estado from o union
 
 QUERIES = {
     "t1_parse_feed": from_feeds, "t2_parse_listing": from_listings, "t3_extract_items": extracted, "p7_j8_filter_robots": allowed,
-    "j6_merge_items": merged, "a9_ingest_report": report, "w1_first_page_by_url": by_url,
+    "j6_merge_items": merged, "j6_keyed_store": merged_keyed, "a9_ingest_report": report, "w1_first_page_by_url": by_url,
 }
 ORACLE_SQL = {
     "p7_j8_filter_robots": f"""select page_id, url from pages where not starts_with({_PATH}, '/fr/') and not contains({_PATH}, '.html') and not starts_with({_HOST}, 'blog.')""",
     "j6_merge_items": f"with {_MERGED} select * from m",
+    "j6_keyed_store": f"with {_MERGED} select page_id, key, portal from m",
     "a9_ingest_report": f"""with {_MERGED}, h as (select distinct host from p),
 i as (select host, count(*) itens, max((host not in (select host from o))::int) novos from p where page_id % 3 > 0 group by host)
 select host portal, case when itens > 0 then 'feed' end fonte, coalesce(itens, 0) itens, coalesce(novos, 0) novos, coalesce(itens, 0) - coalesce(novos, 0) ja_existentes,

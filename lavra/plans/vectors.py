@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.operators import chunks
+from lavra.sources.keyed import KeyedStore
 from lavra.sources.scratch import shared_folder, written
 from lavra.sources.tables import table
 
@@ -32,6 +33,15 @@ def added(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.new_chunks(made(spark, sf), _store(spark, sf)).select("chunk_key", "texto")
 
 
+def added_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """As added, with the stored chunks in a keyed store."""
+    stored = _store(spark, sf)
+    store = KeyedStore(spark, shared_folder(spark, "chunk-store"), stored.schema, "chunk_key")
+    store.append(chunks.new_chunks(stored, stored.limit(0)))
+    all_chunks = written(made(spark, sf), "chunks")
+    return chunks.new_chunks(store.missing(all_chunks), all_chunks.limit(0)).select("chunk_key", "texto")
+
+
 def present(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.existing_keys(made(spark, sf), _store(spark, sf))
 
@@ -109,12 +119,13 @@ def _asked() -> str:
 
 
 QUERIES = {
-    "f15_t4_explode_chunks": made, "j5_new_chunks": added, "u2_existing_keys": present, "a8_vector_report": report, "x1_embed": embedded,
+    "f15_t4_explode_chunks": made, "j5_new_chunks": added, "j5_keyed_store": added_keyed, "u2_existing_keys": present, "a8_vector_report": report, "x1_embed": embedded,
     "o2_search_text": by_text, "o3_search_texts": by_texts, "x1_vector_job": vector_job, "o2_top_k": nearest, "p8_filter_min_score": above, "o3_top_k_batch": batch,
 }
 ORACLE_SQL = {
     "f15_t4_explode_chunks": f"with {_CHUNKS} select * exclude (doc_id) from k",
     "j5_new_chunks": f"with {_CHUNKS} select chunk_key, texto from k where doc_id % 3 > 0",
+    "j5_keyed_store": f"with {_CHUNKS} select chunk_key, texto from k where doc_id % 3 > 0",
     "u2_existing_keys": f"with {_CHUNKS} select chunk_key from k where doc_id % 3 = 0",
     "a8_vector_report": f"""with {_CHUNKS} select (select count(*) from documents) linhas, (select count(*) from documents where text <> '') candidatos, count(*) chunks, count(distinct fonte) documentos,
   max(n_chunks) max_chunks, count(*) filter (where doc_id % 3 > 0) adicionados, count(*) filter (where doc_id % 3 = 0) ja_presentes from k""",

@@ -6,10 +6,12 @@ import csv
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lavra.functions.binding import unused
 from lavra.sources.ranges import records, scan_csv, scan_json
 from lavra.sources.scratch import written
 
@@ -45,8 +47,9 @@ def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]
         return lines.map(lambda x: len(next(csv.reader([x], delimiter=sep), [])), na_action="ignore").astype("Int64")
 
     count = F.coalesce(F.pandas_udf(fields_in, T.LongType())(F.col(REJECT)), F.lit(0))
-    counted = df.withColumn("_fields", count)
-    return counted.where(F.col("_fields") <= most).select(*columns), counted.where(F.col("_fields") > most).select(columns[0], F.col(REJECT).alias("line"))
+    [fields] = unused(df, "_fields")
+    counted = df.withColumn(fields, count)
+    return counted.where(F.col(fields) <= most).select(*columns), counted.where(F.col(fields) > most).select(columns[0], F.col(REJECT).alias("line"))
 
 
 def _json_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -157,16 +160,21 @@ def sniff_header(spark: SparkSession, paths: str, most: int = 262_144) -> DataFr
     """Rows (path, encoding, delimiter, columns, truncated) from the first line of each file, at most `most` bytes of it.
 
     A byte order mark means utf-8-sig, valid UTF-8 utf-8, anything else cp1252. The delimiter is the most
-    frequent of `, ; | tab`, in that order on ties, and `;` where there is none. One task for each file.
+    frequent of `, ; | tab`, in that order on ties, and `;` where there is none. Spark lists the files; a task
+    opens those of its part of the list by the file system of their address, and reads one range of each.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", F.expr(f"substring(content, 1, {most + 1})").alias("head"))
+    files = spark.read.format("binaryFile").load(paths).select("path")  # without the contents none are read
     kind = "path string, encoding string, delimiter string, columns array<string>, truncated boolean"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
             rows = []
-            for path, head in zip(frame["path"], frame["head"]):
-                line, end, _ = bytes(head).partition(b"\n")
+            for path in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_file(name) as f:
+                    line, end, _ = f.read(most + 1).partition(b"\n")
                 truncated = not end and len(line) > most
                 line = line[:most]
                 encoding = "utf-8-sig" if line.startswith(b"\xef\xbb\xbf") else "utf-8"
@@ -176,7 +184,7 @@ def sniff_header(spark: SparkSession, paths: str, most: int = 262_144) -> DataFr
                     encoding, text = "cp1252", line.decode("cp1252", "replace")
                 text = text.rstrip("\r")
                 delimiter = max(",;|\t", key=text.count) if any(d in text for d in ",;|\t") else ";"
-                rows.append((path, encoding, delimiter, [c.strip().strip('"').strip() for c in text.split(delimiter)], truncated))
-            yield pd.DataFrame(rows, columns=["path", "encoding", "delimiter", "columns", "truncated"])
+                rows.append({"path": path, "encoding": encoding, "delimiter": delimiter, "columns": [c.strip().strip('"').strip() for c in text.split(delimiter)], "truncated": truncated})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("encoding", pa.string()), ("delimiter", pa.string()), ("columns", pa.list_(pa.string())), ("truncated", pa.bool_())]))
 
-    return files.mapInPandas(run, kind)
+    return files.mapInArrow(run, kind)
