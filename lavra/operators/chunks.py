@@ -17,6 +17,9 @@ from lavra.sources.files import append_vectors
 from lavra.sources.keyed import KeyedStore
 from lavra.sources.scratch import written
 
+#: Centres of cells in a search, at most.
+PIVOTS = 64
+
 
 def explode_chunks(corpus: DataFrame, source: str = "fonte", text: str = "texto", tokens: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (chunk_key, source, carried columns, chunk_idx, n_chunks, texto), one per chunk; no shuffle."""
@@ -158,41 +161,131 @@ def search_texts(vectors: DataFrame, questions: DataFrame, encoder: Callable[[],
     return top_k_batch(vectors, encoded, k, min_score, key, vector, query_id)
 
 
-def _in_blocks(rows: DataFrame, name: str, vector: str, block: int) -> DataFrame:
-    """Rows (ids, vs) of about `block` rows each, dealt by hash; the number of blocks grows with the rows."""
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.select(F.struct(F.col(name).alias("id"), F.col(vector).cast("array<float>").alias("v")).alias("r"), F.pmod(F.xxhash64(name), F.lit(blocks)).alias("b"))
-    packed = dealt.groupBy("b").agg(F.collect_list("r").alias("r"))
-    return packed.select(F.col("r.id").alias("ids"), F.flatten("r.v").alias("vs"))
+def _centres(rows: DataFrame, name: str, vector: str, block: int) -> np.ndarray:
+    """Vectors that cells lie around: those of least hash, one for each `block` rows, and PIVOTS at most."""
+    most = max(1, min(PIVOTS, rows.count() // block))
+    found = rows.orderBy(F.xxhash64(name), name).limit(most).select(F.col(vector).cast("array<double>").alias("v")).collect()
+    return np.array([r.v for r in found], np.float64)
+
+
+def _in_cells(rows: DataFrame, name: str, vector: str, centres: np.ndarray, block: int) -> DataFrame:
+    """Rows (b, cell, low, high, ids, vs): blocks of at most `block` rows, written.
+
+    A block's rows lie in the cell of their nearest centre, at distances of low to high from it. Rows are sorted
+    by cell and distance over all partitions, so no cell, however full, meets in one task.
+    """
+    of_id = rows.schema[name].dataType
+    place = T.StructType([T.StructField("id", of_id), T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("cell", T.IntegerType()), T.StructField("d", T.DoubleType())])
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        norms = (centres * centres).sum(1)
+        for frame in frames:
+            if len(frame):
+                v = np.stack(frame["v"]).astype(np.float64)
+                cell = np.argmin(norms[None, :] - 2 * v @ centres.T, axis=1)
+                d = np.sqrt(((v - centres[cell]) ** 2).sum(1))
+                yield pd.DataFrame({"id": frame["id"], "v": frame["v"], "cell": cell.astype(np.int32), "d": d})
+
+    placed = written(rows.select(F.col(name).alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInPandas(nearest, place), "placed")
+    kind = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType()), T.StructField("ids", T.ArrayType(of_id)), T.StructField("vs", T.ArrayType(T.FloatType()))])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def rows_of(part: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+            """The blocks that are full, or end with their cell, and what is left for the next."""
+            out = []
+            while len(part):
+                size = min(block, int(np.searchsorted(part["cell"], part["cell"].iloc[0], side="right")))
+                if size == len(part) and size < block and not last:
+                    break
+                one, part = part.iloc[:size], part.iloc[size:]
+                out.append((int(one["cell"].iloc[0]), one["d"].min(), one["d"].max(), one["id"].tolist(), np.concatenate(one["v"].tolist())))
+            return pd.DataFrame(out, columns=kind.names), part
+
+        for frame in frames:
+            full, held = rows_of(frame if held is None else pd.concat([held, frame]), False)
+            if len(full):
+                yield full
+        if held is not None and len(held):
+            yield rows_of(held, True)[0]
+
+    ordered = placed.repartitionByRange("cell", "d", "id").sortWithinPartitions("cell", "d", "id").mapInPandas(cut, kind)
+    return written(ordered.select(F.monotonically_increasing_id().alias("b"), "*"), "blocks")
+
+
+def _scores(qv, vv, nq: int, nv: int) -> np.ndarray:
+    a, b = np.asarray(qv, np.float64).reshape(nq, -1), np.asarray(vv, np.float64).reshape(nv, -1)
+    return 1 - ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
+
+
+def block_pairs(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None, key: str, vector: str, query_id: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, blocks of queries, blocks of the store): pairs (qb, vb) of blocks that may hold one of a query's best k.
+
+    The best k of the block that lies nearest to a query's own bound how far its best k lie. By the triangle
+    inequality no row of another block is nearer than the centres' distance less the rows' distances from
+    them; blocks beyond the bound are left out. If nothing is, all pairs stay.
+    """
+    whole = lambda df, name: df.where(F.size(vector) > 0).select(name, vector)
+    centres = _centres(whole(vectors, key), key, vector, block)
+    store = _in_cells(whole(vectors, key), key, vector, centres, block)
+    asked = _in_cells(whole(queries, query_id), query_id, vector, centres, block)
+    of_store = store.select(F.col("b").alias("vb"), F.col("cell").alias("vcell"), F.col("low").alias("vlow"), F.col("high").alias("vhigh"), F.size("ids").alias("n"))
+    of_asked = asked.select(F.col("b").alias("qb"), "cell", "low", "high")
+    # From a block's middle to the block of its cell whose rows lie at about the same distance; full ones first.
+    off = F.abs(F.col("low") + F.col("high") - F.col("vlow") - F.col("vhigh"))
+    home = of_asked.join(of_store, F.col("cell") == F.col("vcell")).groupBy("qb").agg(F.min_by("vb", F.struct(F.col("n") < k, off, "vb")).alias("vb"))
+    vs = store.select(F.col("b").alias("vb"), F.col("ids").alias("vi"), F.col("vs").alias("vv"))
+    qs = asked.select(F.col("b").alias("qb"), F.col("ids").alias("qi"), F.col("vs").alias("qv"))
+    far = float("inf") if min_score is None else max(0.0, 1 - min_score)
+
+    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for qb, qi, qv, vi, vv in zip(frame["qb"], frame["qi"], frame["qv"], frame["vi"], frame["vv"]):
+                scores = _scores(qv, vv, len(qi), len(vi))
+                worst = float((1 - np.partition(scores, -k, axis=1)[:, -k]).max()) if len(vi) >= k else float("inf")
+                out.append((qb, min(worst, far)))
+            yield pd.DataFrame(out, columns=["qb", "reach2"])
+
+    reach = written(qs.join(home, "qb").join(vs, "vb").mapInPandas(bound, "qb long, reach2 double"), "reach")
+    gaps = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2), 0))
+    apart = vectors.sparkSession.createDataFrame([(i, j, float(gaps[i, j])) for i in range(len(centres)) for j in range(len(centres))], "cell int, vcell int, gap double")
+    least = F.greatest(F.lit(0.0), F.col("gap") - F.col("high") - F.col("vhigh"), F.col("low") - F.col("gap") - F.col("vhigh"), F.col("vlow") - F.col("gap") - F.col("high"))
+    # Scores are rounded to nine places before they are ranked.
+    near = least * least <= F.col("reach2") + (F.col("reach2") + 1) * 1e-8
+    pairs = of_asked.join(reach, "qb").join(apart, "cell").join(of_store, "vcell").where(near).select("qb", "vb")
+    return pairs, qs, vs
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, key: str = "chunk_key", vector: str = "embedding", query_id: str = "query_id", block: int = 4096) -> DataFrame:
     """Rows (query_id, key, score, posicao): the k nearest of every query, exactly; ties by key.
 
-    Both sides are dealt into blocks, and every block of queries meets every block of the store. A task
-    multiplies two blocks and keeps each query's best k, so k rows for each query and block are ranked,
-    never all pairs. All vectors have one size; queries without a vector get no rows.
+    Both sides lie in cells around a few rows of the store, cut into blocks. Only pairs of blocks that can be
+    near enough meet (see block_pairs); vectors without any clusters may leave all of them. A task multiplies
+    two blocks and keeps each query's best k, so k rows for each query and block are ranked, never all pairs.
+    All vectors have one size; queries without a vector get no rows.
     """
     names = [queries.schema[query_id].dataType, vectors.schema[key].dataType]
     fields = T.StructType([T.StructField(query_id, names[0]), T.StructField(key, names[1]), T.StructField("score", T.DoubleType())])
+    nothing = queries.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("posicao", T.IntegerType())]))
     if not isinstance(k, int) or k <= 0:
-        return queries.sparkSession.createDataFrame([], T.StructType([*fields, T.StructField("posicao", T.IntegerType())]))
-    whole = lambda df, name: df.where(F.size(vector) > 0).select(name, vector)
-    q, v = _in_blocks(whole(queries, query_id), query_id, vector, block), _in_blocks(whole(vectors, key), key, vector, block)
+        return nothing
+    if vectors.where(F.size(vector) > 0).isEmpty():
+        return nothing
+    pairs, qs, vs = block_pairs(vectors, queries, k, min_score, key, vector, query_id, block)
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for qi, qv, vi, vv in zip(frame["qi"], frame["qv"], frame["vi"], frame["vv"]):
-                a, b = np.asarray(qv, np.float64).reshape(len(qi), -1), np.asarray(vv, np.float64).reshape(len(vi), -1)
                 order = np.argsort(np.asarray(vi), kind="stable")
-                ids, b = np.asarray(vi)[order], b[order]
-                scores = 1 - ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
+                ids = np.asarray(vi)[order]
+                scores = _scores(qv, vv, len(qi), len(vi))[:, order]
                 # By rounded score and then key, as they are ranked afterwards.
                 top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({query_id: np.repeat(np.asarray(qi), top.shape[1]), key: ids[top].ravel(), "score": np.round(np.take_along_axis(scores, top, 1), 9).ravel()})
 
-    pairs = v.select(F.col("ids").alias("vi"), F.col("vs").alias("vv")).crossJoin(q.select(F.col("ids").alias("qi"), F.col("vs").alias("qv")))
-    near = pairs.mapInPandas(best, fields)
+    near = pairs.join(qs, "qb").join(vs, "vb").select("qi", "qv", "vi", "vv").mapInPandas(best, fields)
     if min_score is not None:
         near = near.where(F.col("score") >= min_score)
     return rank_top_k(near, query_id, "score", key, k)

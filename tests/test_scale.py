@@ -4,10 +4,11 @@ import random
 import re
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lavra.functions import chunking
-from lavra.operators import parties, robots
+from lavra.operators import chunks, parties, robots
 from lavra.sources import files
 
 ROOTS = ["INSTITUTO FEDERAL DE", "COLEGIO PEDRO II"]
@@ -142,3 +143,42 @@ def test_report_of_the_registry_job(spark):
     assert report(gate=gate.limit(0)).veredito == "pendente" and report(gate=spark.createDataFrame([(False,)], "usable boolean")).veredito == "pendente"
     failed = report(errors=("no table", "no disk"), missing=("conteudo",))
     assert (failed.veredito, failed.erro, failed.membros_ausentes) == ("pendente", "no table; no disk", ["conteudo"])
+
+
+def plain_top(vectors, queries, k):
+    out = {}
+    for i, q in queries:
+        score = [(-round(1 - sum((a - b) ** 2 for a, b in zip(q, v)), 9), j) for j, v in vectors]
+        out |= {(i, p): j for p, (_, j) in enumerate(sorted(score)[:k], 1)}
+    return out
+
+
+def test_search_skips_far_blocks_and_equals_brute_force(spark):
+    rng = random.Random(8)
+    centres = [[rng.uniform(-20, 20) for _ in range(4)] for _ in range(12)]
+    near = lambda c: [x + rng.choice([-0.5, 0.0, 0.25, 0.5]) for x in map(round, c)]
+    vectors = [(j, [float(x) for x in near(rng.choice(centres))]) for j in range(1500)]
+    vectors += [(j, vectors[0][1]) for j in range(1500, 2000)]  # a very common vector
+    queries = [(j, v) for j, v in vectors if j % 50 == 0] + [(9000, [0.0] * 4), (9001, vectors[0][1])]
+    store = spark.createDataFrame(vectors, "chunk_key int, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([*queries, (9002, None), (9003, [])], "query_id int, embedding array<float>")
+    found = chunks.top_k_batch(store, asked, 7, block=40)
+    assert {(r.query_id, r.posicao): r.chunk_key for r in found.collect()} == plain_top(vectors, queries, 7)
+    pairs, qs, vs = chunks.block_pairs(store, asked, 7, None, "chunk_key", "embedding", "query_id", 40)
+    share = pairs.count() / (qs.count() * vs.count())
+    assert share < 0.4, share
+    above = chunks.top_k_batch(store, asked, 7, min_score=0.2, block=40).collect()
+    assert sorted(map(tuple, above)) == sorted(tuple(r) for r in found.collect() if r.score >= 0.2)
+
+
+def test_search_without_clusters_and_with_few_rows_is_a_full_scan(spark):
+    rng = random.Random(9)
+    vectors = [(j, [rng.gauss(0, 1) for _ in range(24)]) for j in range(300)]
+    store = spark.createDataFrame(vectors, "chunk_key int, embedding array<double>")
+    asked = store.where("chunk_key % 50 = 0").withColumnRenamed("chunk_key", "query_id")
+    queries = [(j, v) for j, v in vectors if j % 50 == 0]
+    for k, block in ((5, 30), (400, 64), (3, 4096)):
+        got = {(r.query_id, r.posicao): r.chunk_key for r in chunks.top_k_batch(store.withColumn("embedding", F.col("embedding").cast("array<float>")), asked, k, block=block).collect()}
+        want = plain_top([(j, [float(np.float32(x)) for x in v]) for j, v in vectors], [(j, [float(np.float32(x)) for x in v]) for j, v in queries], k)
+        assert got == want
+    assert chunks.top_k_batch(store.limit(0), asked, 3).collect() == [] and chunks.top_k_batch(store, asked.limit(0), 3).collect() == []
