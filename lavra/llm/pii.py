@@ -8,8 +8,11 @@ Kinds: email, phone (international, or ten digits in three groups), card (13 to
 Luhn test, whole or in the groups that cards have), iban (with right check digits), ssn, ip, ipv6, secret
 (AWS key ids, and values after password, token and the like), person.
 
-Persons are found by a title, or by words that introduce a name (`my name is`, `Dear`, `Sincerely,`). Their
-names are then replaced wherever else they stand in the same document, in any case of letters.
+Persons are found by a title or `my name is`; or by weaker words that introduce a name (`Dear`, `Contact:`,
+`I am`), if the corpus doesn't write the words that follow mostly in lower case. Their names are then
+replaced wherever else they stand in the same document; in lower case only where the corpus writes them
+mostly with capitals. Each word of a name is one entity, whatever its part in the name and whatever its
+titles: it has one surrogate everywhere, of the gender that its titles say most often.
 """
 
 from __future__ import annotations
@@ -56,6 +59,8 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}])(?:{_TITLE}{_NAMES}|{_SAID}{_NAME}(?:{_PARTICLE}{{0,2}} {_NAME})|(?i:my name is)\s{{1,2}}{_NAME}|{_SIGNED}{_NAME}{_PARTICLE}{{0,2}} {_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Introductions that nothing but a name follows.
+_SURE = rf"^(?:{_TITLE}|(?i:my name is))"
 _BEFORE_NAME = rf"^((?:{_TITLE}|{_SAID}|{_SIGNED}))"
 
 _LATIN_ON, _LATIN_VOW = "bdfgklmnprstvz", "aeiou"
@@ -91,23 +96,17 @@ def names_in(match: Column) -> Column:
 
 
 def entities_of(match: Column, kind: Column) -> Column:
-    """array<struct<kind, canonical>>: what of a match is replaced, in a form that its spellings share.
+    """array<struct<kind, canonical, given, gender>>: what of a match is replaced, in a form that its spellings share.
 
-    A person has a surname and before it, if two words follow, a given name; so the surname alone later
-    means the same person. Phones, cards and ssns are their digits.
+    Each word of a person's name is an entity; `given` is whether another follows, gender m, f or u as the
+    title says. Phones, cards and ssns are their digits.
     """
     digits = F.regexp_replace(match, r"\D", "")
-    one = lambda value: F.array(F.struct(kind.alias("kind"), value.alias("canonical")))
+    entity = lambda kind, value, given=F.lit(False), gender=F.lit("u"): F.struct(kind.alias("kind"), value.alias("canonical"), given.alias("given"), gender.alias("gender"))
+    one = lambda value: F.array(entity(kind, value))
     gender = F.when(match.rlike(rf"^(?:{_forms(_FEMALE)})\.? "), "f").when(match.rlike(rf"^(?:{_forms(_MALE)})\.? "), "m").otherwise("u")
-
-    def named(words: Column) -> Column:
-        def of(w: Column, i: Column) -> Column:
-            last = i == F.size(words) - 1
-            cyrillic = F.concat(F.lit("_cyrillic_"), gender)
-            kind = F.concat(F.when(last, "surname").otherwise("given"), F.when(w.rlike(r"^\p{IsCyrillic}"), cyrillic).when(last, "").otherwise(F.concat(F.lit("_"), gender)))
-            return F.struct(kind.alias("kind"), F.lower(w).alias("canonical"))
-
-        return F.transform(words, of)
+    script = lambda w: F.when(w.rlike(r"^\p{IsCyrillic}"), "name_cyrillic").otherwise("name")
+    named = lambda words: F.transform(words, lambda w, i: entity(script(w), F.lower(w), i < F.size(words) - 1, gender))
 
     secret = F.when(match.startswith("AKIA"), match).otherwise(F.regexp_extract(match, r"""[=:]\s{0,2}["']?([^\s"']+)$""", 1))
     return (
@@ -157,8 +156,8 @@ def _name(seed: Column, onsets: str, vowels: str, parts: Column, ending: Column)
     return F.concat(F.array_join(syllables, ""), ending)
 
 
-def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The replacement, in canonical form, that the key and the attempt give an entity."""
+def surrogate(kind: Column, canonical: Column, attempt: Column, key: str, form: Column) -> Column:
+    """The replacement, in canonical form, that the key and the attempt give an entity; form is given_ or surname_ and a gender for names."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")), 256)
     more = F.greatest(attempt - GROW_FROM, F.lit(0))
     local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
@@ -175,34 +174,35 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
         lambda body: F.concat(F.right(body, F.lit(2)), F.lpad((98 - _mod97(F.concat(body, F.lit("00")))).cast("string"), 2, "0"), F.substr(body, F.lit(1), F.char_length(body) - 2)),
     )
     parts = F.greatest(F.lit(2), F.least(F.lit(4), F.floor(F.char_length(canonical) / 3).cast("int"))) + more
-    latin_end = F.when(kind == "given_f", "a").when(kind == "given_m", _pick("nrs", seed, F.lit(0))).otherwise(_pick("nrskt", seed, F.lit(0)))
-    cyr_end = F.when(kind == "surname_cyrillic_m", "ов").when(kind == "surname_cyrillic_f", "ова").when(kind == "given_cyrillic_f", "на").otherwise(_pick("нрм", seed, F.lit(0)))
+    latin_end = F.when(form == "given_f", "a").when(form == "given_m", _pick("nrs", seed, F.lit(0))).otherwise(_pick("nrskt", seed, F.lit(0)))
+    cyr_end = F.when(form == "surname_m", "ов").when(form == "surname_f", "ова").when(form == "given_f", "на").otherwise(_pick("нрм", seed, F.lit(0)))
     return (
         F.when(kind == "email", email).when(kind == "phone", _digits(canonical, seed, 1)).when(kind == "ssn", _digits(canonical, seed, 0))
         .when(kind == "card", card).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "iban", iban)
         .when(kind == "secret", F.concat(F.when(canonical.startswith("AKIA"), F.concat(F.lit("AKIA"), _same_classes(F.substr(canonical, F.lit(5)), seed))).otherwise(F.concat(_same_classes(canonical, seed), grown))))
-        .when(kind.contains("cyrillic"), _name(seed, _CYR_ON, _CYR_VOW, parts, cyr_end)).otherwise(_name(seed, _LATIN_ON, _LATIN_VOW, parts, latin_end))
+        .when(kind == "name_cyrillic", _name(seed, _CYR_ON, _CYR_VOW, parts, cyr_end)).otherwise(_name(seed, _LATIN_ON, _LATIN_VOW, parts, latin_end))
     )
 
 
 def assign(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """Rows (kind, canonical, surrogate) for distinct entities (kind, canonical).
+    """Rows (kind, canonical, surrogate) for distinct entities (kind, canonical), with a form where they are names.
 
     Each round gives every open entity its next candidate. It is taken unless it equals an entity of the
     same kind in the corpus, or one given before; of equal candidates the smallest entity's is taken.
     The rest go on; each is counted and written, so the last round is the first without any left.
     """
-    entities = written(entities.select("kind", "canonical").distinct(), "entities")
+    form = F.max("form") if "form" in entities.columns else F.lit(None).cast("string")
+    entities = written(entities.groupBy("kind", "canonical").agg(form.alias("form")), "entities")
     done, todo = None, entities
     for attempt in range(rounds):
-        named = todo.select("kind", "canonical").withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
+        named = todo.select("kind", "canonical", "form").withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key, F.col("form")))
         taken = entities.select("kind", F.col("canonical").alias("surrogate"))
         if done is not None:
             taken = taken.unionByName(done.select("kind", "surrogate"))
         first = named.groupBy("kind", "surrogate").agg(F.min("canonical").alias("first"))
         free = first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "surrogate", F.col("first").alias("canonical"), F.lit(True).alias("ok"))
         judged = written(named.join(free, ["kind", "canonical", "surrogate"], "left"), "surrogates")
-        good = judged.where("ok").drop("ok")
+        good = judged.where("ok").select("kind", "canonical", "surrogate")
         done = good if done is None else done.unionByName(good)
         todo = judged.where("ok is null")
         if todo.isEmpty():
@@ -245,16 +245,19 @@ def _rewritten(match: Column, kind: Column, found: Column) -> Column:
     )
 
 
-def matches(text: Column, pattern: Column | None = None) -> Column:
-    """Everything in the text that ANY (or another pattern) fits, in order."""
-    return F.regexp_extract_all(text, F.lit(ANY) if pattern is None else pattern, F.lit(0))
+def matches(text: Column) -> Column:
+    """Everything in the text that ANY fits, in order."""
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
-def _with_names(words: Column) -> Column:
-    """ANY, or any of these names as a word of its own; just ANY without names."""
-    form = lambda w: F.when(F.char_length(w) >= SHORT_NAME, F.concat(F.lit("(?iu:"), w, F.lit(")"))).otherwise(F.concat(F.initcap(w), F.lit("|"), F.upper(w)))
-    either = F.array_join(F.transform(F.array_distinct(words), form), "|")
-    return F.when(F.size(words) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), either, F.lit(r")(?!\p{L})"))).otherwise(F.lit(ANY))
+def case_counts(docs: DataFrame, words: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (canonical, low, cap) for words (canonical): in how many texts each stands in lower case, and with capitals.
+
+    A text counts once for each spelling. Words that no text has as a run of letters have no row.
+    """
+    forms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    counted = forms.select(F.lower("w").alias("canonical"), (F.col("w") == F.lower("w")).alias("is_low")).join(words.select("canonical").distinct(), "canonical")
+    return counted.groupBy("canonical").agg(F.count_if("is_low").alias("low"), F.count_if(~F.col("is_low")).alias("cap"))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,18 +275,33 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
     Distinct matches are few beside texts: they alone are classified, named and checked for collisions.
     Their surrogates go back by match, pre-aggregated to one row for each document and match, then to
     one row for each document, which is as large as what that document holds; a match that very many
-    documents share is split by the planner, as both sides of that join are tables. A person's names are
-    also replaced where they stand alone in the same document.
+    documents share is split by the planner, as both sides of that join are tables. Where persons were found
+    texts are read once more, to count how their words are written.
     """
     k, v, t = F.col(id_col).alias("k"), F.xxhash64(text_col).alias("v"), F.col(text_col)
     held = written(docs.select(k, v, F.array_distinct(matches(t)).alias("ms")).where("size(ms) > 0").distinct(), "matches")
     by_doc = held.select("k", "v", F.explode("ms").alias("match"))
     kinds = by_doc.select("match").distinct().withColumn("kind", kind_of(F.col("match"))).where("kind is not null")
-    parts = written(kinds.select("match", "kind", F.posexplode(entities_of(F.col("match"), F.col("kind"))).alias("pos", "e")).select("match", F.col("kind").alias("of"), "pos", "e.kind", "e.canonical"), "parts")
-    names = assign(parts, key, rounds)
-    named = parts.join(names, ["kind", "canonical"]).groupBy("match", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate", "canonical"))).alias("found"))
+    parts = kinds.select("match", "kind", F.posexplode(entities_of(F.col("match"), F.col("kind"))).alias("pos", "e"))
+    parts = written(parts.select("match", F.col("kind").alias("of"), "pos", "e.*", ((F.col("kind") != "person") | F.col("match").rlike(_SURE)).alias("sure")), "parts")
+    people = parts.where("of = 'person'")
+    if people.isEmpty():
+        case = people.select("canonical", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("cap"))
+    else:
+        case = written(case_counts(docs, people, text_col), "cases")
+        # Weak evidence is refused if one of its words is in lower case at least as often.
+        weak = people.where("not sure").join(case, "canonical", "left").groupBy("match").agg(F.bool_or(F.coalesce("low", F.lit(0)) >= F.greatest(F.coalesce("cap", F.lit(0)), F.lit(1))).alias("refused"))
+        parts = written(parts.join(weak.where("refused"), "match", "left_anti"), "parts")
+    most = F.when(F.count_if(F.col("gender") == "m") > F.count_if(F.col("gender") == "f"), "m").when(F.count_if(F.col("gender") == "f") > F.count_if(F.col("gender") == "m"), "f").otherwise("u")
+    forms = parts.groupBy("kind", "canonical").agg(F.concat(F.when(2 * F.count_if("given") > F.count(F.lit(1)), "given_").otherwise("surname_"), most).alias("form"))
+    names = assign(forms, key, rounds)
+    cased = parts.join(names, ["kind", "canonical"]).join(case, "canonical", "left").withColumns({"low": F.coalesce("low", F.lit(0)), "cap": F.coalesce("cap", F.lit(0))})
+    named = cased.groupBy("match", "of").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate", "canonical", "low", "cap"))).alias("found"))
     new = _rewritten(F.col("match"), F.col("of"), F.transform("found", lambda x: x["surrogate"]))
-    alone = F.when(F.col("of") == "person", F.transform("found", lambda x: F.struct(x["canonical"].alias("word"), x["surrogate"].alias("surrogate")))).otherwise(F.array())
+    # Words in lower case more often than not never go by themselves, others in lower case only if that is rare.
+    in_any_case = lambda x: (2 * x["low"] <= x["cap"]) & (F.char_length(x["canonical"]) >= SHORT_NAME) | (x["cap"] == 0)
+    words = F.transform(F.filter("found", lambda x: x["low"] <= x["cap"]), lambda x: F.struct(x["canonical"].alias("word"), x["surrogate"].alias("surrogate"), in_any_case(x).alias("any_case")))
+    alone = F.when(F.col("of") == "person", words).otherwise(F.array())
     rewritten = written(named.select("match", "of", new.alias("new"), alone.alias("names")), "replacements")
     maps = by_doc.join(rewritten, "match").groupBy("k", "v").agg(F.collect_list(F.struct("match", F.struct("new", "of"))).alias("pairs"), F.flatten(F.collect_list("names")).alias("names"))
 
@@ -291,19 +309,32 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, id_col: str = "doc_id"
     c_k, c_v, c_map, c_names, c_new = unused(docs, "k", "v", "map", "names", "new")
     maps = maps.select(F.col("k").alias(c_k), F.col("v").alias(c_v), F.map_from_entries("pairs").alias(c_map), F.array_sort(F.array_distinct("names")).alias(c_names))
     joined = docs.select(*kept).join(maps, F.col(id_col).eqNullSafe(F.col(c_k)) & (F.xxhash64(text_col) == F.col(c_v)), "left")
-    pattern = _with_names(F.transform(c_names, lambda n: n["word"]))
+    # Names are looked for between the matches of ANY, whose pattern is one for all texts.
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join(F.transform(c_names, lambda n: n["word"]), "|"), F.lit(r")(?!\p{L})"))
 
     def swapped(m: Column) -> Column:
-        name = F.get(F.filter(c_names, lambda n: n["word"] == F.lower(m)), F.lit(0))["surrogate"]
-        bare = F.struct(F.coalesce(_cased_like(m, name), m).alias("new"), F.when(name.isNotNull(), "person").alias("of"))
-        return F.coalesce(F.col(c_map)[m], bare)
+        def by(n: Column) -> Column:
+            gone = n.isNotNull() & (n["any_case"] | (m != F.lower(m)))
+            return F.struct(F.when(gone, _cased_like(m, n["surrogate"])).otherwise(m).alias("new"), F.coalesce(gone, F.lit(False)).cast("int").alias("n"))
+
+        return let(F.get(F.filter(c_names, lambda n: n["word"] == F.lower(m)), F.lit(0)), by)
+
+    def put_together(gaps: Column, between: Column) -> Column:
+        return F.array_join(F.zip_with(gaps, between, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
+    def bare(gap: Column) -> Column:
+        """struct<text, kinds>: the gap with its names replaced."""
+        def of(found: Column) -> Column:
+            n = F.aggregate(found, F.lit(0), lambda a, x: a + x["n"])
+            return F.struct(put_together(F.split(gap, pattern, -1), F.transform(found, lambda x: x["new"])).alias("text"), F.array_repeat(F.lit("person"), n).alias("kinds"))
+
+        as_it_is = F.struct(gap.alias("text"), F.array().cast("array<string>").alias("kinds"))
+        return F.when(F.size(c_names) > 0, let(F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), swapped), of)).otherwise(as_it_is)
 
+    known = lambda m: let(F.col(c_map)[m], lambda x: F.coalesce(F.when(x.isNotNull(), F.struct(x["new"].alias("text"), F.array(x["of"]).alias("kinds"))), bare(m)))
     new = let(
-        F.transform(matches(t, pattern), swapped),
-        lambda s: F.struct(
-            F.array_join(F.zip_with(F.split(t, pattern, -1), s, lambda gap, m: F.concat(gap, F.coalesce(m["new"], F.lit("")))), "").alias("text"),
-            F.filter(F.transform(s, lambda m: m["of"]), lambda x: x.isNotNull()).alias("kinds"),
-        ),
+        F.struct(F.transform(F.split(t, ANY, -1), bare).alias("gaps"), F.transform(matches(t), known).alias("found")),
+        lambda s: F.struct(put_together(s["gaps"]["text"], s["found"]["text"]).alias("text"), F.concat(F.flatten(s["gaps"]["kinds"]), F.flatten(s["found"]["kinds"])).alias("kinds")),
     )
     done = joined.withColumn(c_new, F.when(F.col(c_map).isNotNull(), new))
     kinds_of = F.coalesce(F.col(c_new)["kinds"], F.array().cast("array<string>"))

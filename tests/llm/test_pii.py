@@ -128,3 +128,54 @@ def test_clashing_columns_keep_their_values(spark):
     df = spark.createDataFrame(ROWS[:4], "doc_id long, text string").withColumns({c: F.lit(7) for c in ("v", "map", "names", "new", "K_", "pairs", "of")})
     out = pii.pseudonymise(df, "k").collect()
     assert all(r[c] == 7 for r in out for c in ("v", "map", "names", "new", "K_", "pairs", "of"))
+
+
+def rewritten(spark, texts, key="k"):
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key).collect()
+    return {r.doc_id: r.text for r in got}
+
+
+def test_one_person_has_one_name(spark):
+    got = rewritten(spark, ["Mr. John Smith. My name is John Smith.", "Dr. John Thomas met Mr. Thomas Smith; Thomas left with John", "Ms. Kim Ahn and Kim. Dear Kim Ahn, hello"])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+)\. My name is (\w+) (\w+)\.", got[0])
+    assert m and (m[1], m[2]) == (m[3], m[4]) and not m[1].endswith("a")
+    n = re.fullmatch(r"Dr\. (\w+) (\w+) met Mr\. (\w+) (\w+); (\w+) left with (\w+)", got[1])
+    assert n and n[2] == n[3] == n[5] and n[1] == n[6] == m[1] and n[4] == m[2] and len({n[1], n[2], n[4]}) == 3
+    o = re.fullmatch(r"Ms\. (\w+a) (\w+) and (\w+)\. Dear (\w+) (\w+), hello", got[2])
+    assert o and o[1] == o[3] == o[4] and o[2] == o[5]
+
+
+WORDS = ["Dear Valued Customer, each customer is valued. Customer service.", "I am Very Happy to see happy days", "Contact: Support Team. The support team will support you"]
+
+
+def test_common_words_stay(spark):
+    got = rewritten(spark, [*WORDS, "Mr. Will Young said he will stay young", "Dear John Smith, see you. john smith", "Mr. John Smith"])
+    assert [got[k] for k in range(3)] == WORDS
+    assert re.fullmatch(r"Mr\. (?!Will)\w+ (?!Young)\w+ said he will stay young", got[3])
+    m = re.fullmatch(r"Dear (\w+) (\w+), see you\. (\w+) (\w+)", got[4])
+    assert m and m[1] != "John" and m[3] == m[1].lower() and m[4] == m[2].lower()
+
+
+def test_generated_persons_among_decoys(spark):
+    rng = random.Random(12)
+    syllables = ["ka", "ro", "min", "tel", "ish", "bar", "ven", "dol"]
+    people = sorted({"".join(rng.choice(syllables) for _ in range(3)).title() for _ in range(60)})
+    common = ["Customer", "Report", "River", "Garden", "Market"]
+    rows = []
+    for i in range(150):
+        given, sur = rng.sample(people, 2)
+        word = rng.choice(common)
+        said = rng.choice([f"Mr. {given} {sur}", f"My name is {given} {sur}", f"Dear {given} {sur},", f"Prof. {given} {sur}"])
+        rows.append((i, given, sur, word, f"{said} came. {sur} saw the {word.lower()}; {word} day. Dear {word} Desk, the desk of {given} is {word.lower()}"))
+    got = rewritten(spark, [r[4] for r in rows])
+    given_to, seen = {}, set()
+    for i, given, sur, word, old in rows:
+        words_old, words_new = re.findall(r"\w+", old), re.findall(r"\w+", got[i])
+        assert len(words_old) == len(words_new)
+        for a, b in zip(words_old, words_new):
+            if a in (given, sur):
+                assert a != b and given_to.setdefault(a, b) == b
+                seen.add(b)
+            else:
+                assert a == b, (old, got[i])
+    assert len(set(given_to.values())) == len(given_to) and not seen & set(people)
