@@ -243,7 +243,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     """pieces with sequence_id and offset: each sequence holds at most `capacity` ids, without gaps.
 
     Pieces are dealt by hash into blocks of about `block_pieces` rows, as many blocks as the corpus
-    needs, and each block is packed by one task. Needs the columns of token_pieces, with lengths in
+    needs, and each block is packed by one task, in the order of its columns: the rows of `pieces` may come in
+    any order. Rows equal in all columns go to one block, some forty bytes each. Needs the columns of token_pieces, with lengths in
     1..capacity. `pieces` should be a written table: it is counted first.
     """
     blocks = max(1, -(-pieces.count() // block_pieces))
@@ -251,6 +252,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     names = [c for c in pieces.columns]
 
     def fill(key: tuple, block: pa.Table) -> pa.Table:
+        # In one order however the rows arrive: a block that is computed again gives the same places.
+        block = block.sort_by([(c, "ascending") for c in names if not pa.types.is_nested(block.schema.field(c).type)])
         lengths = block.column("length").to_numpy()
         bins, offsets = best_two_fit(lengths, capacity)
         sequence = bins + (key[0].as_py() << 32)

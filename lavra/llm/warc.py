@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ FILE_BYTES = 128_000_000
 FIRST_PIECE, PIECE, BATCH_BYTES = 1_024, 65_536, 8_000_000
 #: A header of more bytes is broken.
 HEAD_BYTES = 1_000_000
+#: No record has a longer length than so many digits can say.
+LENGTH_DIGITS = 18
 _EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Payloads from this size on are written once only.
@@ -178,6 +181,9 @@ def _unpacked(data: bytes) -> Iterator[tuple[bool, bytes]]:
             at = begun + 3
 
 
+_VERSION = re.compile(rb"WARC/\d+\.\d+\r\n").match
+
+
 class _Pieces:
     """What _unpacked gives, held from `at` on."""
 
@@ -217,6 +223,40 @@ class _Pieces:
             seen = self.at + max(0, back - 3)
         return None
 
+    def at_member(self) -> bool:
+        """Whether a member begins here; the ones before are forgotten."""
+        while self.begins and self.begins[0] < self.at:
+            self.begins.popleft()
+        return bool(self.begins) and self.begins[0] == self.at
+
+    def block(self, size: int, at_member: bool) -> bytes | None:
+        """The next `size` bytes; null where the file has fewer, or where they can't be one record's.
+
+        That is so if the record began with its member, a later member that begins with a version line lies
+        among the bytes, and they don't end where a member begins. Reading goes on at that member then.
+        """
+        whole = self.has(size)
+        end, inside = self.at + size, None
+        if at_member:
+            for x in self.begins:
+                if x >= end:
+                    break
+                if x > self.at and _VERSION(self.held, x):
+                    inside = x - self.at
+                    break
+        if inside is not None and whole:
+            after = size
+            while self.has(after + 1) and self.held[self.at + after] in b"\r\n\0":
+                after += 1
+            if self.at + after in self.begins or not self.has(after + 1):
+                inside = None
+        if inside is not None:
+            self.at += inside
+            return None
+        found = bytes(self.held[self.at : self.at + size]) if whole else None
+        self.at += size if whole else len(self.held) - self.at
+        return found
+
     def skip(self) -> bool:
         """To the next record after a broken one: where a later member begins with one, else after the next empty lines before a version line."""
         last = self.at
@@ -247,6 +287,7 @@ def _records(data: bytes) -> Iterator[dict]:
             pieces.at += 1
         if not pieces.has(5):
             return
+        at_member = pieces.at_member()
         head = pieces.head()
         fields, several = {}, []
         for line in (head or b"").decode("utf-8", "replace").split(EOL)[1:]:
@@ -256,14 +297,13 @@ def _records(data: bytes) -> Iterator[dict]:
                 several.append(value.strip("<>"))
             fields[name] = value
         size = fields.get("content-length", "")
-        if not size.isascii() or not size.isdigit():
+        if not size.isascii() or not size.isdigit() or len(size) > LENGTH_DIGITS:
             if not pieces.skip():
                 return
             continue
-        if not pieces.has(int(size)):
-            return
-        block = bytes(pieces.held[pieces.at : pieces.at + int(size)])
-        pieces.at += int(size)
+        block = pieces.block(int(size), at_member)
+        if block is None:
+            continue
         head = None
         if fields.get("content-type", "").startswith("application/http"):
             head, _, block = block.partition(b"\r\n\r\n")
@@ -281,7 +321,9 @@ def _records(data: bytes) -> Iterator[dict]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record; see RECORD. read_digest is of the payload as read.
 
-    Passed over are: records cut short by the end of their file, those without a number as Content-Length
+    Passed over are: records cut short by the end of their file, those whose length reaches into a later
+    member that begins with a record (reading goes on there), those without a number of at most LENGTH_DIGITS
+    digits as Content-Length
     (reading goes on at the next gzip member that begins with a record, or in other files after the next
     empty lines before a version line), broken gzip members, and bytes between members or after the last.
     """

@@ -133,3 +133,16 @@ def test_best_two_fit_equals_trying_everything(lengths):
     bins, _ = packing.best_two_fit(sizes, 24)
     got = [sorted(int(sizes[i]) for i in np.flatnonzero(bins == b)) for b in range(bins.max() + 1)]
     assert got == plain_best_two_fit(lengths, 24)
+
+
+def test_places_do_not_hang_on_the_order_of_rows(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(500), 0, 0, rng.randrange(1, 4097), rng.randrange(1 << 32)) for _ in range(700)] + [(None, 0, 0, 1, 5)] * 3
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    placed = lambda rs, n: sorted(map(repr, packing.pack(spark.createDataFrame(rs, kind).repartition(n), block_pieces=200).collect()))
+    want = placed(rows, 1)
+    for n in (2, 5):
+        rng.shuffle(rows)
+        assert placed(rows, n) == want

@@ -94,6 +94,25 @@ def test_members_and_broken_files():
     assert ids(b"") == ids(b"\x1f\x8b") == []
 
 
+def test_lengths_that_cannot_be():
+    plain = [record("response", f"u:{i}", bytes([65 + i]) * 50) for i in range(4)]
+    claim = lambda size: [p.replace(b"Content-Length: 50", f"Content-Length: {size}".encode()) if k == 1 else p for k, p in enumerate(plain)]
+    members = lambda parts: b"".join(map(gzip.compress, parts))
+    read = lambda data: {r["record_id"]: r["payload"] for r in warc._records(data)}
+    whole = read(members(plain))
+    assert len(whole) == 4
+    others = {k: v for k, v in whole.items() if k != "u:1"}
+    for size in (10**9, 57, 61, 120, 10**17, "9" * 5000, "9" * 19):
+        assert read(members(claim(size))) == others, size
+    # A few bytes too many within its own member can't be told from a payload.
+    assert set(read(members(claim(53)))) == set(whole)
+    assert {"u:0"} <= set(read(b"".join(claim("9" * 5000)))) and {"u:2", "u:3"} <= set(read(b"".join(claim("9" * 5000))))
+    # A payload that begins with a version line where its record's member begins anew is whole: it ends with a member.
+    nested = record("resource", "u:n", plain[0])
+    at = nested.index(b"WARC/1.0", 5)
+    assert read(gzip.compress(nested[:at]) + gzip.compress(nested[at:]) + members(plain[2:])) == {"u:n": plain[0]} | {k: whole[k] for k in ("u:2", "u:3")}
+
+
 def test_reading_is_linear_in_members():
     import time
 
