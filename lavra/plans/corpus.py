@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.operators import corpus, rows
+from lavra.sources.scratch import shared_folder
 from lavra.sources.tables import table
 
 WINDOW = (1996, 1998)
@@ -40,6 +41,20 @@ def _all_rows(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.registry_rows(registry(spark, sf), WINDOW).unionByName(corpus.news_rows(news(spark, sf), WINDOW))
 
 
+def job_on_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the job on files of both sources: a CSV file and a JSON list that Spark has written."""
+    csv, lists, out = (shared_folder(spark, n) for n in ("registry-file", "news-file", "corpus-job"))
+    r = registry(spark, sf)
+    r.orderBy("ordem").coalesce(1).write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').csv(csv)
+    objects = news(spark, sf).orderBy("ordem").coalesce(1).select("ordem", F.to_json(F.struct("url", "data", "titulo", "texto", "instituicao")).alias("value"))
+    # One list over the lines of a file: only its first line opens it and only its last closes it.
+    ends = objects.agg(F.min("ordem").alias("first"), F.max("ordem").alias("last"))
+    framed = objects.join(F.broadcast(ends)).select(F.concat(F.when(F.col("ordem") == F.col("first"), "[").otherwise(","), "value", F.when(F.col("ordem") == F.col("last"), "]").otherwise("")).alias("value"))
+    framed.write.text(lists)
+    got = corpus.corpus_from_files(spark, csv, lists, f"{out}/corpus", f"{out}/report", WINDOW)
+    return got.withColumns({c: F.to_json(c) for c in ("n_por_tipo", "n_por_instituicao", "erros")})
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select_candidates(_built(spark, sf), "na_janela", "texto_limpido").select("tipo", "fonte", "ordem")
 
@@ -98,7 +113,7 @@ QUERIES = {
     "a6_count_by_institution": lambda spark, sf: corpus.count_by_institution(_built(spark, sf)),
     "a7_duplicate_accounting": lambda spark, sf: corpus.duplicate_accounting(_all_rows(spark, sf)),
     "p1_project_tolerant": tolerant, "p3_flag_window": flagged_window, "p4_flag_missing": flagged_missing, "p5_select_candidates": candidates, "p5_exclusion_counts": exclusions,
-    "p6_filter_by_name": by_name, "q2_schema_drift": drift, "w5_last_wins": last_event,
+    "x2_corpus_files": job_on_files, "p6_filter_by_name": by_name, "q2_schema_drift": drift, "w5_last_wins": last_event,
 }
 ORACLE_SQL = {
     "u1_union_sources": f"with {_ROWS} select * from u",
@@ -110,6 +125,12 @@ ORACLE_SQL = {
     "a6_count_by_institution": f"with {_ROWS} select instituicao, count(*) n from c group by instituicao",
     "a7_duplicate_accounting": f"""with {_ROWS}, k as (select tipo, count(*) mantidas from c group by tipo), l as (select tipo, count(*) lidas from u group by tipo)
 select tipo, lidas, mantidas, lidas - mantidas removidas from l join k using (tipo)""",
+    "x2_corpus_files": f"""with {_ROWS}, t as (select '{{' || string_agg('"' || tipo || '":' || n, ',' order by tipo) || '}}' j from (select tipo, count(*) n from c group by tipo)),
+i as (select '{{' || string_agg('"' || instituicao || '":' || n, ',' order by instituicao) || '}}' j from (select instituicao, count(*) n from c group by instituicao)),
+d as (select (select count(*) from r) - (select count(*) from c where tipo = 'inpi') a, (select count(*) from n) - (select count(*) from c where tipo = 'noticia') b)
+select count(*) n_total, count(*) filter (where na_janela) n_janela, count(*) filter (where not na_janela and not data_ausente) n_fora_janela, count(*) filter (where data_ausente) n_sem_data,
+  count(*) filter (where texto_fallback_titulo) n_texto_fallback_titulo, count(*) filter (where instituicoes_aux <> '') n_multi_instituicoes, (select count(*) from r) n_inpi, (select count(*) from n) n_noticias,
+  (select a + b from d) n_duplicatas_removidas, (select a from d) n_dup_inpi, (select b from d) n_dup_noticias, (select j from t) n_por_tipo, (select j from i) n_por_instituicao, '[]' erros from c""",
     "p1_project_tolerant": "select c_custkey, c_name, '' c_absent from customer",
     "p3_flag_window": """select o_orderkey, iso, year(iso::date)::int ano, coalesce(year(iso::date) between 1996 and 1998, false) na_janela
 from (select o_orderkey, case when o_orderkey % 7 > 0 then strftime(o_orderdate, '%Y-%m-%d') end iso from orders)""",

@@ -19,19 +19,21 @@ REJECT = "_rejected"
 CORPUS = ("fonte", "tipo", "data", "instituicao", "texto_limpido", "na_janela", "data_ausente", "texto_fallback_titulo", "instituicoes_aux")
 
 
-def read_table_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_table_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8", order: str | None = None) -> DataFrame:
     """A CSV file with a header, all columns text, quotes doubled inside quotes, line feeds allowed there.
 
     Files are read by ranges, several tasks a file, as sources.ranges finds where records begin; only files in
     UTF-16 or UTF-32 are read by a task each. Rows of a wrong number of fields carry their text in the
-    column REJECT; see split_rejected. Empty lines are no rows.
+    column REJECT; see split_rejected. Empty lines are no rows. `order` names a column for each row's place in
+    its file, which files in UTF-16 and UTF-32 don't give.
     """
     fields = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField(REJECT, T.StringType())])
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
     if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
         return spark.read.schema(fields).options(header="true", encoding=encoding, enforceSchema="true", **options).csv(path)
-    lines = records(spark, path, "\n", scan_csv(sep), encoding=encoding).where("pos > 0").select(F.regexp_replace("text", "\r$", "").alias("line"))
-    return lines.where("line <> ''").select(F.from_csv("line", fields.toDDL(), options).alias("r")).select("r.*")
+    lines = records(spark, path, "\n", scan_csv(sep), encoding=encoding).where("pos > 0").select("pos", F.regexp_replace("text", "\r$", "").alias("line"))
+    parsed = lines.where("line <> ''").select("pos", F.from_csv("line", fields.toDDL(), options).alias("r"))
+    return parsed.select("r.*", *([F.col("pos").alias(order)] if order else []))
 
 
 def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]:
