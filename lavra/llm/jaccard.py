@@ -5,7 +5,8 @@ that meet in a band form candidate groups. In each group all pairs are verified
 sets, block against block inside a task, and what leaves the task is one row for each class: how many
 it is linked to, and a link that holds its component together. No pair is ever a row. Groups of very
 many classes, as chance meetings chain them together in large corpora, are taken apart: there the
-classes of each band's bucket are verified, each pair in the first band in which it meets.
+classes of each band's bucket are verified, each pair in the first band in which it meets. Either way
+exactly the pairs that meet in a band are verified, so a link never hangs on how large its group is.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ RECALL = 0.999
 PASSAGE, CHANCE = 0.4, 0.03
 #: Classes in a block; a task verifies two blocks at most.
 BLOCK = 256
-#: Groups of more classes are verified by the buckets of their bands.
+#: Groups of more classes are verified by the buckets of their bands; the links are the same either way.
 WHOLE_GROUP = 4096
 #: Columns of the membership matrix handled at once.
 _COLUMNS = 4096
@@ -212,8 +213,8 @@ def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (class, links, root), one or more per class of members (class, copies, grams, group, bands, band, x, y, i, j, side).
 
     links counts the documents (copies) of other classes of at least this similarity within the cell,
-    each pair in one cell only; root is the smallest class it reaches over such links there. In a bucket
-    (band of 0 or more) only pairs count that meet in no earlier band.
+    each pair in one cell only; root is the smallest class it reaches over such links there. Only pairs
+    that meet in a band count, in a bucket (band of 0 or more) those that meet in no earlier band.
     """
     kind = T.StructType([T.StructField("class", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("root", T.BinaryType())])
 
@@ -230,9 +231,12 @@ def verify(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         x, y, i, j = (cell.column(c)[0].as_py() for c in "xyij")
         if (x, i) != (y, j):
             alike &= side[:, None] != side[None, :]  # two blocks: each has a cell of its own for pairs within it
-        if (band := cell.column("band")[0].as_py()) > 0:
-            for earlier in np.array(cell.column("bands").to_pylist(), np.int64)[:, :band].T:
-                alike &= earlier[:, None] != earlier[None, :]
+        band = cell.column("band")[0].as_py()
+        bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+        met = np.zeros_like(alike)
+        for hashes in (bands if band < 0 else bands[:, :band]).T:
+            met |= hashes[:, None] == hashes[None, :]
+        alike &= met if band < 0 else ~met
         links = alike @ copies
         root = np.arange(len(names))
         while True:
@@ -256,8 +260,7 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     documents connected over links, copy_id the smallest id of its copies, n_links the number of
     documents linked with this one. v is xxhash64 of the text. Null ids never name a class unless all
     ids in it are null. A pair of similarity s is missed only if it never meets in a band: for
-    s = `similarity` at most 1 - `recall`. (Groups of at most `whole_group` classes miss even less, as
-    all their pairs are verified.)
+    s = `similarity` at most 1 - `recall`. `whole_group` chooses how groups are verified and changes no row.
 
     Exact copies are one class from the start, so they cost as one. Other columns are not carried.
     """

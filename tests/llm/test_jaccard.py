@@ -83,6 +83,14 @@ def test_buckets_of_taken_apart_groups_match_brute_force(spark, monkeypatch, blo
     assert links(spark, rows, whole_group=1) == brute(rows)
 
 
+def test_links_are_the_same_by_groups_and_by_buckets(spark):
+    # At this recall many pairs of similar texts never meet in a band: chains of others must not link them.
+    rows = corpus(5, near=80)
+    by_groups, by_buckets = links(spark, rows, recall=0.6, whole_group=10_000), links(spark, rows, recall=0.6, whole_group=1)
+    assert by_groups == by_buckets != brute(rows)
+    assert all(a[3] <= b[3] for a, b in zip(by_groups, brute(rows)))
+
+
 def test_band_plan_keeps_its_promises():
     for similarity, recall in ((0.8, 0.999), (0.7, 0.95), (0.9, 0.9999)):
         bands, rows = jaccard.band_plan(similarity, recall)
