@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the hash range. Because the
-threshold is the same for all documents, sketches of parts merge into the sketch of the whole, and
-the share of a short text contained in a very long one can be estimated from the two sketches alone.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range. Sketches of parts
+merge into the sketch of the whole, and the share of a text contained in a much longer one can be
+estimated from the two sketches alone. The fractions are nested halves: a text with few shingles keeps
+a finer sketch, up to all of its hashes, and two sketches are compared at the coarser of their fractions.
 """
 
 from __future__ import annotations
@@ -13,58 +14,99 @@ from pyspark.sql import functions as F
 from lavra.llm.text import SHINGLE_WORDS, let, shingle_hashes
 from lavra.sources.scratch import written
 
-#: One hash in 2**SCALE_BITS is kept.
+#: One hash in 2**SCALE_BITS is kept, of texts that have enough of them.
 SCALE_BITS = 3
+#: A sketch of fewer hashes is kept at the next finer fraction, down to all hashes.
+LEAST_HASHES = 16
 
 
-def sketch(text: Column, scale_bits: int = SCALE_BITS, size: int = SHINGLE_WORDS) -> Column:
-    """Sorted distinct shingle hashes whose leading `scale_bits` bits are all zero.
+def _below(hashes: Column, bits: Column | int) -> Column:
+    """The hashes whose leading `bits` bits are all zero; of 0 bits all of them."""
+    bits = F.lit(bits) if isinstance(bits, int) else bits
+    # Shifted in two steps: a shift by 64 would be one by 0.
+    return F.filter(hashes, lambda h: F.call_function("shiftrightunsigned", F.shiftrightunsigned(h, 1), F.lit(63) - bits) == 0)
 
-    Where no hash is that small the smallest one stands in, so only texts without words (null,
-    empty, blank) have an empty sketch.
-    """
-
-    def keep(hashes: Column) -> Column:
-        small = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - scale_bits) == 0)
-        return let(
-            F.array_distinct(small),
-            lambda s: F.when((F.size(s) > 0) | (F.size(hashes) == 0), F.array_sort(s)).otherwise(F.array(F.array_min(hashes))),
-        )
 
-    return let(shingle_hashes(text, size), keep)
+def _coarsest(hashes: Column, bits: int, least: int) -> Column:
+    """struct(bits, hashes) at the coarsest fraction, up to 2**-bits, that leaves `least` hashes; else with all hashes."""
+    pair = lambda level, kept: F.struct(F.lit(level).alias("bits"), F.array_sort(kept).alias("hashes"))
+    if bits == 0:
+        return pair(0, F.array_distinct(hashes))
+    return let(
+        F.array_distinct(_below(hashes, bits)),
+        lambda kept: F.when(F.size(kept) >= least, pair(bits, kept)).otherwise(_coarsest(hashes, bits - 1, least)),
+    )
 
 
-def merge(a: Column, b: Column, scale_bits: int = SCALE_BITS) -> Column:
-    """The sketch of two texts taken together (without the shingles across their seam)."""
+def sketch(text: Column, scale_bits: int = SCALE_BITS, size: int = SHINGLE_WORDS, least: int = LEAST_HASHES) -> Column:
+    """struct(bits, hashes): the sorted distinct shingle hashes whose leading `bits` bits are all zero.
 
-    def thin(both: Column) -> Column:
-        small = F.filter(both, lambda h: F.shiftrightunsigned(h, 64 - scale_bits) == 0)
-        return F.when((F.size(small) > 0) | (F.size(both) == 0), F.array_sort(small)).otherwise(F.array(F.array_min(both)))
+    bits is the largest number up to `scale_bits` that leaves at least `least` hashes, 0 (all hashes)
+    where none does. Texts without words (null, empty, blank) have no hashes.
+    """
+    return let(shingle_hashes(text, size), lambda hashes: _coarsest(hashes, scale_bits, least))
 
-    return let(F.array_union(a, b), thin)
 
+def merge(a: Column, b: Column, scale_bits: int = SCALE_BITS, least: int = LEAST_HASHES) -> Column:
+    """The sketch of two texts taken together (without the shingles across their seam).
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets; two empty sketches are alike (1)."""
-    shared = F.size(F.array_intersect(a, b))
+    It equals the sketch of the union of their shingles: what either leaves out is out of the union's too.
+    """
+    level = F.greatest(a["bits"], b["bits"])
+    both = let(level, lambda bits: _below(F.array_union(a["hashes"], b["hashes"]), bits))
     return let(
-        shared,
-        lambda s: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(s / (F.size(a) + F.size(b) - s)),
+        F.struct(level.alias("bits"), both.alias("hashes")),
+        lambda m: let(
+            _coarsest(m["hashes"], scale_bits, least),
+            lambda c: F.when(c["bits"] > m["bits"], c).otherwise(F.struct(m["bits"].alias("bits"), F.array_sort(m["hashes"]).alias("hashes"))),
+        ),
+    )
+
+
+def _compared(a: Column, b: Column, measure) -> Column:
+    """measure(hashes of a, hashes of b), both at the coarser of the two fractions."""
+    at = let(
+        F.greatest(a["bits"], b["bits"]),
+        lambda bits: F.struct(_below(a["hashes"], bits).alias("a"), _below(b["hashes"], bits).alias("b")),
     )
+    return let(at, lambda s: measure(s["a"], s["b"]))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of the shingle sets; exact for two texts whose sketches hold all hashes.
+
+    Two texts without words are alike (1).
+    """
+
+    def measure(x: Column, y: Column) -> Column:
+        return let(
+            F.size(F.array_intersect(x, y)),
+            lambda s: F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(s / (F.size(x) + F.size(y) - s)),
+        )
+
+    return _compared(a, b, measure)
 
 
 def containment(part: Column, whole: Column) -> Column:
-    """Estimated share of the shingles of `part` that `whole` has too; an empty part is contained."""
-    return F.when(F.size(part) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part))
+    """Estimated share of the shingles of `part` that `whole` has too; exact where both hold all hashes.
+
+    A part without words is contained (1). Null where `part` has no hash at the fraction of `whole`, so
+    that the two sketches say nothing of it; `whole` sketched with fewer bits does.
+    """
+
+    def measure(x: Column, y: Column) -> Column:
+        return F.when(F.size(part["hashes"]) == 0, F.lit(1.0)).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+
+    return _compared(part, whole, measure)
 
 
 def as_string(s: Column) -> Column:
-    """Hashes as fixed-width hexadecimal, space-separated."""
-    return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " ")
+    """The number of zero bits, a colon, and the hashes as fixed-width hexadecimal, space-separated."""
+    return F.concat(s["bits"].cast("string"), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " "))
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", scale_bits: int = SCALE_BITS) -> DataFrame:
-    """docs with its sketch as an array<bigint> column; a column of that name is replaced.
+    """docs with its sketch as a column struct<bits, hashes>; a column of that name is replaced.
 
     Null texts count as empty. Rows are never merged or dropped.
     """
@@ -104,7 +146,7 @@ def compare_edits(docs: DataFrame, scale_bits: int = SCALE_BITS) -> DataFrame:
     have the same follower; as a follower they count as one, by the smallest text.
     Other columns of docs are not carried.
     """
-    none = F.array().cast("array<bigint>")
+    none = F.struct(F.lit(0).alias("bits"), F.array().cast("array<bigint>").alias("hashes"))
     sketched = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("fp", sketch(F.col("text"), scale_bits))
     # Dealt by id once: both joins below read this one exchange.
     own = sketched.where(F.col("doc_id").isNotNull()).repartition("doc_id")

@@ -8,24 +8,38 @@ from lavra.llm import fingerprints as fp
 MASK = (1 << 64) - 1
 
 
-def brute(text, bits=3):
+def shingles(text):
     ws = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (text or "").lower().split()]
     chain = lambda run, s=42: s if not run else chain(run[1:], xxhash.xxh64_intdigest(run[0].to_bytes(8, "little"), s))
     hs = {chain(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    kept = {signed(h) for h in hs if h >> (64 - bits) == 0}
-    return sorted(kept) or ([min(map(signed, hs))] if hs else [])
+    return hs
+
+
+def at(hs, bits):
+    return {h for h in hs if h >> (64 - bits) == 0}
+
+
+def brute(text, bits=3, least=16):
+    hs = shingles(text)
+    level = max([b for b in range(bits + 1) if len(at(hs, b)) >= least], default=0)
+    return level, at(hs, level)
 
 
 def like(a, b):
-    a, b = set(a), set(b)
+    level = max(a[0], b[0])
+    a, b = at(a[1], level), at(b[1], level)
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def signed(hs):
+    return sorted(h - (1 << 64) if h >> 63 else h for h in hs)
+
+
 def texts():
     w = "the quick brown fox jumps over a lazy dog while ten more dogs look on and bark at night".split()
     long = " ".join(w[(i * i + i // 7) % len(w)] + str(i % 97) for i in range(5000))
-    return [(7, " ".join(w)), (3, None), (12, ""), (5, "one two"), (40, long), (41, long), (9, "çé ñ 你好 \U0001f600 fim do texto aqui agora"), (90, "   ")]
+    grown = [(60 + k, " ".join(long.split()[:k])) for k in (6, 19, 20, 33, 60, 90, 150)]
+    return grown + [(7, " ".join(w)), (3, None), (12, ""), (5, "one two"), (40, long), (41, long), (9, "çé ñ 你好 \U0001f600 fim do texto aqui agora"), (90, "   ")]
 
 
 def test_compare_edits_matches_brute_force(spark):
@@ -41,7 +55,8 @@ def test_compare_edits_matches_brute_force(spark):
         r = got[k]
         assert r.n_chars == len(t)
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert [int(x, 16) for x in r.fingerprint.split()] == [h & MASK for h in brute(t)]
+        level, _, hashes = r.fingerprint.partition(":")
+        assert (int(level), [int(x, 16) for x in hashes.split()]) == (brute(t)[0], [h & MASK for h in signed(brute(t)[1])])
         assert r.near_edited == like(brute(t), brute(edited))
         assert r.near_next == like(brute(t), brute(nxt))
 
@@ -55,12 +70,34 @@ def test_repeated_null_ids_and_empty_table(spark):
 
 
 def test_merge_and_containment(spark):
-    long = texts()[4][1]
-    ws = long.split()
-    df = spark.createDataFrame([(long, " ".join(ws[:400]))], "a string, b string")
+    words = dict(texts())[40].split()
+    pieces = [" ".join(words[lo:hi]) for lo, hi in ((0, 0), (0, 6), (3, 30), (10, 40), (0, 90), (80, 200), (0, 400), (0, 5000))]
+    df = spark.createDataFrame([(a, b) for a in pieces for b in pieces], "a string, b string")
+    got = df.select("a", "b", fp.merge(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("m"), fp.containment(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("c"))
+    seen = set()
+    for r in got.collect():
+        union = shingles(r.a) | shingles(r.b)
+        level = max([k for k in range(4) if len(at(union, k)) >= 16], default=0)
+        assert (r.m.bits, r.m.hashes) == (level, signed(at(union, level)))
+        (la, x), (lb, y) = brute(r.a), brute(r.b)
+        part, whole = at(x, max(la, lb)), at(y, max(la, lb))
+        assert r.c == (1.0 if not x else len(part & whole) / len(part) if part else None)
+        seen.add(r.c)
+    assert {None, 0.0, 1.0} < seen
+
+
+def test_short_texts_are_compared_exactly(spark):
+    a, b = "one two three four five six seven eight", "one two three four five six seven nine"
+    whole = "zero " + a
+    df = spark.createDataFrame([(a, b, whole)], "a string, b string, w string")
     r = df.select(
-        fp.containment(fp.sketch(F.col("b")), fp.sketch(F.col("a"))).alias("c"),
-        fp.merge(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("m"),
-        fp.sketch(F.col("a")).alias("s"),
+        fp.likeness(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("ab"),
+        fp.containment(fp.sketch(F.col("a")), fp.sketch(F.col("w"))).alias("aw"),
+        fp.containment(fp.sketch(F.col("w")), fp.sketch(F.col("a"))).alias("wa"),
     ).first()
-    assert r.c == 1.0 and r.m == r.s
+    assert (r.ab, r.aw, r.wa) == (3 / 5, 1.0, 4 / 5)
+    # A text of two shingles within a very long one: all hashes of the long text decide.
+    long = dict(texts())[40]
+    inside = spark.createDataFrame([(" ".join(long.split()[100:106]), long)], "a string, b string")
+    c = inside.select(fp.containment(fp.sketch(F.col("a")), fp.sketch(F.col("b"), 0)).alias("c")).first().c
+    assert c == 1.0
