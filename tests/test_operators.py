@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lavra.operators import chunks, corpus, items, parties, quality, robots, rows
 from lavra.sources import files
 
-ROOTS = ["INSTITUTO FEDERAL DE", "CENTRO FEDERAL DE EDUCAC", "COLEGIO PEDRO II"]
+ROOTS = ["ESCOLA TECNICA DE", "CENTRO NAUTICO DE PESQ", "LICEU DAS ARTES"]
 
 
 def dated(spark, dates):
@@ -21,31 +21,31 @@ def verdict(spark, dates):
 
 
 def test_date_profile_verdicts(spark):
-    good = [f"{y}-06-01" for y in range(2019, 2027) for _ in range(5)] + ["1999-01-01"] * 200 + ["2030-01-01"]
+    good = [f"{y}-04-09" for y in range(2019, 2027) for _ in range(6)] + ["1987-10-11"] * 150 + ["2031-02-03"]
     p, usable = verdict(spark, good)
-    assert usable and (p.min_date, p.max_date, p.min_in_window, p.max_in_window) == ("1999-01-01", "2030-01-01", "2019-06-01", "2026-06-01")
-    assert not verdict(spark, [f"{y}-06-01" for y in range(2019, 2026) for _ in range(5)] + ["1999-01-01"] * 100)[1]
-    assert not verdict(spark, [f"{y}-06-01" for y in range(2019, 2027)] + ["1999-01-01"] * 1000)[1]
-    p, usable = verdict(spark, ["0001-01-01", "1111-01-01", "2019-06-01", "junk", None, ""])
-    assert (p.n_parseable, p.n_implausible, p.min_date, p.n_nonblank, usable) == (3, 2, "0001-01-01", 4, False)
+    assert usable and (p.min_date, p.max_date, p.min_in_window, p.max_in_window) == ("1987-10-11", "2031-02-03", "2019-04-09", "2026-04-09")
+    assert not verdict(spark, [f"{y}-04-09" for y in range(2019, 2026) for _ in range(6)] + ["1987-10-11"] * 80)[1]
+    assert not verdict(spark, [f"{y}-04-09" for y in range(2019, 2027)] + ["1987-10-11"] * 900)[1]
+    p, usable = verdict(spark, ["0033-05-06", "1050-10-10", "2020-09-14", "sem data", None, ""])
+    assert (p.n_parseable, p.n_implausible, p.min_date, p.n_nonblank, usable) == (3, 2, "0033-05-06", 4, False)
     assert verdict(spark, [])[0].n_rows == 0
 
 
 def test_registry_job(spark):
     dep = [
-        ("BR10001", "INSTITUTO FEDERAL DE ALAGOAS", ""), ("BR10002", "UNIVERSIDADE FEDERAL X", ""), ("BR10003", "Centro Federal de Educação Tecnológica de MG", None),
-        ("BR10004", "Colégio Pedro II", ""), ("BR10004", "Empresa X", ""), ("BR10004", "INSTITUTO FEDERAL DE Y", ""), ("BR10005", None, "12.345.678/0001-90"), ("BR10004", "COLEGIO PEDRO II", ""),
+        ("PX401", "ESCOLA TECNICA DE OLARIA", ""), ("PX402", "PADARIA DO PORTO", ""), ("PX403", "Centro Náutico de Pesquisa da Foz", None),
+        ("PX404", "Liceu das Ártes", ""), ("PX404", "Oficina do Cais", ""), ("PX404", "ESCOLA TECNICA DE BARRO", ""), ("PX405", None, "98.765.432/0001-10"), ("PX404", "LICEU DAS ARTES", ""),
     ]
     depositors = spark.createDataFrame([(*r, i) for i, r in enumerate(dep)], "numero_inpi string, depositante string, cgccpfdepositante string, ordem int").repartition(3)
-    content = spark.createDataFrame([("BR10001", "nan", None, 0), ("BR10001", "Second", "abs", 1), ("BR10002", "other", "x", 2), ("BR10003", " ", "nan", 3)], "numero_inpi string, titulo string, resumo string, ordem int")
-    biblio = spark.createDataFrame([("BR10001", " None ", 0), ("BR10001", " 2020-01-01 ", 1), ("BR10001", "2021-01-01", 2)], "numero_inpi string, data_deposito string, ordem int")
-    xw = spark.createDataFrame([("12345678000190",)], "tax_id string")
+    content = spark.createDataFrame([("PX401", "nan", None, 0), ("PX401", "Second", "abs", 1), ("PX402", "other", "x", 2), ("PX403", " ", "nan", 3)], "numero_inpi string, titulo string, resumo string, ordem int")
+    biblio = spark.createDataFrame([("PX401", " None ", 0), ("PX401", " 2021-07-08 ", 1), ("PX401", "2022-07-08", 2)], "numero_inpi string, data_deposito string, ordem int")
+    xw = spark.createDataFrame([("98765432000110",)], "tax_id string")
     got = [tuple(r) for r in parties.extract_registry(depositors, content, biblio, xw, ROOTS).select("numero_inpi", "instituicoes", "titulo", "resumo", "data_deposito").collect()]
     assert got == [
-        ("BR10001", ["INSTITUTO FEDERAL DE ALAGOAS"], "Second", "abs", "2020-01-01"),
-        ("BR10003", ["CENTRO FEDERAL DE EDUCACAO TECNOLOGICA DE MG"], " ", "", ""),
-        ("BR10004", ["COLEGIO PEDRO II", "INSTITUTO FEDERAL DE Y"], "", "", ""),
-        ("BR10005", ["12345678000190"], "", "", ""),
+        ("PX401", ["ESCOLA TECNICA DE OLARIA"], "Second", "abs", "2021-07-08"),
+        ("PX403", ["CENTRO NAUTICO DE PESQUISA DA FOZ"], " ", "", ""),
+        ("PX404", ["LICEU DAS ARTES", "ESCOLA TECNICA DE BARRO"], "", "", ""),
+        ("PX405", ["98765432000110"], "", "", ""),
     ]
     classified = parties.classify_party(depositors, "depositante", "cgccpfdepositante", xw, ROOTS)
     assert tuple(parties.match_counts(classified, "numero_inpi").first()) == (6, 2, 4)
@@ -57,12 +57,12 @@ def test_corpus_job(spark):
         [("BR1", "2023-01-01", "t", "r", "X|Y", 0), ("BR1", "2015-01-01", "again", "", "X", 1), ("BR2", "2015-08-05", "", "", "", 2), ("", None, "a", "", "", 3), ("", "", "b", "", "", 4)],
         "numero_inpi string, data_deposito string, titulo string, resumo string, instituicoes string, ordem int",
     )
-    news = spark.createDataFrame([("http://n/1", "31/08/2026", "Título da matéria", "", "IF", 0), ("http://n/1", None, "x", "y", "IF", 1)], "url string, data string, titulo string, texto string, instituicao string, ordem int")
+    news = spark.createDataFrame([("http://n/1", "17/02/2022", "Feira de barcos reabre", "", "IF", 0), ("http://n/1", None, "x", "y", "IF", 1)], "url string, data string, titulo string, texto string, instituicao string, ordem int")
     built = corpus.build_corpus(registry, news)
     report = corpus.corpus_report(built).first()
     assert tuple(report) == (5, 2, 1, 2, 1, 1)
     n = built.where("tipo = 'noticia'").first()
-    assert (n.texto_limpido, n.texto_fallback_titulo, n.data, n.na_janela) == ("Título da matéria", True, "2026-08-31", True)
+    assert (n.texto_limpido, n.texto_fallback_titulo, n.data, n.na_janela) == ("Feira de barcos reabre", True, "2022-02-17", True)
     everything = corpus.registry_rows(registry).unionByName(corpus.news_rows(news))
     assert {tuple(r) for r in corpus.duplicate_accounting(everything).collect()} == {("inpi", 5, 4, 1), ("noticia", 2, 1, 1)}
     assert dict(map(tuple, corpus.count_by_institution(built).collect())) == {"X": 1, "(sem instituicao)": 3, "IF": 1}
@@ -87,13 +87,13 @@ def test_chunk_store_is_idempotent(spark):
 
 def store(spark):
     h = math.sqrt(3) / 2
-    return spark.createDataFrame([("BR1::0", [1.0, 0.0, 0.0]), ("BR1::1", [0.5, 0.0, h]), ("BR2::0", [0.0, 0.0, 1.0])], "chunk_key string, embedding array<float>")
+    return spark.createDataFrame([("Q7::0", [1.0, 0.0, 0.0]), ("Q7::1", [0.5, 0.0, h]), ("Q8::0", [0.0, 0.0, 1.0])], "chunk_key string, embedding array<float>")
 
 
 def test_top_k(spark):
     got = chunks.top_k(store(spark), [1.0, 0.0, 0.0], 10).collect()
-    assert [r.chunk_key for r in got] == ["BR1::0", "BR1::1", "BR2::0"] and [round(r.score, 5) for r in got] == [1.0, 0.0, -1.0]
-    assert [r.chunk_key for r in chunks.top_k(store(spark), [1.0, 0.0, 0.0], 5, min_score=1.0).collect()] == ["BR1::0"]
+    assert [r.chunk_key for r in got] == ["Q7::0", "Q7::1", "Q8::0"] and [round(r.score, 5) for r in got] == [1.0, 0.0, -1.0]
+    assert [r.chunk_key for r in chunks.top_k(store(spark), [1.0, 0.0, 0.0], 5, min_score=1.0).collect()] == ["Q7::0"]
     for k, q in ((0, [1.0, 0.0, 0.0]), (-1, [1.0, 0.0, 0.0]), ("3", [1.0, 0.0, 0.0]), (3, [])):
         assert chunks.top_k(store(spark), q, k).count() == 0
     assert chunks.top_k(store(spark).limit(0), [1.0, 0.0, 0.0], 3).count() == 0
@@ -119,35 +119,35 @@ def test_embed(spark):
 
 
 def test_robots(spark):
-    texts = spark.createDataFrame([("a.br", "User-agent: *\nDisallow: /news/*\nUser-agent: bot\nDisallow: /sobre"), ("b.br", "user-agent: *\ndisallow: /"), ("c.br", "User-agent: *\nDisallow:\nDisallow: /x.y(z")], "host string, texto string")
-    urls = spark.createDataFrame([(u,) for u in ("https://a.br/news/2026", "https://a.br/sobre", "http://b.br/x", "http://c.br/a", "http://c.br/x.y(z1", "http://c.br/xxy(z", "http://d.br/", None)], "url string")
-    assert {r.url for r in robots.filter_robots(urls, robots.parse_rules(texts)).collect()} == {"https://a.br/sobre", "http://c.br/a", "http://c.br/xxy(z", "http://d.br/", None}
+    texts = spark.createDataFrame([("a.br", "User-agent: *\nDisallow: /acervo/*\nUser-agent: bot\nDisallow: /loja"), ("b.br", "user-agent: *\ndisallow: /"), ("c.br", "User-agent: *\nDisallow:\nDisallow: /x.y(z")], "host string, texto string")
+    urls = spark.createDataFrame([(u,) for u in ("https://a.br/acervo/9", "https://a.br/loja", "http://b.br/x", "http://c.br/a", "http://c.br/x.y(z1", "http://c.br/xxy(z", "http://d.br/", None)], "url string")
+    assert {r.url for r in robots.filter_robots(urls, robots.parse_rules(texts)).collect()} == {"https://a.br/loja", "http://c.br/a", "http://c.br/xxy(z", "http://d.br/", None}
 
 
-RSS = """<?xml version="1.0"?><rss version="2.0"><channel><item><title>One <b>x</b></title><link>/n/1</link><pubDate>Mon, 12 Aug 2024 10:00:00 -0300</pubDate><description>&lt;p&gt;Text &amp;amp; more&lt;/p&gt;</description></item>
-<item><title>Two</title><guid>https://p.br/n/2</guid></item><item><title>Three</title><description>&lt;a href="#"&gt;&lt;/a&gt;&lt;a href="/n/3"&gt;x&lt;/a&gt;</description></item></channel></rss>"""
-RDF = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><item rdf:about="https://p.br/r"><title>R</title><dc:date>2026-08-31T10:00:00Z</dc:date></item></rdf:RDF>"""
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link href="https://p.br/a/"/><published>2024-09-01T00:00:00Z</published><summary>s</summary></entry></feed>"""
-LISTING = """<div class="newsItem"><h2><a href="/l/1">First</a></h2><span class="date">12/08/2024</span><p>Body one</p></div>
-<div class="newsItem"><h3><a href="/l/2">Second</a></h3><p>01/09/2024</p></div><div class="item"><h2><a href="/l/3">Never</a></h2></div>"""
+RSS = """<?xml version="1.0"?><rss version="2.0"><channel><item><title>Barco <b>novo</b></title><link>/n/1</link><pubDate>Tue, 03 May 2022 08:30:00 -0400</pubDate><description>&lt;p&gt;Vela &amp;amp; remo&lt;/p&gt;</description></item>
+<item><title>Porto fecha</title><guid>https://gazeta.example/n/2</guid></item><item><title>Sem rumo</title><description>&lt;a href="#"&gt;&lt;/a&gt;&lt;a href="/n/3"&gt;x&lt;/a&gt;</description></item></channel></rss>"""
+RDF = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><item rdf:about="https://gazeta.example/r"><title>R</title><dc:date>2022-10-12T06:00:00Z</dc:date></item></rdf:RDF>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link href="https://gazeta.example/a/"/><published>2023-01-19T00:00:00Z</published><summary>s</summary></entry></feed>"""
+LISTING = """<div class="newsItem"><h2><a href="/l/1">Regata</a></h2><span class="date">05/06/2022</span><p>Largada cedo</p></div>
+<div class="newsItem"><h3><a href="/l/2">Estaleiro</a></h3><p>21/11/2022</p></div><div class="item"><h2><a href="/l/3">Never</a></h2></div>"""
 
 
 def contents(spark, pairs):
-    return spark.createDataFrame([(p, "IF", "https://p.br", c) for p, c in pairs], "portal string, instituicao string, base string, conteudo string")
+    return spark.createDataFrame([(p, "IF", "https://gazeta.example", c) for p, c in pairs], "portal string, instituicao string, base string, conteudo string")
 
 
 def test_feeds_and_listings(spark):
     feeds = contents(spark, [("rss", RSS), ("rdf", RDF), ("atom", ATOM), ("bad", "<rss><item>"), ("none", None)])
     got = {(r.portal, r.ordem): (r.titulo, r.data, r.url, r.texto) for r in items.parse_feeds(feeds).collect()}
     assert got == {
-        ("rss", 0): ("One x", "2024-08-12", "https://p.br/n/1", "Text & more"), ("rss", 1): ("Two", None, "https://p.br/n/2", ""), ("rss", 2): ("Three", None, "https://p.br/n/3", "x"),
-        ("rdf", 0): ("R", "2026-08-31", "https://p.br/r", ""), ("atom", 0): ("A", "2024-09-01", "https://p.br/a", "s"),
+        ("rss", 0): ("Barco novo", "2022-05-03", "https://gazeta.example/n/1", "Vela & remo"), ("rss", 1): ("Porto fecha", None, "https://gazeta.example/n/2", ""), ("rss", 2): ("Sem rumo", None, "https://gazeta.example/n/3", "x"),
+        ("rdf", 0): ("R", "2022-10-12", "https://gazeta.example/r", ""), ("atom", 0): ("A", "2023-01-19", "https://gazeta.example/a", "s"),
     }
     listings = contents(spark, [("rss", LISTING), ("bad", LISTING), ("links", '<p><a href="/x">X</a> <em>01/02/2020</em></p><a href="#">no</a>')])
     both = items.extract_items(feeds, listings)
     found = {(r.portal, r.titulo): (r.data, r.url, r.origem) for r in both.where("portal in ('bad', 'links')").collect()}
     assert found == {
-        ("bad", "First"): ("2024-08-12", "https://p.br/l/1", "listagem"), ("bad", "Second"): ("2024-09-01", "https://p.br/l/2", "listagem"), ("links", "X"): ("2020-02-01", "https://p.br/x", "listagem"),
+        ("bad", "Regata"): ("2022-06-05", "https://gazeta.example/l/1", "listagem"), ("bad", "Estaleiro"): ("2022-11-21", "https://gazeta.example/l/2", "listagem"), ("links", "X"): ("2020-02-01", "https://gazeta.example/x", "listagem"),
     }
     assert both.where("portal = 'rss' and origem = 'listagem'").count() == 0
 
@@ -161,8 +161,8 @@ def test_files(spark, tmp_path):
     found, errors = files.read_items_json(spark, str(tmp_path / "*.json"))
     assert [(r.titulo, r.data, r.pos) for r in files.item_fields(found).collect()] == [("t", None, 0)]
     assert sorted((r.pos, r.kind) for r in errors.where("pos is not null").collect()) == [(1, "STRING"), (2, "BIGINT")] and errors.count() == 3
-    (tmp_path / "x.json").write_text('{"a": "12.345.678/0001-90", "b": "00000000000100", "c": "7", "d": 5}')
-    assert {r.tax_id for r in files.read_crosswalk(spark, str(tmp_path / "x.json")).collect()} == {"12345678000190", "00000000000100"}
+    (tmp_path / "x.json").write_text('{"a": "98.765.432/0001-10", "b": "00000000000700", "c": "7", "d": 5}')
+    assert {r.tax_id for r in files.read_crosswalk(spark, str(tmp_path / "x.json")).collect()} == {"98765432000110", "00000000000700"}
     (tmp_path / "broken.json").write_text("[")
     assert files.read_crosswalk(spark, str(tmp_path / "broken.json")).count() == 0
     with pytest.raises(ValueError):
@@ -181,8 +181,8 @@ def test_sniff_header(spark, tmp_path):
 
 
 def test_targets(spark):
-    config = spark.createDataFrame([('{"top": "x", "meta": {"a": "no"}, "REDE": {"MEC": "http://mec/", "SUB": {"IFSP": "http://ifsp"}, "INPI": {"b": "no"}}, "CEFET": {"CEFET-MG": "http://mg//"}}',)], "v string")
-    assert {tuple(r) for r in files.flatten_targets(spark, config).collect()} == {("MEC", "http://mec"), ("IFSP", "http://ifsp"), ("CEFET-MG", "http://mg")}
+    config = spark.createDataFrame([('{"top": "x", "meta": {"a": "no"}, "NORTE": {"PORTO": "http://porto/", "SUB": {"CAIS": "http://cais"}, "INPI": {"b": "no"}}, "SUL": {"FAROL-9": "http://farol//"}}',)], "v string")
+    assert {tuple(r) for r in files.flatten_targets(spark, config).collect()} == {("PORTO", "http://porto"), ("CAIS", "http://cais"), ("FAROL-9", "http://farol")}
 
 
 def test_targets_at_any_depth(spark):
