@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # RFC 3986, appendix B.
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: Schemes whose addresses have hosts and paths.
+HIERARCHICAL = ("http", "https", "ftp", "sftp", "file", "ws", "wss")
+_SPACES = "".join(map(chr, range(33)))
 
 
 def normalize_url(url: Column) -> Column:
@@ -29,13 +28,47 @@ def normalize_url(url: Column) -> Column:
     return F.when(u == "", "").otherwise(whole)
 
 
-def resolve_url(base: Column, href: Column) -> Column:
-    """href relative to base, normalised; blank hrefs are blank."""
+def _resolved_path(base_path: Column, path: Column) -> Column:
+    """path beside the last segment of base_path, unless it begins with a slash; `.` and `..` segments resolved."""
+    beside = F.concat(F.regexp_replace(F.regexp_replace(base_path, "[^/]*$", ""), "(?<!^)/+", "/"), path)
+    segments = F.split(F.when(path.startswith("/"), path).otherwise(beside), "/", -1)
+
+    def step(kept: Column, segment: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == "..", up).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
 
-    def run(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(b or "", h.strip()) if h and h.strip() else "" for b, h in zip(bases, hrefs)], dtype=object)
+    walked = F.aggregate(segments, F.array().cast("array<string>"), step)
+    last = F.element_at(segments, -1).isin(".", "..")
+    joined = F.array_join(F.when(last, F.concat(walked, F.array(F.lit("")))).otherwise(walked), "/")
+    return F.when(joined == "", "/").otherwise(joined)
 
-    return normalize_url(F.pandas_udf(run, T.StringType())(base, href))
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """href relative to base by RFC 3986, with schemes in lower case; blank hrefs are blank, blank bases change nothing.
+
+    Paths of hrefs with a scheme of their own or a host are left as they are. So are hrefs whose scheme has no
+    hierarchy, such as `mailto:`, and any href where the base has such a scheme.
+    """
+    b = F.btrim(F.coalesce(base, F.lit("")), F.lit(_SPACES))
+    h = F.regexp_replace(F.btrim(F.coalesce(href, F.lit("")), F.lit(_SPACES)), "[\t\r\n]", "")
+    of = lambda url, k: F.regexp_extract(url, "(?s)" + _PARTS, k)
+    scheme = F.when(of(h, 1) != "", F.lower(of(h, 1))).otherwise(F.lower(of(b, 1)))
+    own, empty = of(h, 2) != "", of(h, 3) == ""
+    host = F.when(own, of(h, 2)).otherwise(of(b, 2))
+    path = F.when(own, of(h, 3)).when(empty, of(b, 3)).otherwise(_resolved_path(of(b, 3), of(h, 3)))
+    query = F.when(~own & empty & (of(h, 4) == ""), of(b, 4)).otherwise(of(h, 4))
+    rooted = F.when((host != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
+    whole = F.concat(
+        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""), rooted,
+        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), F.when(of(h, 5) != "", F.concat(F.lit("#"), of(h, 5))).otherwise(""),
+    )
+    apart = (b == "") | (scheme != F.lower(of(b, 1))) | ~scheme.isin("", *HIERARCHICAL)
+    return F.when(h == "", "").when(apart, h).otherwise(whole)
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """href relative to base, normalised; blank hrefs are blank."""
+    return normalize_url(absolute_url(base, href))
 
 
 def item_key(url: Column, title: Column, institution: Column, date: Column) -> Column:

@@ -39,6 +39,15 @@ def _feed_dates():
     )
 
 
+def _href():
+    """Links as pages write them: by turns relative, rooted, a query, a host without scheme, a fragment and a name alone."""
+    k, page = F.col("page_id") % 6, F.col("page_id").cast("string")
+    return (
+        F.when(k == 0, F.concat(F.lit("../x/"), page, F.lit("/"))).when(k == 1, F.concat(F.lit("/r/./"), page, F.lit("/../s"))).when(k == 2, F.concat(F.lit("?q="), page))
+        .when(k == 3, F.concat(F.lit("//Host.Example/p/"), page)).when(k == 4, "#f").otherwise(" item.html ")
+    )
+
+
 _LABELS = lambda: F.concat_ws("|", F.col("source"), F.concat(F.lit("  "), F.col("lang")), F.lit(" "), F.col("source"))
 _PARAGRAPHS = lambda: F.replace(F.col("text"), F.lit("\n"), F.lit("\n \n"))
 
@@ -69,7 +78,7 @@ QUERIES = {
     "f6_parse_iso_strict": _over("orders", "o_orderkey", d=lambda: dates.parse_iso_strict(_mixed_dates()).cast("string"), plausible=lambda: dates.is_plausible(dates.parse_iso_strict(_mixed_dates()))),
     "f7_parse_pubdate": _over("orders", "o_orderkey", iso=lambda: dates.parse_pubdate(_feed_dates())),
     "f8_normalize_url": _over("pages", "page_id", normal=lambda: urls.normalize_url(F.col("url"))),
-    "f9_resolve_url": _over("pages", "page_id", absolute=lambda: urls.resolve_url(F.col("url"), F.concat(F.lit("../x/"), F.col("page_id").cast("string"), F.lit("/")))),
+    "f9_resolve_url": _over("pages", "page_id", absolute=lambda: urls.resolve_url(F.col("url"), _href())),
     "f10_item_key": _over("pages", "page_id", key=lambda: urls.item_key(F.when(F.col("page_id") % 2 == 0, F.col("url")), F.concat(F.lit(" T "), F.col("url")), F.lit("Inst"), F.lit(None).cast("string"))),
     "f11_split_institutions": _over("documents", "doc_id", main=lambda: text.main_label(_LABELS()), others=lambda: text.other_labels(_LABELS())),
     "f12_join_title_abstract": _over("part", "p_partkey", joined=lambda: text.join_title_abstract(F.concat(F.lit("<b>"), F.col("p_name"), F.lit("</b>  ")), F.col("p_type"))),
@@ -98,6 +107,12 @@ ORACLE_SQL = {
     "f6_parse_iso_strict": f"select o_orderkey, case when o_orderkey % 5 in (0, 2) then {_DAY} end d, o_orderkey % 5 in (0, 2) plausible from orders",
     "f7_parse_pubdate": f"select o_orderkey, case when o_orderkey % 5 < 4 then {_DAY} end iso from orders",
     "f8_normalize_url": f"select page_id, {_NORMAL.format('url')} normal from pages",
+    "f9_resolve_url": rf"""
+with u as (select page_id, lower(regexp_extract(url, {_URL}, 2)) host, regexp_extract(url, {_URL}, 3) path, regexp_extract(url, {_URL}, 4) query from pages),
+d as (select *, regexp_replace(path, '[^/]*$', '') dir from u),
+r as (select page_id, host, query, case page_id % 6 when 0 then regexp_replace(dir, '[^/]+/$', '') || 'x/' || page_id when 1 then '/r/s' when 5 then dir || 'item.html' else rtrim(regexp_replace(path, ';[^/]*$', ''), '/') end path from d)
+select page_id, case when page_id % 6 = 3 then 'https://host.example/p/' || page_id else 'https://' || host || case when path = '' or path[1] = '/' then '' else '/' end || path
+  || case when page_id % 6 = 2 then '?q=' || page_id when page_id % 6 = 4 then case when query <> '' then '?' || query else '' end || '#f' else '' end end absolute from r""",
     "f10_item_key": f"select page_id, case when page_id % 2 = 0 then 'url:' || {_NORMAL.format('url')} else 'semurl:' || lower('T ' || url) || '|inst|' end as key from pages",
     "f11_split_institutions": "select doc_id, source main, lang || '|' || source others from documents",
     "f12_join_title_abstract": "select p_partkey, trim(p_name || ' ' || p_type) joined from part",

@@ -1,3 +1,5 @@
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,12 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     got = df.select(vectors.l2_normalize(F.col("a")).alias("u"), vectors.l2_score(F.col("a"), F.col("b")).alias("s")).collect()
     assert [(list(map(lambda x: round(x, 6), r.u)), r.s) for r in got] == [([0.6, 0.8], 1.0), ([0.0, 0.0], 0.0)]
+
+
+def test_links_resolve_as_the_standard_library_does(spark):
+    bases = ["http://a.b/c/d;p?q", "https://A.b", "http://a.b/c//d/./e/", "HTTP://a/b?x=/y", "/only/path", "", "mailto:x@y", "ftp://h/x/y"]
+    hrefs = ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", ";x", "g;x=1/../y", "", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "http:g", "HTTPS://Z/../q", "mailto:a@b", " g\t"]
+    rows = [(b, h) for b in bases for h in hrefs]
+    got = spark.createDataFrame(rows, "b string, h string").select("b", "h", urls.absolute_url(F.col("b"), F.col("h")).alias("r")).collect()
+    wrong = [(r.b, r.h, r.r, urljoin(r.b, r.h.strip()) if r.h.strip() else "") for r in got if r.r != (urljoin(r.b, r.h.strip()) if r.h.strip() else "")]
+    assert not wrong, wrong
