@@ -2,227 +2,136 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit, urlunsplit
-from xml.etree import ElementTree
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.binding import let
 from lavra.functions.dates import parse_pubdate
-from lavra.functions.text import text_nodes
-from lavra.functions.urls import resolve_url
+from lavra.functions.markup import html_nodes, inside, joined, trimmed, usable, xml_nodes
+from lavra.functions.urls import resolve_url, same_page
 from lavra.sources.scratch import written
 
-RAW = "portal string, instituicao string, base string, ordem int, titulo string, href string, datas array<string>, texto string"
 #: Containers of listings in the order in which they are tried. Fixed values.
 CONTAINERS = (
     ("div", "tileItem"), ("div", "newsItem"), ("div", "news-item"), ("div", "entry"), ("div", "results-item"), ("article", ""), ("li", "newsItem"), ("li", "item"), ("div", "item"),
 )
-#: Where a listing's title and date are looked for. Fixed values.
-HEADINGS = ("h2", "h3", "h4", "p")
+#: Where a listing's date is looked for. Fixed values.
 DATES = (("time", ""), ("span", "date"), ("span", "pubDate"), ("span", "newsDate"), ("span", "entry-date"), ("", "effective"), ("", "modified"))
-DAY = re.compile(r"\d{1,2}/\d{1,2}/\d{4}")
+DAY = r"^\d{1,2}/\d{1,2}/\d{4}"
 ENOUGH = 2
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
+def _nonblank(text: Column) -> Column:
+    return F.when(text != "", text)
 
 
-def _whole_text(element) -> str:
-    return "".join(element.itertext()).strip()
+def _feed_items(nodes: Column) -> Column:
+    """array<struct<titulo, href, datas, texto>>: the items of RSS 2.0 and 1.0, then the entries of Atom; texto is markup."""
 
+    def item(box: Column, inner: Column) -> Column:
+        children = lambda *tags: F.filter(inner, lambda n: (n["parent"] == box["place"]) & n["tag"].isin(*tags))
+        whole = lambda n: trimmed(joined(inside(nodes, n), ""))
+        first = lambda tag: F.coalesce(F.get(F.transform(F.slice(children(tag), 1, 1), whole), F.lit(0)), F.lit(""))
+        any_of = lambda *tags: F.filter(F.transform(children(*tags), whole), lambda t: t != "")
+        rss = F.struct(
+            first("title").alias("titulo"), F.coalesce(_nonblank(first("link")), _nonblank(first("guid")), box["href"]).alias("href"), F.slice(any_of("pubDate", "date"), 1, 1).alias("datas"),
+            F.coalesce(F.get(any_of("description", "texto", "summary", "content", "encoded"), F.lit(0)), F.lit("")).alias("texto"),
+        )
+        atom = F.struct(
+            first("title").alias("titulo"), F.coalesce(F.get(children("link"), F.lit(0))["href"], F.lit("")).alias("href"),
+            F.slice(F.filter(F.array(first("updated"), first("published")), lambda t: t != ""), 1, 1).alias("datas"), F.coalesce(_nonblank(first("summary")), first("content")).alias("texto"),
+        )
+        return F.when(box["tag"] == "item", rss).otherwise(atom)
 
-def _child(element, *names: str):
-    return next((c for c in element if _local(c.tag) in names), None)
+    rss = F.lower(F.get(nodes, F.lit(0))["tag"]).isin("rss", "rdf")
+    boxes = F.concat(F.filter(nodes, lambda n: rss & (n["tag"] == "item")), F.filter(nodes, lambda n: n["tag"] == "entry"))
+    return F.transform(boxes, lambda box: let(inside(nodes, box), lambda inner: item(box, inner)))
 
 
-class _Hrefs(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.found: list[str] = []
+def _is(node: Column, tag: str, name: str) -> Column:
+    return ((node["tag"] == tag) if tag else F.lit(True)) & (F.array_contains(node["names"], name) if name else F.lit(True))
 
-    def handle_starttag(self, tag, attrs):
-        href = (dict(attrs).get("href") or "").strip()
-        if tag == "a" and usable(href):
-            self.found.append(href)
 
+def _listing_items(nodes: Column) -> Column:
+    """array<struct<kind, titulo, href, datas, texto>>: what stands in the containers, kind by kind, those without title and link left out."""
+    whole = lambda n: joined(inside(nodes, n))
+    dated = lambda n: F.coalesce(_nonblank(n["datetime"]), whole(n))
 
-def _first_href(body: str) -> str:
-    links = _Hrefs()
-    links.feed(body)
-    return next(iter(links.found), "")
+    def item(kind: Column, box: Column, inner: Column) -> Column:
+        # The first link in a heading or paragraph, the box among them, or one that is called a title.
+        link = F.get(F.filter(inner, lambda n: (n["tag"] == "a") & (F.array_contains(n["names"], "title") | (n["heading"] >= box["place"]))), F.lit(0))
+        firsts = F.array(*(F.get(F.filter(inner, lambda n: _is(n, tag, name) & (n["tag"] != "")), F.lit(0)) for tag, name in DATES))
+        by_selector = F.transform(F.filter(firsts, lambda n: n.isNotNull()), dated)
+        days = F.filter(F.transform(F.filter(inner, lambda n: n["tag"] == "p"), whole), lambda t: t.rlike(DAY))
+        block = F.get(F.filter(inner, lambda n: (n["tag"] == "p") | _is(n, "div", "description") | _is(n, "div", "text") | _is(n, "span", "description")), F.lit(0))
+        return F.struct(
+            kind.alias("kind"), F.when(link.isNotNull(), whole(link)).otherwise("").alias("titulo"), F.coalesce(link["href"], F.lit("")).alias("href"),
+            F.concat(F.filter(by_selector, lambda d: d != ""), days).alias("datas"), F.when(block.isNotNull(), whole(block)).otherwise("").alias("texto"),
+        )
 
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(tag).alias("tag"), F.lit(name).alias("name")) for k, (tag, name) in enumerate(CONTAINERS)))
 
-def usable(href: str) -> bool:
-    return bool(href) and not href.startswith("#") and not href.lower().startswith("javascript:")
+    def of(kind: Column) -> Column:
+        boxes = F.filter(nodes, lambda n: (n["tag"] == kind["tag"]) & ((kind["name"] == "") | F.array_contains(n["names"], kind["name"])))
+        return F.transform(boxes, lambda box: let(inside(nodes, box), lambda inner: item(kind["kind"], box, inner)))
 
+    return F.filter(F.flatten(F.transform(kinds, of)), lambda i: (i["titulo"] != "") | (i["href"] != ""))
 
-def feed_entries(xml: str, base: str = "") -> list[tuple[str, str, list[str], str]]:
-    """(title, href, dates, body) of the items of RSS 2.0, RSS 1.0 and Atom; none where the XML is malformed."""
-    try:
-        root = ElementTree.fromstring(xml.strip().encode())
-    except (ElementTree.ParseError, ValueError):
-        return []
-    out = []
-    text = lambda e: _whole_text(e) if e is not None else ""
-    if _local(root.tag).lower() in ("rss", "rdf"):
-        for item in (e for e in root.iter() if _local(e.tag) == "item"):
-            bodies = (c for c in item if _local(c.tag) in ("description", "texto", "summary", "content", "encoded"))
-            body = next((t for c in bodies if (t := _whole_text(c))), "")
-            about = next((v for k, v in item.attrib.items() if _local(k) == "about"), "")
-            href = text(_child(item, "link")) or text(_child(item, "guid")) or about.strip()
-            href = href or _first_href(body)
-            dates = [t for c in item if _local(c.tag) in ("pubDate", "date") and (t := _whole_text(c))][:1]
-            out.append((text(_child(item, "title")), href, dates, body))
-    for entry in (e for e in root.iter() if _local(e.tag) == "entry"):
-        link = _child(entry, "link")
-        dates = [t for n in ("updated", "published") if (t := text(_child(entry, n)))][:1]
-        body = text(_child(entry, "summary")) or text(_child(entry, "content"))
-        href = (link.get("href") or "").strip() if link is not None else ""
-        out.append((text(_child(entry, "title")), href or _first_href(body), dates, body))
-    return out
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag: str, attrs: dict, parent=None):
-        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
-
-    def walk(self) -> Iterator["Node"]:
-        stack = list(reversed(self.children))
-        while stack:
-            n = stack.pop()
-            if isinstance(n, Node):
-                yield n
-                stack.extend(reversed(n.children))
-
-    def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                parts.append(n.strip())
-            elif n.tag not in ("script", "style"):
-                stack.extend(reversed(n.children))
-        return " ".join(p for p in parts if p)
-
-    def has(self, name: str) -> bool:
-        return name in (self.attrs.get("class") or "").split()
-
-
-class Tree(HTMLParser):
-    """A lenient tree: an end tag closes the nearest open element of its name."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self, markup: str):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {})
-        self.feed(markup)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, dict(attrs), self.at)
-        self.at.children.append(node)
-        if tag not in self.VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def _title_link(box: Node) -> Node | None:
-    """The first link in a heading or paragraph, or one that is called a title, in document order."""
-
-    def under_heading(n: Node) -> bool:
-        while (n := n.parent) is not None and n is not box.parent:
-            if n.tag in HEADINGS:
-                return True
-        return False
-
-    return next((n for n in box.walk() if n.tag == "a" and (n.has("title") or under_heading(n))), None)
-
-
-def _dates(box: Node) -> list[str]:
-    """Candidate dates: of the first element of each kind, in the order of DATES; then paragraphs that begin with d/m/yyyy."""
-    nodes, found = list(box.walk()), []
-    for tag, name in DATES:
-        first = next((n for n in nodes if tag in ("", n.tag) and (not name or n.has(name))), None)
-        if first:
-            found.append(first.attrs.get("datetime") or first.text())
-    return [d for d in found if d] + [t for n in nodes if n.tag == "p" and DAY.match(t := n.text())]
-
-
-def _twin(base: str, href: str) -> str:
-    """The form by which links to the same page are told, however they are written."""
-    if not href:
-        return ""
-    u = urlsplit(urljoin(base, href))
-    return urlunsplit(("https" if u.scheme in ("", "http") else u.scheme, u.netloc.lower(), u.path.rstrip("/"), u.query, u.fragment))
-
-
-def listing_entries(markup: str, base: str = "") -> list[tuple[str, str, list[str], str]]:
-    """(title, href, candidate dates, text) of the items of a listing page; its plain links where it has none."""
-    nodes = list(Tree(markup).root.walk())
-    out, seen = [], set()
-    for tag, name in CONTAINERS:
-        for box in (n for n in nodes if n.tag == tag and (not name or n.has(name))):
-            link = _title_link(box)
-            title, href = (link.text(), (link.attrs.get("href") or "").strip()) if link else ("", "")
-            if not (title or href) or (_twin(base, href), title) in seen:
-                continue
-            seen.add((_twin(base, href), title))
-            first = next((n for n in box.walk() if n.tag == "p" or n.tag == "div" and (n.has("description") or n.has("text")) or n.tag == "span" and n.has("description")), None)
-            out.append((title, href, _dates(box), first.text() if first else ""))
-        if len(out) >= ENOUGH:
-            return out
-    if not out:
-        for n in nodes:
-            href = (n.attrs.get("href") or "").strip()
-            if n.tag == "a" and usable(href) and (title := n.text()) and (_twin(base, href), title) not in seen:
-                seen.add((_twin(base, href), title))
-                out.append((title, href, [d for s in n.parent.walk() if s.tag in ("span", "time", "em") and (d := s.attrs.get("datetime") or s.text())], ""))
-    return out
-
-
-def _parsed(contents: DataFrame, reader, kind: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["portal", "instituicao", "base", "ordem", "titulo", "href", "datas", "texto"]
-        for frame in frames:
-            rows = []
-            for portal, institution, base, content in zip(*(frame[c] for c in ("portal", "instituicao", "base", "conteudo"))):
-                for k, (title, href, dates, body) in enumerate(reader(content or "", base or "")):
-                    rows.append((portal, institution, base, k, title, href, dates, text_nodes(body)))
-            yield pd.DataFrame(rows, columns=names)
-
-    raw = contents.select("portal", "instituicao", "base", "conteudo").mapInPandas(run, RAW)
+
+def _plain_links(nodes: Column) -> Column:
+    """array of the same structs: the links of a page, with the dates that stand beside them."""
+    whole = lambda n: joined(inside(nodes, n))
+    dated = F.transform(F.filter(nodes, lambda n: n["tag"].isin("span", "time", "em")), lambda n: F.struct(n["place"].alias("place"), F.coalesce(_nonblank(n["datetime"]), whole(n)).alias("day")))
+
+    def item(link: Column, days: Column) -> Column:
+        end = F.when(link["parent"] < 0, F.size(nodes)).otherwise(F.get(nodes, F.greatest(link["parent"], F.lit(0)))["last"])
+        beside = F.filter(days, lambda d: (d["place"] > link["parent"]) & (d["place"] <= end) & (d["day"] != ""))
+        return F.struct(F.lit(len(CONTAINERS)).alias("kind"), whole(link).alias("titulo"), link["href"].alias("href"), F.transform(beside, lambda d: d["day"]).alias("datas"), F.lit("").alias("texto"))
+
+    links = F.filter(nodes, lambda n: (n["tag"] == "a") & usable(n["href"]))
+    return F.filter(let(dated, lambda days: F.transform(links, lambda n: item(n, days))), lambda i: i["titulo"] != "")
+
+
+def _once(items: Column, base: Column) -> Column:
+    """items, each with the same title and page only where it first stands."""
+
+    def of(found: Column) -> Column:
+        keys = F.transform(found, lambda i: F.struct(same_page(base, i["href"]), i["titulo"]))
+        return let(keys, lambda ks: F.filter(found, lambda i, at: F.array_position(ks, F.get(ks, at)) == at + 1))
+
+    return let(items, of)
+
+
+def _listed(nodes: Column, base: Column) -> Column:
+    """The items of a listing page: of the kinds of containers up to that by which there are ENOUGH; its plain links where there are none."""
+    enough = lambda found: F.filter(found, lambda i: F.size(F.filter(found, lambda o: o["kind"] < i["kind"])) < ENOUGH)
+    few = lambda found: F.when(F.size(found) > 0, enough(found)).otherwise(_once(_plain_links(nodes), base))
+    return let(_once(_listing_items(nodes), base), few)
+
+
+def _items(contents: DataFrame, of: Column, kind: str) -> DataFrame:
+    """A row for each of the items that `of` finds in conteudo, in order; their texto is markup where it holds any."""
+    based = contents.select("portal", "instituicao", F.coalesce("base", F.lit("")).alias("base"), "conteudo")
+    each = based.select("portal", "instituicao", "base", F.posexplode(of).alias("ordem", "i")).select("portal", "instituicao", "base", "ordem", "i.*")
+    marked = F.contains("texto", F.lit("<")) | F.contains("texto", F.lit("&"))
+    read = each.withColumn("corpo", html_nodes(F.when(marked, F.col("texto"))))
+    in_body = F.get(F.filter("corpo", lambda n: (n["tag"] == "a") & usable(n["href"])), F.lit(0))["href"]
+    href = F.coalesce(_nonblank(F.col("href")), in_body, F.lit(""))
     dates = F.filter(F.transform("datas", lambda d: parse_pubdate(d)), lambda d: d.isNotNull())
-    return raw.select(
-        "portal", "instituicao", "ordem", "titulo", F.get(dates, F.lit(0)).alias("data"), resolve_url(F.col("base"), F.col("href")).alias("url"), "texto", F.lit(kind).alias("origem")
+    return read.select(
+        "portal", "instituicao", "ordem", "titulo", F.get(dates, F.lit(0)).alias("data"), resolve_url(F.col("base"), href).alias("url"),
+        F.when(F.col("corpo").isNotNull(), joined(F.col("corpo"))).otherwise(trimmed(F.col("texto"))).alias("texto"), F.lit(kind).alias("origem"),
     )
 
 
 def parse_feeds(contents: DataFrame) -> DataFrame:
     """Items of feeds (portal, instituicao, base, conteudo), in the feed's order. Null and malformed contents have none."""
-    return _parsed(contents, feed_entries, "feed")
+    return _items(contents, let(xml_nodes(F.col("conteudo")), _feed_items), "feed")
 
 
 def parse_listings(contents: DataFrame) -> DataFrame:
     """Items of listing pages, of the same columns."""
-    return _parsed(contents, listing_entries, "listagem")
+    return _items(contents, let(html_nodes(F.col("conteudo")), lambda nodes: _listed(nodes, F.col("base"))), "listagem")
 
 
 def extract_items(feeds: DataFrame, listings: DataFrame) -> DataFrame:

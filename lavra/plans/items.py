@@ -87,6 +87,16 @@ def by_url(spark: SparkSession, sf: str) -> DataFrame:
 
 _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#;]*)', 1)"
+_DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_FEED = f"""f as (select page_id, page_id::varchar portal, 'Inst' instituicao, 0::int ordem, trim({_DECODED.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) titulo, '2024-08-' || lpad((page_id % 28 + 1)::varchar, 2, '0') as data,
+  'https://' || lower({_HOST}) || rtrim(regexp_replace({_PATH}, ';[^/]*$', ''), '/') || case when regexp_extract(url, '[?]([^#]*)', 1) <> '' then '?' || regexp_extract(url, '[?]([^#]*)', 1) else '' end
+    || case when regexp_extract(url, '#(.*)$', 1) <> '' then '#' || regexp_extract(url, '#(.*)$', 1) else '' end url, 'Body' texto, 'feed' origem from pages where page_id % 4 > 0)"""
+#: The pages' navigation; none of their containers has a link in a heading or paragraph.
+_LISTING = f"""a as (select page_id, {_HOST} host, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) hrefs, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) titles from pages),
+b as (select page_id, host, unnest(hrefs) href, unnest(titles) title, unnest(range(len(hrefs))) place from a),
+c as (select page_id, host, {_DECODED.format("href")} href, {_DECODED.format("trim(title)")} title, min(place) place from b group by all),
+l as (select page_id, page_id::varchar portal, 'Inst' instituicao, (row_number() over (partition by page_id order by place) - 1)::int ordem, title titulo, null::varchar as data, 'https://' || lower(host) || rtrim(regexp_replace(href, ';[^/]*$', ''), '/') url, '' texto, 'listagem' origem
+  from c where title <> '')"""
 _MERGED = f"""
 p as (select page_id, {_HOST} host from pages),
 o as (select host, max(page_id) page_id from p where page_id % 3 = 0 group by host),
@@ -99,6 +109,9 @@ QUERIES = {
     "j6_merge_items": merged, "j6_keyed_store": merged_keyed, "a9_ingest_report": report, "w1_first_page_by_url": by_url,
 }
 ORACLE_SQL = {
+    "t1_parse_feed": f"with {_FEED} select portal, ordem, data, url, texto from f",
+    "t2_parse_listing": f"with {_LISTING} select * exclude (page_id) from l",
+    "t3_extract_items": f"with {_FEED}, {_LISTING} select * exclude (page_id) from f union all select * exclude (page_id) from l where page_id % 4 = 0",
     "p7_j8_filter_robots": f"""select page_id, url from pages where not starts_with({_PATH}, '/fr/') and not contains({_PATH}, '.html') and not starts_with({_HOST}, 'blog.')""",
     "j6_merge_items": f"with {_MERGED} select * from m",
     "j6_keyed_store": f"with {_MERGED} select page_id, key, portal from m",
