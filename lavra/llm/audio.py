@@ -127,23 +127,48 @@ def _covered(frame: bytes, h: tuple) -> int | None:
     return bits if 48 + bits <= 8 * length else None
 
 
+#: Text frames of ID3v2.2 by their names since. Fixed values.
+SINCE_V22 = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TYE": "TYER", "TRK": "TRCK", "TCO": "TCON", "TXX": "TXXX"}
+
+
 def _id3v2(data: bytes) -> tuple[dict[str, str], int]:
-    """Text frames of a leading ID3v2 tag, and where the tag ends (0: there is none)."""
+    """Text frames of a leading ID3v2 tag, and where the tag ends (0: there is none).
+
+    Versions 2.2 to 2.4, unsynchronised or not; frames of 2.2 get their later names where SINCE_V22 has one.
+    Compressed and encrypted frames, and whole compressed tags of 2.2, are passed over.
+    """
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return {}, 0
     safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at, tags = min(len(data), 10 + safe(data[6:10])), 10, {}
-    if data[5] & 0x40 and at + 4 <= end:  # extended header
-        at += safe(data[at : at + 4]) if data[3] == 4 else 4 + int.from_bytes(data[at : at + 4], "big")
-    while data[3] in (3, 4) and at + 10 <= end and data[at : at + 4].isalnum():
-        size = safe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if data[at : at + 1] == b"T" and body:
-            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(body[0], "utf-8"), "replace").rstrip("\0")
+    plain = lambda b: int.from_bytes(b, "big")
+    synchronised = lambda b: b.replace(b"\xff\x00", b"\xff")
+    version, flags, size = data[3], data[5], safe(data[6:10])
+    end, tags, at = min(len(data), 10 + size + (10 if version == 4 and flags & 0x10 else 0)), {}, 0
+    body = data[10 : 10 + size]
+    if version not in (2, 3, 4) or version == 2 and flags & 0x40:
+        return tags, end
+    if flags & 0x80 and version < 4:
+        body = synchronised(body)
+    if flags & 0x40 and len(body) >= 4:  # extended header
+        at = safe(body) if version == 4 else 4 + plain(body[:4])
+    width, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at : at + width].isalnum():
+        length = safe(body[at + 4 : at + 8]) if version == 4 else plain(body[at + width : at + 2 * width])
+        frame, form = body[at + head : at + head + length], body[at + 9] if version > 2 else 0
+        key = body[at : at + width].decode("latin-1")
+        at += head + length
+        hidden, grouped = (0x0C, 0x40) if version == 4 else (0xC0, 0x20)
+        if form & hidden or not key.startswith("T"):
+            continue
+        frame = frame[1 if form & grouped else 0 :]
+        if version == 4:
+            frame = frame[4 if form & 0x01 else 0 :]
+            frame = synchronised(frame) if flags & 0x80 or form & 0x02 else frame
+        if frame:
+            text = frame[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(frame[0], "utf-8"), "replace").rstrip("\0")
             name, _, value = text.partition("\0")
-            key = data[at : at + 4].decode()
-            tags.update({f"{key}:{name}": value.lstrip("﻿")} if key == "TXXX" else {key: text})
-        at += 10 + size
+            key = SINCE_V22.get(key, key)
+            tags.update({f"{key}:{name}": value.lstrip("\ufeff")} if key == "TXXX" else {key: text})
     return tags, end
 
 

@@ -192,3 +192,36 @@ def test_described_streams(spark):
     assert [got[k].frames for k in (1, 2, 3, 4)] == [3, 0, 0, 2] and got[1].vbr is None
     seek = got[4].vbr.seek
     assert len(seek) == 100 and seek == sorted(seek) and 0 < seek[0] < seek[-1] < got[4].vbr.bytes
+
+
+def tagged(version, flags, body, size=None):
+    n = len(body) if size is None else size
+    return b"ID3" + bytes([version, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + body
+
+
+def test_every_version_of_leading_tags():
+    stream = audio.stream_of(b"\xfe" * 576, 576)
+    stream = stream[audio._id3v2(stream)[1] :]
+
+    def tags(tag):
+        info = audio.parse(tag + stream)
+        assert info["offsets"][0] == len(tag) + audio.parse(stream)["offsets"][0] and info["resyncs"] == 0, info
+        return info["tags"]
+
+    text = lambda s: b"\x01" + s.encode("utf-16")
+    unsynchronised = lambda b: b.replace(b"\xff", b"\xff\x00")
+    old = lambda key, b: key + len(b).to_bytes(3, "big") + b
+    new = lambda key, b, flags=0, size=None: key + (len(b) if size is None else size).to_bytes(4, "big") + bytes([0, flags]) + b
+
+    assert tags(tagged(2, 0, old(b"TT2", b"\x00Song") + old(b"PIC", b"x" * 9) + old(b"TXX", b"\x00k\x00v") + old(b"TZZ", b"\x00z") + bytes(8))) == {"TIT2": "Song", "TXXX:k": "v", "TZZ": "z"}
+    assert tags(tagged(2, 0x40, old(b"TT2", b"\x00Song"))) == {}
+    assert tags(tagged(2, 0x80, unsynchronised(old(b"TT2", text("Maré"))))) == {"TIT2": "Maré"}
+    frames = new(b"TIT2", text("Maré ÿ")) + new(b"TXXX", text("k\0") + text("v")[1:]) + new(b"TALB", b"\x00packed", 0x80) + new(b"TPE1", b"\x05\x00one", 0x20)
+    assert tags(tagged(3, 0, frames)) == {"TIT2": "Maré ÿ", "TXXX:k": "v", "TPE1": "one"}
+    assert tags(tagged(3, 0x80, unsynchronised(frames))) == tags(tagged(3, 0, frames))
+    assert tags(tagged(3, 0x40, (6).to_bytes(4, "big") + bytes(6) + frames)) == tags(tagged(3, 0, frames))
+    title = unsynchronised(text("Maré ÿ"))
+    with_length = len(title).to_bytes(4, "big") + title
+    assert tags(tagged(4, 0, new(b"TIT2", title, 0x02) + new(b"TPE1", with_length, 0x03) + new(b"TALB", b"\x03\xc3\xa9") + new(b"TCON", b"\x03x", 0x08))) == {"TIT2": "Maré ÿ", "TPE1": "Maré ÿ", "TALB": "é"}
+    assert tags(tagged(4, 0x90, new(b"TIT2", title)) + b"3DI" + bytes(7)) == {"TIT2": "Maré ÿ"}
+    assert tags(tagged(3, 0, new(b"TIT2", b"\x00cut", size=99))) == {"TIT2": "cut"} and tags(tagged(5, 0, frames)) == {}
