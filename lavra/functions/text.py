@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lavra.functions.binding import let
+
 
 def _or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
@@ -140,17 +142,16 @@ def join_title_abstract(title: Column, abstract: Column, mode: str = "regex") ->
     return F.trim(F.concat_ws(" ", clean_html(title, mode), clean_html(abstract, mode)))
 
 
-def repair_encoding(data: Column) -> Column:
-    """Binary to text: UTF-8, else Windows-1252 where all its bytes are defined, else UTF-8 with replacements."""
-
-    def decode(raw: bytes) -> str:
-        try:
-            return raw.decode("cp1252")
-        except UnicodeDecodeError:
-            return raw.decode("utf-8", "replace")
+@lru_cache(maxsize=1)
+def _windows_1252() -> tuple[str, str, str]:
+    """The characters that bytes 128 to 159 are in ISO-8859-1, what they are in Windows-1252 instead, and those it leaves undefined."""
+    decoded = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
+    return "".join(c for c, d in decoded.items() if d), "".join(decoded.values()), "".join(c for c, d in decoded.items() if not d)
 
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(decode, na_action="ignore")
 
-    good = F.call_function("is_valid_utf8", data.cast("string"))
-    return F.when(good, data.cast("string")).otherwise(F.pandas_udf(run, T.StringType())(F.when(~good, data)))
+def repair_encoding(data: Column) -> Column:
+    """Binary to text: UTF-8, else Windows-1252 where all its bytes are defined, else UTF-8 with replacements."""
+    text = data.cast("string")
+    there, instead, undefined = _windows_1252()
+    western = lambda c: F.when(c.rlike(f"[{undefined}]"), F.call_function("make_valid_utf8", text)).otherwise(F.translate(c, there, instead))
+    return F.when(F.call_function("is_valid_utf8", text), text).when(data.isNotNull(), let(F.decode(data, "ISO-8859-1"), western))

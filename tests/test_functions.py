@@ -1,3 +1,4 @@
+import random
 from urllib.parse import urljoin
 
 import pytest
@@ -95,3 +96,19 @@ def test_links_resolve_as_the_standard_library_does(spark):
     got = spark.createDataFrame(rows, "b string, h string").select("b", "h", urls.absolute_url(F.col("b"), F.col("h")).alias("r")).collect()
     wrong = [(r.b, r.h, r.r, urljoin(r.b, r.h.strip()) if r.h.strip() else "") for r in got if r.r != (urljoin(r.b, r.h.strip()) if r.h.strip() else "")]
     assert not wrong, wrong
+
+
+def test_repaired_encodings_are_those_of_the_standard_library(spark):
+    def plain(raw):
+        for name in ("utf-8", "cp1252"):
+            try:
+                return raw.decode(name)
+            except UnicodeDecodeError:
+                pass
+        return raw.decode("utf-8", "replace")
+
+    rng = random.Random(4)
+    pieces = [bytes([b]) for b in range(128, 256)] + ["é".encode(), "€".encode(), "😀".encode(), b"abc ", b"\xe2\x82", b"\xf0\x9f\x98", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf5\x80", b"\x00", b"\n"]
+    data = [b"", *pieces, *(b"".join(rng.choices(pieces, k=rng.randrange(1, 7))) for _ in range(1500)), *(b"\x81" + b"".join(rng.choices(pieces[128:], k=4)) for _ in range(300))]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate([*data, None])], "i int, x binary").select("i", text.repair_encoding(F.col("x")).alias("y")).orderBy("i").collect()
+    assert [r.y for r in got] == [*map(plain, data), None]
