@@ -49,13 +49,15 @@ def rejected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf: str) -> str:
-    """JSON lists of a user's events, of a bounded length: the events, the numbers of some, and one text."""
+    """JSON lists of LIST_IDS events each, user by user: the events, the numbers of some, and a text behind each user's."""
     path = shared_folder(spark, "lists")
     e = table(spark, sf, "events")
     obj = F.to_json(F.struct(F.col("event_id").cast("string").alias("titulo"), F.col("event_type").alias("portal"), F.get_json_object("props", "$.k").alias("texto")))
     element = F.when(F.col("event_id") % 10 == 0, F.col("event_id").cast("string")).otherwise(obj)
-    lists = e.groupBy("user_id", F.floor(F.col("event_id") / LIST_IDS).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ","), F.lit(',"text"]')).alias("value"))
-    lists.repartition(16, "user_id", "part").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    of_user = e.groupBy("user_id", F.floor(F.col("event_id") / LIST_IDS).alias("part")).agg(F.concat(F.array_join(F.collect_list(element), ","), F.lit(',"text"')).alias("value"))
+    # Files grow with the events and not with the pairs of a user and a part, of which most have few events.
+    lists = of_user.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    lists.repartition(16, "part").select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavra.sources.scratch import written
@@ -107,20 +107,23 @@ def records(spark: SparkSession, path: str, sep: str, scan: Scan, depth: int = 0
         if key:
             yield row()
 
-    def chain(table: pa.Table) -> pa.Table:
-        inside, deep, out = False, 0, []
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        for r in rows:
-            out.append({"file": r["file"], "block": r["block"], "inside": inside, "deep": deep})
-            inside, deep = (r["open1"], deep + r["deep1"]) if inside else (r["open0"], deep + r["deep0"])
-        for k, o in enumerate(out):
-            o |= {"final": k == len(out) - 1, "ended": not inside and deep == 0}
-        return pa.Table.from_pylist(out)
-
     pieces = _pieces(spark, path, sep)
     summed = pieces.mapInArrow(sums, "file string, block long, open0 boolean, deep0 long, open1 boolean, deep1 long")
-    # A row for each range: of a file, so many as its size holds ranges.
-    begun = written(summed.groupBy("file").applyInArrow(chain, "file string, block long, inside boolean, deep long, final boolean, ended boolean"), "ranges")
+    # A row for each range: of a file, so many as its size holds ranges. Put one after another in the JVM, as there may be many files.
+    in_row = F.array_sort(F.collect_list(F.struct("block", "open0", "deep0", "open1", "deep1")))
+    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("deep"), F.array().cast("array<struct<block: bigint, inside: boolean, deep: bigint>>").alias("starts"))
+
+    def after(state: Column, r: Column) -> Column:
+        return F.struct(
+            F.when(state["inside"], r["open1"]).otherwise(r["open0"]).alias("inside"), (state["deep"] + F.when(state["inside"], r["deep1"]).otherwise(r["deep0"])).alias("deep"),
+            F.concat(state["starts"], F.array(F.struct(r["block"].alias("block"), state["inside"].alias("inside"), state["deep"].alias("deep")))).alias("starts"),
+        )
+
+    chained = summed.groupBy("file").agg(in_row.alias("in_row")).select("file", F.aggregate("in_row", zero, after).alias("end"))
+    each = chained.select("file", F.inline("end.starts"), F.col("end")).select(
+        "file", "block", "inside", "deep", (F.col("block") == F.element_at("end.starts", -1)["block"]).alias("final"), (~F.col("end.inside") & (F.col("end.deep") == 0)).alias("ended"),
+    )
+    begun = written(each, "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("raw", pa.binary()), ("final", pa.bool_()), ("ended", pa.bool_())])

@@ -104,3 +104,16 @@ def test_crosswalks_of_lists_and_objects(spark, tmp_path, in_ranges):
     (tmp_path / "broken.json").write_text(json.dumps(["99999999999999"])[:-1])
     in_ranges(600)
     assert {r.tax_id for r in files.read_crosswalk(spark, str(tmp_path / "*.json")).collect()} == set(ids)
+
+
+def test_files_of_lists_grow_with_events_not_with_pairs_of_user_and_part(spark, tmp_path):
+    from lavra.plans import files as plan
+
+    events = spark.range(2 * plan.LIST_IDS).select(F.col("id").alias("event_id"), (F.col("id") % 1500).alias("user_id"), F.lit("view").alias("event_type"), F.lit('{"k": 7}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    path = plan._lists(spark, str(tmp_path))
+    lists = [json.loads(r["value"]) for r in spark.read.option("wholetext", True).text(path).collect()]
+    assert len(lists) == 2
+    assert [sum(isinstance(x, t) for x in [*lists[0], *lists[1]]) for t in (dict, int, str)] == [9000, 1000, 3000]
+    assert {r["kind"]: r["n"] for r in plan.item_errors(spark, str(tmp_path)).collect()} == {"BIGINT": 1000, "STRING": 3000}
+    assert plan.items_read(spark, str(tmp_path)).count() == 9000
