@@ -88,6 +88,7 @@ def _registry_file(spark: SparkSession, path: str) -> DataFrame:
 def corpus_from_files(spark: SparkSession, registry_csv: str, news_json: str, out_csv: str, out_report: str, window: tuple[int, int] = WINDOW) -> DataFrame:
     """The corpus job on its files: reads both sources, writes the corpus and its report, and returns the report's row.
 
+    Either source may be several files, each with a header or a list of its own; their names say their order.
     A source that is missing, or that holds no list, is an error in the report, and the other is still built;
     so is a corpus that can't be written. Elements of the list that are no objects are counted by type.
     Columns that the registry lacks are blank. Columns of the report: n_total, n_janela, n_fora_janela,
@@ -102,8 +103,8 @@ def corpus_from_files(spark: SparkSession, registry_csv: str, news_json: str, ou
     else:
         errors.append(f"inpi_csv não encontrado: {registry_csv}")
     if _there(spark, news_json):
-        items, wrong = files.read_items_json(spark, news_json)
-        every = every.unionByName(news_rows(files.item_fields(items).withColumn("ordem", F.col("pos")), window))
+        items, wrong = files.read_items_json(spark, news_json, order="ordem")
+        every = every.unionByName(news_rows(files.item_fields(items), window))
         # A row for each type of value that JSON has.
         for r in wrong.groupBy(F.col("pos").isNull().alias("whole"), F.regexp_extract("kind", r"^[^<(]*", 0).alias("kind")).agg(F.count(F.lit(1)).alias("n")).orderBy("whole", "kind").collect():
             errors.append(f"noticias_json: formato inesperado (esperada lista, tipo={r['kind']})" if r["whole"] else f"noticias_json: {r['n']} itens ignorados (tipo={r['kind']})")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavra.operators import corpus, rows
@@ -10,6 +10,8 @@ from lavra.sources.scratch import shared_folder
 from lavra.sources.tables import table
 
 WINDOW = (1996, 1998)
+#: Ids that a list of the corpus job takes its objects from.
+NEWS_IDS = 5000
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,15 +44,17 @@ def _all_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def job_on_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The report of the job on files of both sources: a CSV file and a JSON list that Spark has written."""
+    """The report of the job on files of both sources: CSV files and JSON lists that Spark has written, in order."""
     csv, lists, out = (shared_folder(spark, n) for n in ("registry-file", "news-file", "corpus-job"))
-    r = registry(spark, sf)
-    r.orderBy("ordem").coalesce(1).write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').csv(csv)
-    objects = news(spark, sf).orderBy("ordem").coalesce(1).select("ordem", F.to_json(F.struct("url", "data", "titulo", "texto", "instituicao")).alias("value"))
-    # One list over the lines of a file: only its first line opens it and only its last closes it.
-    ends = objects.agg(F.min("ordem").alias("first"), F.max("ordem").alias("last"))
-    framed = objects.join(F.broadcast(ends)).select(F.concat(F.when(F.col("ordem") == F.col("first"), "[").otherwise(","), "value", F.when(F.col("ordem") == F.col("last"), "]").otherwise("")).alias("value"))
-    framed.write.text(lists)
+    registry(spark, sf).orderBy("ordem").write.option("header", True).option("quoteAll", True).option("quote", '"').option("escape", '"').csv(csv)
+    part = F.lpad(F.floor(F.col("ordem") / NEWS_IDS).cast("string"), 12, "0")
+    objects = news(spark, sf).select(part.alias("part"), "ordem", F.to_json(F.struct("url", "data", "titulo", "texto", "instituicao")).alias("value"))
+    # A list over the lines of each file: only its first line opens it and only its last closes it. No join stands between
+    # the window and the files, as the planner may then deal one part to several tasks, or drop the order.
+    in_part = Window.partitionBy("part").orderBy("ordem")
+    begins, ends = F.lag("ordem").over(in_part).isNull(), F.lead("ordem").over(in_part).isNull()
+    framed = objects.select("part", "ordem", F.concat(F.when(begins, "[").otherwise(","), "value", F.when(ends, "]").otherwise("")).alias("value"))
+    framed.sortWithinPartitions("part", "ordem").select("part", "value").write.partitionBy("part").text(lists)
     got = corpus.corpus_from_files(spark, csv, lists, f"{out}/corpus", f"{out}/report", WINDOW)
     return got.withColumns({c: F.to_json(c) for c in ("n_por_tipo", "n_por_instituicao", "erros")})
 

@@ -25,15 +25,15 @@ def read_table_csv(spark: SparkSession, path: str, columns: list[str], sep: str
     Files are read by ranges, several tasks a file, as sources.ranges finds where records begin; only files in
     UTF-16 or UTF-32 are read by a task each. Rows of a wrong number of fields carry their text in the
     column REJECT; see split_rejected. Empty lines are no rows. `order` names a column for each row's place in
-    its file, which files in UTF-16 and UTF-32 don't give.
+    the files, one after another by name, which files in UTF-16 and UTF-32 don't give.
     """
     fields = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField(REJECT, T.StringType())])
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
     if encoding.upper().replace("_", "-").startswith(("UTF-16", "UTF-32", "UTF16", "UTF32")):
         return spark.read.schema(fields).options(header="true", encoding=encoding, enforceSchema="true", **options).csv(path)
-    lines = records(spark, path, "\n", scan_csv(sep), encoding=encoding).where("pos > 0").select("pos", F.regexp_replace("text", "\r$", "").alias("line"))
-    parsed = lines.where("line <> ''").select("pos", F.from_csv("line", fields.toDDL(), options).alias("r"))
-    return parsed.select("r.*", *([F.col("pos").alias(order)] if order else []))
+    lines = records(spark, path, "\n", scan_csv(sep), encoding=encoding).where("pos > 0").select("place", F.regexp_replace("text", "\r$", "").alias("line"))
+    parsed = lines.where("line <> ''").select("place", F.from_csv("line", fields.toDDL(), options).alias("r"))
+    return parsed.select("r.*", *([F.col("place").alias(order)] if order else []))
 
 
 def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]:
@@ -57,7 +57,7 @@ def split_rejected(df: DataFrame, sep: str = ",") -> tuple[DataFrame, DataFrame]
 def _json_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(elements, files) of JSON files, read by ranges: no file, only its elements, is ever one value.
 
-    elements: (file, pos, opener, v), the elements of lists and the members of objects, each as an object of
+    elements: (file, pos, place, opener, v), the elements of lists and the members of objects, each as an object of
     one member, of files that are whole and well-formed. files: (file, kind), kind null for those; else the
     type of what a file holds instead, of an object without its members, or `no JSON`. Spark never reads files
     of no bytes: they are in neither.
@@ -69,7 +69,7 @@ def _json_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     inner = F.when(F.coalesce("last", F.lit(False)), F.regexp_replace(inner, r"[\]}]\s*$", "")).otherwise(inner)
     opener = F.when(F.col("pos") == 0, head)
     close = F.when(F.col("last") & F.col("ended"), F.regexp_extract("text", r"([\]}])\s*$", 1))
-    shaped = written(found.select("file", "pos", opener.alias("opener"), close.alias("close"), inner.alias("inner"), F.when(F.col("pos") == 0, F.try_parse_json("text")).alias("alone")), "elements")
+    shaped = written(found.select("file", "pos", "place", opener.alias("opener"), close.alias("close"), inner.alias("inner"), F.when(F.col("pos") == 0, F.try_parse_json("text")).alias("alone")), "elements")
     member = F.try_parse_json(F.concat(F.lit("{"), "inner", F.lit("}")))
     blank = F.trim(F.regexp_replace("inner", r"\s+", " ")) == ""
     judged = shaped.groupBy("file").agg(
@@ -82,26 +82,27 @@ def _json_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     kind = F.when(is_list, "ARRAY").when(is_object, "OBJECT").when(~F.col("opener").isin("[", "{"), F.col("scalar"))
     files = written(judged.select("file", F.coalesce(kind, F.lit("no JSON")).alias("kind")), "judged")
     good = shaped.where(~blank).join(files.where("kind in ('ARRAY', 'OBJECT')"), "file")
-    return good.select("file", "pos", "kind", F.when(F.col("kind") == "ARRAY", F.try_parse_json("inner")).otherwise(member).alias("v")), files
+    return good.select("file", "pos", "place", "kind", F.when(F.col("kind") == "ARRAY", F.try_parse_json("inner")).otherwise(member).alias("v")), files
 
 
-def read_items_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_items_json(spark: SparkSession, path: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, errors) of files that each hold one JSON list.
 
     items: (file, pos, item variant), the objects. errors: (file, pos, kind): other elements with the
     name of their type, and with pos null files that are no list. JSON lines are for spark.read.json.
-    Files are read by ranges, so a list may be larger than any value can be.
+    Files are read by ranges, so a list may be larger than any value can be. `order` names a column of items
+    for their place in the files, one after another by name.
     """
     elements, files = _json_elements(spark, path)
-    listed = elements.where("kind = 'ARRAY'").select("file", F.col("pos").cast("int").alias("pos"), F.col("v").alias("item"), F.schema_of_variant("v").alias("kind"))
+    listed = elements.where("kind = 'ARRAY'").select("file", F.col("pos").cast("int").alias("pos"), "place", F.col("v").alias("item"), F.schema_of_variant("v").alias("kind"))
     is_object = F.col("kind").startswith("OBJECT")
     broken = files.where("kind <> 'ARRAY'").select("file", F.lit(None).cast("int").alias("pos"), "kind")
-    return listed.where(is_object).select("file", "pos", "item"), listed.where(~is_object).select("file", "pos", "kind").unionByName(broken)
+    return listed.where(is_object).select("file", "pos", *([F.col("place").alias(order)] if order else []), "item"), listed.where(~is_object).select("file", "pos", "kind").unionByName(broken)
 
 
 def item_fields(items: DataFrame, names: tuple[str, ...] = ("titulo", "data", "url", "texto", "portal", "instituicao")) -> DataFrame:
     """One text column for each name; what an item lacks is null."""
-    return items.select("file", "pos", *(F.try_variant_get("item", f"$.{n}", "string").alias(n) for n in names))
+    return items.select(*(c for c in items.columns if c != "item"), *(F.try_variant_get("item", f"$.{n}", "string").alias(n) for n in names))
 
 
 def read_corpus(spark: SparkSession, path: str, text_col: str = "texto_limpido") -> DataFrame:

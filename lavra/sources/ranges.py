@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from lavra.sources.scratch import written
 
+#: Places of a file's records, at most, where places run through several files.
+FILE_RECORDS = 1 << 40
 #: (piece, whether quotes are open) to (whether they are open after it, by how much deeper it ends).
 Scan = Callable[[bytes, bool], tuple[bool, int]]
 
@@ -75,9 +77,9 @@ def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, sep: str, scan: Scan, depth: int = 0, encoding: str = "utf-8") -> DataFrame:
-    """Rows (file, pos, text, last): what stands between separators at which quotes are closed and brackets `depth` deep.
+    """Rows (file, pos, place, text, last): what stands between separators at which quotes are closed and brackets `depth` deep.
 
-    pos counts from 0 in each file; `last` is whether it ends the file, and then `ended` whether quotes are
+    pos counts from 0 in each file, place too, and goes on from FILE_RECORDS in each next by name; `last` is whether it ends the file, and then `ended` whether quotes are
     closed and the depth is 0 there. Separators inside a record stay; a file of no bytes has no records. Any
     encoding will do that has the bytes of ASCII for ASCII and for nothing else. What Spark can't split, as
     gzip, is one range. Reads the files twice.
@@ -170,14 +172,16 @@ def records(spark: SparkSession, path: str, sep: str, scan: Scan, depth: int = 0
     every = parts.where(F.col("kind") == _WHOLE).select("file", "block", "n", "raw", "final", "ended").unionByName(mended)
 
     begins = parts.where(F.col("kind").isin(_WHOLE, _TAIL)).groupBy("file", "block").agg(F.count(F.lit(1)).alias("records"))
-    before = begins.select("file", "block", (F.sum("records").over(Window.partitionBy("file").orderBy("block")) - F.col("records")).alias("before"))
-    placed = every.join(F.broadcast(before), ["file", "block"]).select("file", (F.col("before") + F.col("n")).alias("pos"), "raw", F.col("final").alias("last"), "ended")
+    # A row for each range here too.
+    nth = F.dense_rank().over(Window.orderBy("file")) - 1
+    before = begins.select("file", "block", (nth.cast("long") * FILE_RECORDS).alias("from"), (F.sum("records").over(Window.partitionBy("file").orderBy("block")) - F.col("records")).alias("before"))
+    placed = every.join(F.broadcast(before), ["file", "block"]).select("file", (F.col("before") + F.col("n")).alias("pos"), (F.col("from") + F.col("before") + F.col("n")).alias("place"), "raw", F.col("final").alias("last"), "ended")
     if encoding.lower().replace("_", "-") in ("utf-8", "utf8"):
-        return placed.select("file", "pos", F.col("raw").cast("string").alias("text"), "last", "ended")
+        return placed.select("file", "pos", "place", F.col("raw").cast("string").alias("text"), "last", "ended")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([r.decode(encoding, "replace") for r in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts, *batch.columns[3:]], names=["file", "pos", "text", "last", "ended"])
+            texts = pa.array([r.decode(encoding, "replace") for r in batch.column(3).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, *batch.columns[4:]], names=["file", "pos", "place", "text", "last", "ended"])
 
-    return placed.mapInArrow(decoded, "file string, pos long, text string, last boolean, ended boolean")
+    return placed.mapInArrow(decoded, "file string, pos long, place long, text string, last boolean, ended boolean")

@@ -40,3 +40,19 @@ def test_a_missing_or_malformed_source_is_reported_and_the_other_built(spark, so
     assert got.n_total == 0 and len(got.erros) == 2 and got.n_por_tipo == {}
     # The corpus is not written over: the report says so.
     assert any(e.startswith("falha ao gravar CSV") for e in corpus.corpus_from_files(spark, str(sources / "r.csv"), str(sources / "n.json"), str(sources / "a/c"), str(sources / "d/j")).first().erros)
+
+
+def test_job_on_files_whatever_the_order_of_the_tables(spark, tmp_path, monkeypatch):
+    from lavra.plans import corpus as plan
+
+    monkeypatch.setattr(plan, "NEWS_IDS", 7)
+    for k, ids in enumerate([(30, 45), (15, 30), (0, 15)]):
+        n = spark.range(*ids, numPartitions=1)
+        docs = n.select(F.col("id").alias("doc_id"), F.repeat(F.lit("wort "), (45 - F.col("id")).cast("int")).alias("text"), F.lit("en").alias("lang"), F.lit("src").alias("source"))
+        docs.write.mode("append" if k else "overwrite").parquet(str(tmp_path / "documents.parquet"))
+        orders = n.select(F.col("id").alias("o_orderkey"), F.expr("date'1996-01-01' + cast(id * 31 as int)").alias("o_orderdate"), F.lit("5-LOW").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"))
+        orders.write.mode("append" if k else "overwrite").parquet(str(tmp_path / "orders.parquet"))
+    got = plan.job_on_files(spark, str(tmp_path)).first()
+    assert (got.n_inpi, got.n_noticias, got.erros) == (45, 45, "[]")
+    want = corpus.corpus_report(plan._built(spark, str(tmp_path))).first()
+    assert [got[n] for n in ("n_total", "n_janela", "n_fora_janela", "n_sem_data", "n_texto_fallback_titulo")] == list(want)[:5]
