@@ -182,3 +182,11 @@ def test_search_without_clusters_and_with_few_rows_is_a_full_scan(spark):
         want = plain_top([(j, [float(np.float32(x)) for x in v]) for j, v in vectors], [(j, [float(np.float32(x)) for x in v]) for j, v in queries], k)
         assert got == want
     assert chunks.top_k_batch(store.limit(0), asked, 3).collect() == [] and chunks.top_k_batch(store, asked.limit(0), 3).collect() == []
+
+
+def test_chunks_are_made_once_for_each_text(spark, capsys):
+    docs = spark.range(3).select(F.concat(F.lit("d"), F.col("id")).alias("fonte"), F.array_join(F.array_repeat(F.lit("line of words"), F.col("id").cast("int")), "\n\n").alias("texto"))
+    made = chunks.explode_chunks(docs, tokens=4)
+    assert [(r.chunk_key, r.n_chunks, r.texto) for r in made.orderBy("chunk_key").collect()] == [("d1::0", 1, "line of words"), ("d2::0", 2, "line of words"), ("d2::1", 2, "line of words")]
+    made.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
