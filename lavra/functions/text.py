@@ -8,14 +8,13 @@ import unicodedata
 from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lavra.functions.binding import let
+from lavra.functions.binding import in_slices, let
 
 
 def _or_empty(text: Column) -> Column:
@@ -61,11 +60,7 @@ def text_nodes(markup: str) -> str:
 
 def _by_value(texts: Column, of) -> Column:
     """of(value) for values that are not null, in Arrow batches."""
-
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(of, na_action="ignore")
-
-    return F.pandas_udf(run, T.StringType())(texts)
+    return F.arrow_udf(lambda values: in_slices(values, of, pa.string()), T.StringType())(texts)
 
 
 def unescape(text: Column) -> Column:

@@ -112,7 +112,9 @@ def _listed(nodes: Column, base: Column) -> Column:
 def _items(contents: DataFrame, of: Column, kind: str) -> DataFrame:
     """A row for each of the items that `of` finds in conteudo, in order; their texto is markup where it holds any."""
     based = contents.select("portal", "instituicao", F.coalesce("base", F.lit("")).alias("base"), "conteudo")
-    each = based.select("portal", "instituicao", "base", F.posexplode(of).alias("ordem", "i")).select("portal", "instituicao", "base", "ordem", "i.*")
+    # Outer, as otherwise the planner filters pages by their items before, and cuts each page into nodes a second time for that.
+    found = based.select("portal", "instituicao", "base", F.posexplode_outer(of).alias("ordem", "i")).where("ordem is not null")
+    each = found.select("portal", "instituicao", "base", "ordem", "i.*")
     marked = F.contains("texto", F.lit("<")) | F.contains("texto", F.lit("&"))
     read = each.withColumn("corpo", html_nodes(F.when(marked, F.col("texto"))))
     in_body = F.get(F.filter("corpo", lambda n: (n["tag"] == "a") & usable(n["href"])), F.lit(0))["href"]

@@ -112,3 +112,29 @@ def test_repaired_encodings_are_those_of_the_standard_library(spark):
     data = [b"", *pieces, *(b"".join(rng.choices(pieces, k=rng.randrange(1, 7))) for _ in range(1500)), *(b"\x81" + b"".join(rng.choices(pieces[128:], k=4)) for _ in range(300))]
     got = spark.createDataFrame([(i, x) for i, x in enumerate([*data, None])], "i int, x binary").select("i", text.repair_encoding(F.col("x")).alias("y")).orderBy("i").collect()
     assert [r.y for r in got] == [*map(plain, data), None]
+
+
+def test_few_results_of_a_batch_are_objects_at_once():
+    import pyarrow as pa
+
+    from lavra.functions.binding import in_slices
+
+    class Result(dict):
+        live = most = 0
+
+        def __init__(self, n):
+            super().__init__(n=n)
+            Result.live += 1
+            Result.most = max(Result.most, Result.live)
+
+        def __del__(self):
+            Result.live -= 1
+
+    kind = pa.struct([("n", pa.int64())])
+    got = in_slices(pa.array([None, *range(999)]), Result, kind)
+    assert got.to_pylist() == [None, *({"n": n} for n in range(999))] and Result.most <= 128
+    assert in_slices(pa.array([], pa.int64()), Result, kind).to_pylist() == []
+
+
+def test_references_without_semicolon_are_decoded_as_html_unescape_does(spark):
+    assert values(spark, text.clean_html, ["a&amp<p>b &lt;c&ampd"]) == ["a& b <c&d"]
