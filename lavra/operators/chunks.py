@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from lavra.sources.files import append_vectors
 from lavra.sources.keyed import KeyedStore
 from lavra.sources.scratch import written
 
+#: Queries whose scores with a block of the store are held at once.
+SLICE = 256
 #: Centres of cells in a search, at most.
 PIVOTS = 64
 
@@ -215,9 +218,12 @@ def _in_cells(rows: DataFrame, name: str, vector: str, centres: np.ndarray, bloc
     return written(ordered.select(F.monotonically_increasing_id().alias("b"), "*"), "blocks")
 
 
-def _scores(qv, vv, nq: int, nv: int) -> np.ndarray:
-    a, b = np.asarray(qv, np.float64).reshape(nq, -1), np.asarray(vv, np.float64).reshape(nv, -1)
-    return 1 - ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
+def _scores(qi: pa.ListScalar, qv: pa.ListScalar, vi: pa.ListScalar, vv: pa.ListScalar) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first, scores with the block vv) of SLICE queries of the block qv after another."""
+    a, b = (v.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(i), -1) for i, v in ((qi, qv), (vi, vv)))
+    for at in range(0, len(a), SLICE):
+        part = a[at : at + SLICE]
+        yield at, 1 - ((part * part).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * part @ b.T)
 
 
 def block_pairs(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None, key: str, vector: str, query_id: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,16 +246,15 @@ def block_pairs(vectors: DataFrame, queries: DataFrame, k: int, min_score: float
     qs = asked.select(F.col("b").alias("qb"), F.col("ids").alias("qi"), F.col("vs").alias("qv"))
     far = float("inf") if min_score is None else max(0.0, 1 - min_score)
 
-    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for qb, qi, qv, vi, vv in zip(frame["qb"], frame["qi"], frame["qv"], frame["vi"], frame["vv"]):
-                scores = _scores(qv, vv, len(qi), len(vi))
-                worst = float((1 - np.partition(scores, -k, axis=1)[:, -k]).max()) if len(vi) >= k else float("inf")
-                out.append((qb, min(worst, far)))
-            yield pd.DataFrame(out, columns=["qb", "reach2"])
+            for qb, qi, qv, vi, vv in zip(*(batch.column(c) for c in ("qb", "qi", "qv", "vi", "vv"))):
+                worst = max(float((1 - np.partition(s, -k, axis=1)[:, -k]).max()) for _, s in _scores(qi, qv, vi, vv)) if len(vi) >= k else float("inf")
+                out.append((qb.as_py(), min(worst, far)))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([r for _, r in out], pa.float64())], names=["qb", "reach2"])
 
-    reach = written(qs.join(home, "qb").join(vs, "vb").mapInPandas(bound, "qb long, reach2 double"), "reach")
+    reach = written(qs.join(home, "qb").join(vs, "vb").mapInArrow(bound, "qb long, reach2 double"), "reach")
     gaps = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2), 0))
     apart = vectors.sparkSession.createDataFrame([(i, j, float(gaps[i, j])) for i in range(len(centres)) for j in range(len(centres))], "cell int, vcell int, gap double")
     least = F.greatest(F.lit(0.0), F.col("gap") - F.col("high") - F.col("vhigh"), F.col("low") - F.col("gap") - F.col("vhigh"), F.col("vlow") - F.col("gap") - F.col("high"))
@@ -276,17 +281,19 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, min_score: float
         return nothing
     pairs, qs, vs = block_pairs(vectors, queries, k, min_score, key, vector, query_id, block)
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for qi, qv, vi, vv in zip(frame["qi"], frame["qv"], frame["vi"], frame["vv"]):
-                order = np.argsort(np.asarray(vi), kind="stable")
-                ids = np.asarray(vi)[order]
-                scores = _scores(qv, vv, len(qi), len(vi))[:, order]
-                # By rounded score and then key, as they are ranked afterwards.
-                top = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({query_id: np.repeat(np.asarray(qi), top.shape[1]), key: ids[top].ravel(), "score": np.round(np.take_along_axis(scores, top, 1), 9).ravel()})
-
-    near = pairs.join(qs, "qb").join(vs, "vb").select("qi", "qv", "vi", "vv").mapInPandas(best, fields)
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qv, vi, vv in zip(*batch.columns):
+                asked, ids = (i.values.to_numpy(zero_copy_only=False) for i in (qi, vi))
+                order = np.argsort(ids, kind="stable")
+                for at, scores in _scores(qi, qv, vi, vv):
+                    scores = np.round(scores[:, order], 9)
+                    # By rounded score and then key, as they are ranked afterwards.
+                    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    columns = np.repeat(asked[at : at + SLICE], top.shape[1]), ids[order][top].ravel(), np.take_along_axis(scores, top, 1).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (qi.values.type, vi.values.type, pa.float64()))], names=[query_id, key, "score"])
+
+    near = pairs.join(qs, "qb").join(vs, "vb").select("qi", "qv", "vi", "vv").mapInArrow(best, fields)
     if min_score is not None:
         near = near.where(F.col("score") >= min_score)
     return rank_top_k(near, query_id, "score", key, k)

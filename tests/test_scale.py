@@ -190,3 +190,15 @@ def test_chunks_are_made_once_for_each_text(spark, capsys):
     assert [(r.chunk_key, r.n_chunks, r.texto) for r in made.orderBy("chunk_key").collect()] == [("d1::0", 1, "line of words"), ("d2::0", 2, "line of words"), ("d2::1", 2, "line of words")]
     made.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_scores_of_few_queries_are_held_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    q, v = rng.standard_normal((1000, 4)), rng.standard_normal((70, 4))
+    qi, vi = pa.array([list(range(1000))])[0], pa.array([list(range(70))])[0]
+    parts = list(chunks._scores(qi, pa.array([q.ravel().tolist()])[0], vi, pa.array([v.ravel().tolist()])[0]))
+    assert all(s.shape[0] <= chunks.SLICE and s.shape[1] == 70 for _, s in parts)
+    want = 1 - ((q[:, None, :] - v[None, :, :]) ** 2).sum(2)
+    assert np.allclose(np.concatenate([s for _, s in parts]), want) and [at for at, _ in parts] == list(range(0, 1000, chunks.SLICE))
