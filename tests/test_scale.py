@@ -202,3 +202,16 @@ def test_scores_of_few_queries_are_held_at_once():
     assert all(s.shape[0] <= chunks.SLICE and s.shape[1] == 70 for _, s in parts)
     want = 1 - ((q[:, None, :] - v[None, :, :]) ** 2).sum(2)
     assert np.allclose(np.concatenate([s for _, s in parts]), want) and [at for at, _ in parts] == list(range(0, 1000, chunks.SLICE))
+
+
+def of_lines(spark, n=9):
+    """Document k of k lines, of three chunks where k is 3."""
+    return spark.range(n).select(F.concat(F.lit("d"), F.col("id")).alias("fonte"), F.array_join(F.array_repeat(F.lit("line of words"), F.col("id").cast("int")), "\n\n").alias("texto"))
+
+
+def test_stored_ids_are_found_with_each_text_cut_once_for_each_side(spark, capsys):
+    made = chunks.explode_chunks(of_lines(spark), tokens=4)
+    found = chunks.existing_keys(made, chunks.explode_chunks(of_lines(spark).where("fonte in ('d0', 'd3', 'd6')"), tokens=4))
+    found.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 2
+    assert sorted(r.chunk_key for r in found.collect()) == [f"d{k}::{i}" for k in (3, 6) for i in range(k)]
