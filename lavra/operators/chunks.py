@@ -73,8 +73,7 @@ def hashing_encoder(size: int = 64) -> Callable[[], Callable[[list[str]], np.nda
         def encode(texts: list[str]) -> np.ndarray:
             matrix = np.zeros((len(texts), size))
             for row, text in zip(matrix, texts):
-                for word in text.lower().split():
-                    row[zlib.crc32(word.encode()) % size] += 1
+                row[:] = np.bincount([zlib.crc32(word.encode()) % size for word in text.lower().split()], minlength=size)
             return matrix
 
         return encode

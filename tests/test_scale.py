@@ -215,3 +215,20 @@ def test_stored_ids_are_found_with_each_text_cut_once_for_each_side(spark, capsy
     found.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 2
     assert sorted(r.chunk_key for r in found.collect()) == [f"d{k}::{i}" for k in (3, 6) for i in range(k)]
+
+
+def test_vectors_are_made_with_each_text_cut_once_and_words_counted_as_one_by_one(spark, capsys):
+    import zlib
+
+    vectors = chunks.embed(chunks.explode_chunks(of_lines(spark), tokens=4), chunks.hashing_encoder(8))
+    vectors.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 2  # the chunks' ends, the encoder
+    assert vectors.count() == sum(range(9)) and {len(r.embedding) for r in vectors.collect()} == {8}
+
+    texts = ["", " \n ", "a", "A a b É ÿ", "İ ς 日本 ß " * 50, "x" * 100_000]
+    want = np.zeros((len(texts), 8))
+    for row, text in zip(want, texts):
+        for word in text.lower().split():
+            row[zlib.crc32(word.encode()) % 8] += 1
+    got = chunks.hashing_encoder(8)()(texts)
+    assert got.dtype == np.float64 and (got == want).all() and chunks.hashing_encoder(8)()([]).shape == (0, 8)
