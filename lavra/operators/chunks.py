@@ -28,8 +28,10 @@ def explode_chunks(corpus: DataFrame, source: str = "fonte", text: str = "texto"
     """Rows (chunk_key, source, carried columns, chunk_idx, n_chunks, texto), one per chunk; no shuffle."""
     parts = corpus.select(source, *carry, split_paragraphs(F.col(text)).alias("_parts"))
     packed = parts.select(source, *carry, pack_chunks(F.col("_parts"), tokens).alias("_chunks"))
-    # For a generator that isn't outer the planner filters texts by their chunks before, and makes them anew there, paragraphs once for each chunk.
-    each = packed.select(source, *carry, F.posexplode_outer("_chunks").alias("chunk_idx", "texto"), F.size("_chunks").alias("n_chunks")).where("chunk_idx is not null")
+    # The planner puts filters before a generator and makes chunks anew there, paragraphs once for each chunk: its own, unless it is outer, and a
+    # user's on n_chunks, unless that comes out of the generator.
+    numbered = F.transform("_chunks", lambda c, i: F.struct(i.alias("chunk_idx"), F.size("_chunks").alias("n_chunks"), c.alias("texto")))
+    each = packed.select(source, *carry, F.inline_outer(numbered).alias("chunk_idx", "n_chunks", "texto")).where("chunk_idx is not null")
     return each.select(chunk_key(F.col(source), F.col("chunk_idx")).alias("chunk_key"), source, *carry, "chunk_idx", "n_chunks", "texto")
 
 

@@ -232,3 +232,10 @@ def test_vectors_are_made_with_each_text_cut_once_and_words_counted_as_one_by_on
             row[zlib.crc32(word.encode()) % 8] += 1
     got = chunks.hashing_encoder(8)()(texts)
     assert got.dtype == np.float64 and (got == want).all() and chunks.hashing_encoder(8)()([]).shape == (0, 8)
+
+
+def test_a_filter_on_the_number_of_chunks_makes_no_chunks_anew(spark, capsys):
+    made = chunks.explode_chunks(of_lines(spark), tokens=4).where("n_chunks > 6")
+    made.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert sorted((r.chunk_key, r.chunk_idx, r.n_chunks, r.texto) for r in made.collect()) == [(f"d{k}::{i}", i, k, "line of words") for k in (7, 8) for i in range(k)]
