@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,16 +31,16 @@ def split_paragraphs(text: Column) -> Column:
 
 
 def _ends(most: int):
-    """From the sizes of paragraphs to where chunks end: over prefix sums, a jump for each chunk."""
+    """From the sizes of paragraphs to where chunks end: over the prefix sums of a whole batch, a jump for each chunk."""
 
     def ends(sizes: pa.Array) -> pa.Array:
-        rows = []
-        for row in sizes:
-            total = np.concatenate([[0], np.cumsum(row.values.to_numpy(), dtype=np.int64)]) if row.is_valid else np.zeros(1, np.int64)
-            at, found = 0, []
-            while at < len(total) - 1:
-                at = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
-                found.append(at)
+        total = memoryview(np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64)]))
+        rows, at = [], 0
+        for n in pc.fill_null(pc.list_value_length(sizes), 0).to_pylist():
+            first, last, found = at, at + n, []
+            while at < last:
+                at = max(at + 1, bisect_right(total, total[at] + most, at + 1, last + 1) - 1)
+                found.append(at - first)
             rows.append(found)
         return pa.array(rows, pa.list_(pa.int32()))
 

@@ -239,3 +239,30 @@ def test_a_filter_on_the_number_of_chunks_makes_no_chunks_anew(spark, capsys):
     made.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
     assert sorted((r.chunk_key, r.chunk_idx, r.n_chunks, r.texto) for r in made.collect()) == [(f"d{k}::{i}", i, k, "line of words") for k in (7, 8) for i in range(k)]
+
+
+def test_chunk_ends_of_a_batch_come_from_one_prefix_sum(monkeypatch):
+    import pyarrow as pa
+
+    from lavra.functions import chunking
+
+    def plain(sizes, most):
+        ends, total = [], 0
+        for i, n in enumerate(sizes):
+            if i and total + n > most:
+                ends.append(i)
+                total = 0
+            total += n
+        return [*ends, len(sizes)] if sizes else []
+
+    rng = np.random.default_rng(7)
+    rows = [None, [], [1], [500, 1, 500, 239, 1, 1], [120, 120, 1], *(rng.integers(1, 300, n).tolist() for n in (1, 2, 50, 3000)), None, [2**31 - 1] * 3, [1] * 5000]
+    sums, cumsum = [], np.cumsum
+    monkeypatch.setattr(chunking.np, "cumsum", lambda *a, **k: sums.append(1) or cumsum(*a, **k))
+    batch = pa.array(rows, pa.list_(pa.int32()))
+    for most in (1, 240, 2**31):
+        ends = chunking._ends(most).func
+        assert ends(batch).to_pylist() == [plain(r or [], most) for r in rows]
+        assert ends(batch.slice(3, 5)).to_pylist() == [plain(r or [], most) for r in rows[3:8]]
+    assert ends(batch.slice(0, 0)).to_pylist() == [] and ends(batch.slice(0, 2)).to_pylist() == [[], []]
+    assert len(sums) == 8  # one for each batch, however many texts are in it
